@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -19,10 +20,10 @@ CAPACITY, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: A document's rest is cut into powers of two down to this; what is left is one piece.
 LEAST_PIECE = 64
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 _BLANKS = re.compile(r"[ \t\n\r]+")
-_STEM = re.compile(r"([A-Za-z]+)([^\w\s']*)", re.ASCII)
+_STEM = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 _loaded: dict = {}
 
 
@@ -46,15 +47,20 @@ class Tokens:
     def _learn(self, words: set[str]) -> None:
         """The tokenizer lower-cases and parts letters from signs: an ASCII word needs only its lower-case stem encoded."""
         parts = {w: _STEM.fullmatch(w) for w in words}
-        stems = {m[1].lower() for m in parts.values() if m} | {m[2] for m in parts.values() if m} | {w for w, m in parts.items() if not m}
-        new = [w for w in stems if w not in self.known]
+        known, pieces = self.known, self.tokenizer.model.tokenize
+        stems = {m[1].lower() for m in parts.values() if m}
+        for w in stems:
+            if w not in known:  # ASCII letters alone are one word of the model
+                ids = [t.id for t in pieces(w)]
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        new = [w for w in {m[2] for m in parts.values() if m} | {w for w, m in parts.items() if not m} if w not in known]
         for a in range(0, len(new), 4096):
             part = new[a : a + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         for w, m in parts.items():
             if m:
-                self.known[w] = self.known[m[1].lower()] + self.known[m[2]]
+                known[w] = known[m[1].lower()] + known[m[2]]
 
 
 def tokens(path: str | None) -> Tokens:
