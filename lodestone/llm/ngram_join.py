@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -15,7 +16,7 @@ from lodestone.llm.components import components
 
 #: Words of a shingle; similarity in hundredths; token orders; frequent tokens that come last in each order (a bound on
 #: what is broadcast: it decides how tokens are ordered, never which links are found); members and shingles of a block.
-WIDTH, PERCENT, ORDERS, FREQUENT, LEAST_FREQUENT, BLOCK, BLOCK_SHINGLES = 3, 90, 3, 200_000, 24, 1500, 3_000_000
+WIDTH, PERCENT, ORDERS, FREQUENT, LEAST_FREQUENT, BLOCK, BLOCK_SHINGLES = 3, 90, 3, 200_000, 6, 1500, 3_000_000
 _U = np.uint64
 _SALTS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
 
@@ -86,16 +87,18 @@ def prefix(s: np.ndarray, order: int, frequent: np.ndarray, percent: int) -> np.
 
 
 def _postings(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
-    last = frequent.value
+    """(key, node) for each prefix token, under two size classes: sets that can be similar are in the same or in neighbouring ones."""
+    last, step = frequent.value, math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1.0
     for _, texts in slices(batches):
-        tokens, nodes, seen = [], [], set()
+        keys, nodes, seen = [], [], set()
         for s in shingles(texts, width):
             if len(s) and (node := _fingerprint(s)) not in seen:
                 seen.add(node)
-                tokens.append(prefix(s, 0, last, percent))
-                nodes.append(np.full(len(tokens[-1]), node, np.int64))
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], names=["token", "node"])
+                first, size = prefix(s, 0, last, percent), int(math.log(len(s)) / step)
+                keys += [mix(first ^ k) for k in mix(np.array([size, size + 1], _U))]
+                nodes.append(np.full(2 * len(first), node, np.int64))
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
 
 class _Forest:
@@ -193,22 +196,22 @@ def _grouped(batches: Iterator[pa.RecordBatch], width: int, percent: int, orders
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, node and component_id of every document: the smallest doc_id that links of this similarity reach.
 
-    Texts with the same shingles are one node, named by a 64-bit fingerprint. A token's documents meet at its hub (its least
-    node); all pairs that share a prefix token meet in some hub's group, which is split into pairs of blocks beyond `block`
+    Texts with the same shingles are one node, named by a 64-bit fingerprint. The documents of a token and size class meet at its
+    hub (its least node); all pairs that can be similar meet in some hub's group, which is split into pairs of blocks beyond `block`
     members, so no task holds more than two blocks and only spanning links leave it. Null, empty and blank texts have no
     shingles, link with nothing and are their own component; so are null ids, which have a null component. Repeated rows
     each give a row.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), "text")
-    seen = materialise(own.mapInArrow(partial(_sets, width=width, least=4), "doc_id long, n long, node long, count long"), "shingle-sets")
+    seen = materialise(own.mapInArrow(partial(_sets, width=width, least=3), "doc_id long, n long, node long, count long"), "shingle-sets")
     often = seen.where("n is null").groupBy("node").agg(F.sum("count").alias("count")).where(F.col("count") >= LEAST_FREQUENT).orderBy(F.desc("count"), "node").limit(FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(often.select("node").toArrow().column("node").to_numpy().view(_U)))
     each = seen.where("n is not null").select("doc_id", "n", "node")
 
-    posted = own.select("text").mapInArrow(partial(_postings, width=width, percent=percent, frequent=frequent), "token long, node long")
+    posted = own.select("text").mapInArrow(partial(_postings, width=width, percent=percent, frequent=frequent), "key long, node long")
     stars = materialise(
-        posted.selectExpr("node", "min(node) over (partition by token) as hub", "max(node) over (partition by token) as other").where("hub <> other").select("hub", "node").distinct(), "stars"
+        posted.selectExpr("node", "min(node) over (partition by key) as hub", "max(node) over (partition by key) as other").where("hub <> other").select("hub", "node").distinct(), "stars"
     )
     texts = each.join(stars.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     stars = stars.join(texts, "node")
