@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import SPACED, groups, hashed, materialise, mix, slices, table
 from lodestone.llm.components import components
 
-#: Words of a shingle; similarity in hundredths; token orders; frequent tokens that come last in each order (a bound on
+#: Words of a shingle; similarity in hundredths; frequent tokens that come last in each order (a bound on
 #: what is broadcast: it decides how tokens are ordered, never which links are found); members and shingles of a block.
-WIDTH, PERCENT, ORDERS, FREQUENT, LEAST_FREQUENT, BLOCK, BLOCK_SHINGLES = 3, 90, 3, 200_000, 6, 1500, 3_000_000
+WIDTH, PERCENT, FREQUENT, LEAST_FREQUENT, BLOCK, BLOCK_SHINGLES = 3, 90, 400_000, 6, 1500, 3_000_000
 _U = np.uint64
 _SALTS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
 
@@ -46,8 +46,18 @@ def _fingerprint(s: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], _U).view(np.int64)[0])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (doc_id, n, node) and, with n null, of tokens that several documents of the task share (node, count)."""
+_NONE = np.empty(0, _U)
+_NAMES = ["doc_id", "n", "node", "first1", "first2", "count"]
+_SEEN = "doc_id long, n long, node long, first1 binary, first2 binary, count long"
+
+
+def _short(s: np.ndarray, order: int, percent: int) -> bytes:
+    """The prefix in an order by hash alone, in 32 bits a token: sets that share a token share its short form."""
+    return np.sort((prefix(s, order, _NONE, percent) >> _U(32)).astype("<u4")).tobytes() if len(s) else b""
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows of documents (doc_id, n, node and their prefixes in two orders) and, with n null, of tokens that several documents of the task share (node, count)."""
     held: list[np.ndarray] = []
     common: dict[int, int] = {}
 
@@ -65,12 +75,12 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, least: int) -> Iterator
         if size > 4_000_000:
             count()
             size = 0
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(_fingerprint, sets), pa.int64()), pa.nulls(len(sets), pa.int64())], names=["doc_id", "n", "node", "count"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(_fingerprint, sets), pa.int64()), *[pa.array([_short(x, k, percent) for x in sets], pa.binary()) for k in (1, 2)], pa.nulls(len(sets), pa.int64())], names=_NAMES)
     if held:
         count()
     often = [(t, c) for t, c in common.items() if c >= least]
     tokens = np.array([t for t, _ in often], _U).view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.int64()), pa.array(tokens), pa.array([c for _, c in often], pa.int64())], names=["doc_id", "n", "node", "count"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.int64()), pa.array(tokens), pa.nulls(len(often), pa.binary()), pa.nulls(len(often), pa.binary()), pa.array([c for _, c in often], pa.int64())], names=_NAMES)
 
 
 def prefix(s: np.ndarray, order: int, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -101,22 +111,6 @@ def _postings(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequ
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def _inverted(parts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Each member's tokens as small numbers, and for each number where its members stand and who they are."""
     sizes = np.array([len(p) for p in parts])
@@ -133,39 +127,57 @@ def _shared(tokens: np.ndarray, first: np.ndarray, who: np.ndarray, n: int) -> n
     return np.bincount(who[at], minlength=n)
 
 
-def linked(sets: list[np.ndarray], percent: int, frequent: np.ndarray, orders: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def _may_match(sizes: np.ndarray, a: int, percent: int) -> np.ndarray:
+    return 100 * np.minimum(sizes, sizes[a]) >= percent * np.maximum(sizes, sizes[a])
+
+
+def candidate_groups(sizes: np.ndarray, firsts: list[list[np.ndarray]], percent: int, side: np.ndarray) -> np.ndarray:
+    """For each member the least one that candidate pairs join it to: of fitting sizes, other sides (where there are two) and shared prefix tokens in every order."""
+    n = len(sizes)
+    if n <= 12:
+        sets = [[set(f.tolist()) for f in each] for each in firsts]
+        pairs = ((a, b) for a in range(n) for b in range(a + 1, n) if all(not f[a].isdisjoint(f[b]) for f in sets))
+        root = np.arange(n)
+        for a, b in pairs:
+            if root[a] != root[b] and 100 * min(sizes[a], sizes[b]) >= percent * max(sizes[a], sizes[b]):
+                root[root == max(root[a], root[b])] = min(root[a], root[b])
+        return root
+    inverted, root, two = [_inverted(f) for f in firsts], np.arange(n), len(np.unique(side)) > 1
+    for a in range(n):
+        may = _may_match(sizes, a, percent) & (root != root[a])
+        may[: a + 1] = False
+        if two:
+            may &= side != side[a]
+        for tokens, at, members in inverted:
+            if not may.any():
+                break
+            may &= _shared(tokens[a], at, members, n) > 0
+        for r in np.unique(root[may]):
+            root[root == max(r, root[a])] = min(r, root[a])
+    return root
+
+
+def linked(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that span the components of the similarity graph among the sets (between its two sides, if side is given).
 
-    Candidates of a member have a size that allows the similarity and share prefix tokens in every order; candidates that
-    are joined already are not verified again.
+    Every pair that is not joined yet has its whole intersection counted.
     """
-    n, sizes = len(sets), np.array([len(s) for s in sets])
-    forest, out = _Forest(n), []
-    if n < 2:
-        return out
+    n, sizes, out, root = len(sets), np.array([len(s) for s in sets]), [], np.arange(len(sets))
     if n <= 12:
-        firsts = [[set(prefix(s, k, frequent, percent).tolist()) for s in sets] for k in range(orders)]
         for a in range(n):
             for b in range(a + 1, n):
-                low, high = sorted((sizes[a], sizes[b]))
-                if 100 * low >= percent * high and all(not f[a].isdisjoint(f[b]) for f in firsts) and forest.root(a) != forest.root(b):
+                if root[a] != root[b] and (side is None or side[a] != side[b]) and 100 * min(sizes[a], sizes[b]) >= percent * max(sizes[a], sizes[b]):
                     both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                     if 100 * both >= percent * (sizes[a] + sizes[b] - both):
-                        forest.join(a, b)
+                        root[root == root[b]] = root[a]
                         out.append((a, b))
         return out
-    firsts = [_inverted([prefix(s, k, frequent, percent) for s in sets]) for k in range(orders)]
     whole, begins, who = _inverted(sets)
-    root = np.arange(n)
     for a in range(n):
-        may = (100 * np.minimum(sizes, sizes[a]) >= percent * np.maximum(sizes, sizes[a])) & (root != root[a])
+        may = _may_match(sizes, a, percent) & (root != root[a])
         may[: a + 1] = False
         if side is not None:
             may &= side != side[a]
-        for tokens, at, members in firsts:
-            if not may.any():
-                break
-            may &= _shared(tokens[a], at, members, n) > 0
         if may.any():
             both = _shared(whole[a], begins, who, n)
             for b in np.flatnonzero(may & (100 * both >= percent * (sizes + sizes[a] - both))):
@@ -175,16 +187,41 @@ def linked(sets: list[np.ndarray], percent: int, frequent: np.ndarray, orders: i
     return out
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], width: int, percent: int, orders: int, frequent) -> Iterator[pa.RecordBatch]:
-    last = frequent.value
-    u, v = [], []
+def _refined(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From the members of each hub, the groups that candidate pairs hold together: (group, node, side). Groups of the same members have the same name."""
+    import xxhash
+
+    schema, made = pa.schema([("group", pa.int64()), ("node", pa.int64()), ("side", pa.int32())]), []
+
+    def out() -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate(c)) for c in zip(*made, strict=True)] if made else [pa.array([], f.type) for f in schema]
+        made.clear()
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
     for group in groups(batches, ["hub", "i", "j"]):
+        if group.num_rows > 1:
+            node, side = group.column("node").to_numpy(), group.column("block").to_numpy()
+            firsts = [[np.frombuffer(x, "<u4") for x in group.column(f"first{k}").to_pylist()] for k in (1, 2)]
+            root = candidate_groups(group.column("n").to_numpy(), firsts, percent, side)
+            for r in np.flatnonzero(np.bincount(root) > 1):
+                own = np.flatnonzero(root == r)
+                own = own[np.argsort(node[own])]
+                apart = (side[own] != side[own].min()).astype(np.int32)
+                name = np.array([xxhash.xxh3_64_intdigest(node[own].tobytes() + apart.tobytes())], _U).view(np.int64)
+                made.append((np.repeat(name, len(own)), node[own], apart))
+        if len(made) > 2000:
+            yield out()
+    yield out()
+
+
+def _verified(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    u, v = [], []
+    for group in groups(batches, ["group"]):
         sets = [s for a in range(0, group.num_rows, 200) for s in shingles([t.encode() if t else b"" for t in group.column("text").slice(a, 200).to_pylist()], width)]
-        nodes, blocks = group.column("node").to_pylist(), group.column("block").to_numpy()
+        nodes, side = group.column("node").to_pylist(), group.column("side").to_numpy()
         true = [k for k, s in enumerate(sets) if _fingerprint(s) == nodes[k]]  # an id can stand for several texts
-        sets, nodes, blocks = [sets[k] for k in true], [nodes[k] for k in true], blocks[true]
-        two = group.column("i")[0].as_py() != group.column("j")[0].as_py()
-        for a, b in linked(sets, percent, last, orders, blocks if two else None):
+        sets, nodes, side = [sets[k] for k in true], [nodes[k] for k in true], side[true]
+        for a, b in linked(sets, percent, side if len(np.unique(side)) > 1 else None):
             u.append(nodes[a])
             v.append(nodes[b])
         if len(u) > 5000:
@@ -193,18 +230,21 @@ def _grouped(batches: Iterator[pa.RecordBatch], width: int, percent: int, orders
     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS, block: int = BLOCK) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, node and component_id of every document: the smallest doc_id that links of this similarity reach.
 
-    Texts with the same shingles are one node, named by a 64-bit fingerprint. The documents of a token and size class meet at its
-    hub (its least node); all pairs that can be similar meet in some hub's group, which is split into pairs of blocks beyond `block`
-    members, so no task holds more than two blocks and only spanning links leave it. Null, empty and blank texts have no
-    shingles, link with nothing and are their own component; so are null ids, which have a null component. Repeated rows
-    each give a row.
+    Texts with the same shingles are one node, named by a 64-bit fingerprint. Nodes that share a prefix token of the first
+    order (frequent tokens last) and a size class meet at its hub, their least node, so all pairs that can be similar meet in
+    some hub's members; beyond `block` of these, or BLOCK_SHINGLES, they are split into pairs of blocks, which bounds a task.
+    There the prefixes in two more orders leave the groups that candidate pairs hold together, each group once; only their
+    texts are read again and verified, and only links that span components leave a task, never all pairs.
+
+    Null, empty and blank texts have no shingles, link with nothing and are their own component; so are rows with a null id,
+    whose component is null. Repeated rows each give a row.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), "text")
-    seen = materialise(own.mapInArrow(partial(_sets, width=width, least=3), "doc_id long, n long, node long, count long"), "shingle-sets")
+    seen = materialise(own.mapInArrow(partial(_sets, width=width, percent=percent, least=3), _SEEN), "shingle-sets")
     often = seen.where("n is null").groupBy("node").agg(F.sum("count").alias("count")).where(F.col("count") >= LEAST_FREQUENT).orderBy(F.desc("count"), "node").limit(FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(often.select("node").toArrow().column("node").to_numpy().view(_U)))
     each = seen.where("n is not null").select("doc_id", "n", "node")
@@ -213,14 +253,16 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     stars = materialise(
         posted.selectExpr("node", "min(node) over (partition by key) as hub", "max(node) over (partition by key) as other").where("hub <> other").select("hub", "node").distinct(), "stars"
     )
-    texts = each.join(stars.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    stars = stars.join(texts, "node")
-    members = stars.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    known = seen.where("n > 0 and doc_id is not null").join(stars.select("node").distinct(), "node", "left_semi")
+    known = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("first1").alias("first1"), F.max("first2").alias("first2"))
+    members = stars.join(known.select("node", "n"), "node").groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     number = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     meets = stars.join(members, "hub").withColumn("block", number).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("hub", "node", "doc_id", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    paired = meets.join(own, "doc_id").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    links = paired.select("hub", "i", "j", "block", "node", "text").mapInArrow(partial(_grouped, width=width, percent=percent, orders=orders, frequent=frequent), "u long, v long")
+    meets = meets.select("hub", "node", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).join(known, "node")
+    near = meets.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "block", "node", "n", "first1", "first2").mapInArrow(partial(_refined, percent=percent), "group long, node long, side int")
+    near = materialise(near.distinct(), "candidates")
+    texts = own.join(near.join(known.select("node", "doc_id"), "node"), "doc_id").select("group", "node", "side", "text")
+    links = texts.repartition("group").sortWithinPartitions("group").mapInArrow(partial(_verified, width=width, percent=percent), "u long, v long")
 
     roots = components(links).withColumnRenamed("root", "own")
     named = each.join(roots, "node", "left").withColumn("own", F.coalesce("own", "node"))
