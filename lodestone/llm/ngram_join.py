@@ -15,8 +15,9 @@ from lodestone.llm.common import SPACED, groups, hashed, materialise, mix, slice
 from lodestone.llm.components import components
 
 #: Words of a shingle; similarity in hundredths; frequent tokens that come last in each order (a bound on
-#: what is broadcast: it decides how tokens are ordered, never which links are found); members and shingles of a block.
-WIDTH, PERCENT, FREQUENT, LEAST_FREQUENT, BLOCK, BLOCK_SHINGLES = 3, 90, 400_000, 6, 1500, 3_000_000
+#: what is broadcast: it decides how tokens are ordered, never which links are found); members and shingles of a block;
+#: rows of candidates up to which these are broadcast to the texts (about 60 bytes each), beyond which both are shuffled.
+WIDTH, PERCENT, FREQUENT, LEAST_FREQUENT, BLOCK, BLOCK_SHINGLES, MOST_BROADCAST = 3, 90, 400_000, 6, 1500, 3_000_000, 500_000
 _U = np.uint64
 _SALTS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
 
@@ -52,8 +53,13 @@ _SEEN = "doc_id long, n long, node long, first1 binary, first2 binary, count lon
 
 
 def _short(s: np.ndarray, order: int, percent: int) -> bytes:
-    """The prefix in an order by hash alone, in 32 bits a token: sets that share a token share its short form."""
-    return np.sort((prefix(s, order, _NONE, percent) >> _U(32)).astype("<u4")).tobytes() if len(s) else b""
+    """The sorted distinct keys of a set's first tokens in an order by hash alone, in 32 bits each.
+
+    It is longer than the set's part that a similar set can lack, so similar sets share many of these.
+    """
+    key = (mix(s ^ _SALTS[order]) >> _U(32)).astype("<u4")
+    take = min(len(s), (100 - percent) * len(s) * 7 // 1000 + 8)
+    return np.unique(np.partition(key, take - 1)[:take] if take < len(s) else key).tobytes()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -132,26 +138,32 @@ def _may_match(sizes: np.ndarray, a: int, percent: int) -> np.ndarray:
 
 
 def candidate_groups(sizes: np.ndarray, firsts: list[list[np.ndarray]], percent: int, side: np.ndarray) -> np.ndarray:
-    """For each member the least one that candidate pairs join it to: of fitting sizes, other sides (where there are two) and shared prefix tokens in every order."""
-    n = len(sizes)
-    if n <= 12:
-        sets = [[set(f.tolist()) for f in each] for each in firsts]
-        pairs = ((a, b) for a in range(n) for b in range(a + 1, n) if all(not f[a].isdisjoint(f[b]) for f in sets))
-        root = np.arange(n)
-        for a, b in pairs:
-            if root[a] != root[b] and 100 * min(sizes[a], sizes[b]) >= percent * max(sizes[a], sizes[b]):
-                root[root == max(root[a], root[b])] = min(root[a], root[b])
-        return root
-    inverted, root, two = [_inverted(f) for f in firsts], np.arange(n), len(np.unique(side)) > 1
+    """For each member the least one that candidate pairs join it to: of fitting sizes, other sides (where there are two), and in every order enough shared first keys.
+
+    Similar sets a and b share at least o = percent * (|a| + |b|) / (100 + percent) tokens. Up to the smaller of their
+    last keys both are known in full, so all but |a| - o of a's keys below it are keys of b, and the other way round.
+    """
+    n, root, two = len(sizes), np.arange(len(sizes)), len(np.unique(side)) > 1
+    last = [np.array([f[-1] for f in each]) for each in firsts]
+    inverted = [_inverted(f) for f in firsts] if n > 12 else []
     for a in range(n):
         may = _may_match(sizes, a, percent) & (root != root[a])
         may[: a + 1] = False
         if two:
             may &= side != side[a]
-        for tokens, at, members in inverted:
-            if not may.any():
+        least = -(-percent * (sizes + sizes[a]) // (100 + percent))
+        for k, each in enumerate(firsts):
+            some = np.flatnonzero(may)
+            if not len(some):
                 break
-            may &= _shared(tokens[a], at, members, n) > 0
+            if n > 12:
+                tokens, at, members = inverted[k]
+                both = _shared(tokens[a], at, members, n)[some]
+            else:
+                both = np.array([len(np.intersect1d(each[a], each[b], assume_unique=True)) for b in some])
+            mine = np.searchsorted(each[a], np.minimum(last[k][a], last[k][some]))
+            theirs = np.array([np.searchsorted(each[b], min(last[k][a], last[k][b])) for b in some]) if n <= 12 else np.where(last[k][some] <= last[k][a], [len(each[b]) - 1 for b in some], 0)
+            may[some] = (both > 0) & (both >= mine - (sizes[a] - least[some])) & (both >= theirs - (sizes[some] - least[some]))
         for r in np.unique(root[may]):
             root[root == max(r, root[a])] = min(r, root[a])
     return root
@@ -202,7 +214,9 @@ def _refined(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         if group.num_rows > 1:
             node, side = group.column("node").to_numpy(), group.column("block").to_numpy()
             firsts = [[np.frombuffer(x, "<u4") for x in group.column(f"first{k}").to_pylist()] for k in (1, 2)]
-            root = candidate_groups(group.column("n").to_numpy(), firsts, percent, side)
+            one = np.unique(node, return_index=True)[1]  # rows that repeat an id and a text
+            node, side, firsts = node[one], side[one], [[f[k] for k in one] for f in firsts]
+            root = candidate_groups(group.column("n").to_numpy()[one], firsts, percent, side)
             for r in np.flatnonzero(np.bincount(root) > 1):
                 own = np.flatnonzero(root == r)
                 own = own[np.argsort(node[own])]
@@ -253,15 +267,16 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     stars = materialise(
         posted.selectExpr("node", "min(node) over (partition by key) as hub", "max(node) over (partition by key) as other").where("hub <> other").select("hub", "node").distinct(), "stars"
     )
-    known = seen.where("n > 0 and doc_id is not null").join(stars.select("node").distinct(), "node", "left_semi")
-    known = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("first1").alias("first1"), F.max("first2").alias("first2"))
-    members = stars.join(known.select("node", "n"), "node").groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    reps = materialise(each.where("n > 0 and doc_id is not null").join(stars.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "nodes")
+    members = stars.join(reps, "node")
+    blocks = members.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     number = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    meets = stars.join(members, "hub").withColumn("block", number).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("hub", "node", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).join(known, "node")
+    meets = members.join(blocks, "hub").withColumn("block", number).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meets = meets.select("hub", "node", "doc_id", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).join(seen.select("node", "doc_id", "n", "first1", "first2"), ["node", "doc_id"])
     near = meets.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "block", "node", "n", "first1", "first2").mapInArrow(partial(_refined, percent=percent), "group long, node long, side int")
-    near = materialise(near.distinct(), "candidates")
-    texts = own.join(near.join(known.select("node", "doc_id"), "node"), "doc_id").select("group", "node", "side", "text")
+    near = materialise(near.distinct().join(reps.select("node", "doc_id"), "node"), "candidates")
+    wanted = F.broadcast(near) if near.count() <= MOST_BROADCAST else near
+    texts = own.join(wanted, "doc_id").select("group", "node", "side", "text")
     links = texts.repartition("group").sortWithinPartitions("group").mapInArrow(partial(_verified, width=width, percent=percent), "u long, v long")
 
     roots = components(links).withColumnRenamed("root", "own")
