@@ -17,7 +17,7 @@ from lodestone.llm.components import components
 #: Words of a shingle; similarity in hundredths; frequent tokens that come last in each order (a bound on
 #: what is broadcast: it decides how tokens are ordered, never which links are found); members and shingles of a block;
 #: rows of candidates up to which these are broadcast to the texts (about 60 bytes each), beyond which both are shuffled.
-WIDTH, PERCENT, FREQUENT, LEAST_FREQUENT, BLOCK, BLOCK_SHINGLES, MOST_BROADCAST = 3, 90, 400_000, 6, 1500, 3_000_000, 500_000
+WIDTH, PERCENT, FREQUENT, LEAST_FREQUENT, BLOCK, BLOCK_SHINGLES, MOST_BROADCAST = 3, 90, 400_000, 6, 1500, 1_000_000, 500_000
 _U = np.uint64
 _SALTS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
 
@@ -65,28 +65,29 @@ def _short(s: np.ndarray, order: int, percent: int) -> bytes:
 def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, least: int) -> Iterator[pa.RecordBatch]:
     """Rows of documents (doc_id, n, node and their prefixes in two orders) and, with n null, of tokens that several documents of the task share (node, count)."""
     held: list[np.ndarray] = []
-    common: dict[int, int] = {}
+    common = np.empty(0, _U), np.empty(0, np.int64)
 
     def count() -> None:
+        nonlocal common
         tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        for t, c in zip(tokens[n >= 2].tolist(), n[n >= 2].tolist(), strict=True):
-            common[t] = common.get(t, 0) + c
         held.clear()
+        every, number = np.unique(np.concatenate([common[0], tokens[n >= 2]]), return_inverse=True)
+        common = every, np.bincount(number, weights=np.concatenate([common[1], n[n >= 2]]), minlength=len(every)).astype(np.int64)
 
     size = 0
     for batch, texts in slices(batches):
         sets = list(shingles(texts, width))
         held += sets
         size += sum(map(len, sets))
-        if size > 4_000_000:
+        if size > 2_000_000:
             count()
             size = 0
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(_fingerprint, sets), pa.int64()), *[pa.array([_short(x, k, percent) for x in sets], pa.binary()) for k in (1, 2)], pa.nulls(len(sets), pa.int64())], names=_NAMES)
     if held:
         count()
-    often = [(t, c) for t, c in common.items() if c >= least]
-    tokens = np.array([t for t, _ in often], _U).view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.int64()), pa.array(tokens), pa.nulls(len(often), pa.binary()), pa.nulls(len(often), pa.binary()), pa.array([c for _, c in often], pa.int64())], names=_NAMES)
+    tokens, counts = common[0][common[1] >= least], common[1][common[1] >= least]
+    none = pa.nulls(len(tokens), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, pa.array(tokens.view(np.int64)), pa.nulls(len(tokens), pa.binary()), pa.nulls(len(tokens), pa.binary()), pa.array(counts)], names=_NAMES)
 
 
 def prefix(s: np.ndarray, order: int, frequent: np.ndarray, percent: int) -> np.ndarray:
