@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontamination, ngram_join, packing, quality, secrets
-from lodestone.llm.common import materialise, slices, table
+from lodestone.llm.common import bounded, materialise, slices, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +31,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
         found = decontamination.digest(decontamination.contamination(docs, table(spark, sf_dir, "benchmark")))
         return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     windows = blocks[0]
+    bounded(docs)
 
     def clean(batches):
         for batch, texts in slices(batches, limit=decontamination.SHARD_BYTES):

@@ -30,6 +30,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with Arrow batches of so many rows at most: texts are long, and Spark's default of 10,000 is more than workers should hold twice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 #: Byte maps that lower-case A-Z and turn what separates words into blanks.

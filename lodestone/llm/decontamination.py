@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ALNUM, hashed, slices, table
+from lodestone.llm.common import ALNUM, bounded, hashed, slices, table
 
 #: Words of a window; a document is contaminated when 1 in SHARE of its words is hit.
 WINDOW, SHARE = 13, 20
@@ -207,7 +207,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
     for each; spans of several passes are merged by id and text. Null and empty texts have no words and no hits; repeated
     rows give a row each (with several passes, equal rows are counted once and repeated again).
     """
-    spark, parts = docs.sparkSession, []
+    spark, parts = bounded(docs).sparkSession, []
     for windows in benchmark_blocks(benchmark, width, block_bytes):
         shared = spark.sparkContext.broadcast(windows)
         parts.append(docs.select("doc_id", "text").mapInArrow(lambda batches, shared=shared: _searched(batches, shared), RESULT))

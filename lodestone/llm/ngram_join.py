@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACED, groups, hashed, materialise, mix, slices, table
+from lodestone.llm.common import SPACED, bounded, groups, hashed, materialise, mix, slices, table
 from lodestone.llm.components import components
 
 #: Words of a shingle; similarity in hundredths; frequent tokens that come last in each order (a bound on
@@ -258,7 +258,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     whose component is null. Repeated rows each give a row.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long"), "text")
+    own = bounded(docs).select(F.col("doc_id").cast("long"), "text")
     seen = materialise(own.mapInArrow(partial(_sets, width=width, percent=percent, least=3), _SEEN), "shingle-sets")
     often = seen.where("n is null").groupBy("node").agg(F.sum("count").alias("count")).where(F.col("count") >= LEAST_FREQUENT).orderBy(F.desc("count"), "node").limit(FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(often.select("node").toArrow().column("node").to_numpy().view(_U)))

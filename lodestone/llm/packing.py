@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import table
+from lodestone.llm.common import bounded, table
 
 CAPACITY, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: A document's rest is cut into powers of two down to this; what is left is one piece.
@@ -146,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     rows. Ids depend on how the input is partitioned, not on which executor runs a task, so a lost task is run again with
     the same result. A worker holds at most one open bin for each class, and leaves one bin partly filled.
     """
-    return docs.select("doc_id", "text").mapInArrow(partial(_packed, path=tokenizer, capacity=capacity, least=least_piece), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return bounded(docs).select("doc_id", "text").mapInArrow(partial(_packed, path=tokenizer, capacity=capacity, least=least_piece), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

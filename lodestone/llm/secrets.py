@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, table
+from lodestone.llm.common import bounded, slices, table
 
 _ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
@@ -208,7 +208,7 @@ def secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
     Null and empty texts have no spans; every row gives one row, repeated or not. Spans are kind:start:end in code points.
     """
-    grammars = infer(docs.sparkSession, labelled)
+    grammars = infer(bounded(docs).sparkSession, labelled)
     return docs.select("doc_id", "text").mapInArrow(lambda b: _scanned(b, grammars), "doc_id long, n_assign long, n_access long, n_hex long, n_grammar long, base_sha256 string, spans string")
 
 
@@ -233,7 +233,7 @@ def _redacted(batches: Iterator[pa.RecordBatch], grammars, mark: bytes) -> Itera
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every secret's span replaced by a mark; n_chars, where there is one, follows a changed text."""
-    grammars, shown = infer(docs.sparkSession, labelled), mark.encode()
+    grammars, shown = infer(bounded(docs).sparkSession, labelled), mark.encode()
     return docs.mapInArrow(lambda b: _redacted(b, grammars, shown), docs.schema)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise
+from lodestone.llm.common import bounded, materialise
 
 #: Labelled rows that a classifier is fitted on at most: those whose ids hash lowest.
 MOST_LABELLED = 8_000
@@ -23,6 +23,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int =
     Rows without a label are left out; of several labels of one id the larger counts. Only the bounded label rows are
     broadcast; documents are not shuffled.
     """
+    bounded(docs)
     chosen = (
         labels.select("doc_id", F.col(column).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch, table
+from lodestone.llm.common import bounded, scratch, table
 
 #: The skippable frame that holds a dictionary, and the frame of plain Zstandard data.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -153,7 +153,7 @@ def write_warc(pages: DataFrame, folder: str) -> int:
 
     files, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
     files.create_dir(root, recursive=True)
-    return roles(pages).mapInArrow(partial(_written, folder=folder), "file string, records long").agg(F.sum("records")).first()[0] or 0
+    return roles(bounded(pages)).mapInArrow(partial(_written, folder=folder), "file string, records long").agg(F.sum("records")).first()[0] or 0
 
 
 def _read(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.RecordBatch]:
