@@ -21,9 +21,10 @@ _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 LEAST_CANDIDATE = 16
 KINDS = ("assign", "access", "hex", "grammar")
 #: Merging of states: the confidence parameter of the Hoeffding test. Accepting: nats a character over the background.
-ALPHA, MARGIN = 0.05, 0.6
-_DIGIT = bytes(ord("d") if 48 <= b <= 57 else b for b in range(256))
-_CLASS = bytes(ord("d") if 48 <= b <= 57 else ord("u") if 65 <= b <= 90 else ord("l") if 97 <= b <= 122 else b for b in range(256))
+ALPHA, MARGIN = 0.05, 0.8
+#: Classes of characters are symbols of their own: 1 digit, 2 upper, 3 lower.
+_DIGIT = bytes(1 if 48 <= b <= 57 else b for b in range(256))
+_CLASS = bytes(1 if 48 <= b <= 57 else 2 if 65 <= b <= 90 else 3 if 97 <= b <= 122 else b for b in range(256))
 
 
 def labelled_credentials(each: int = 150, seed: int = 7) -> list[tuple[str, str]]:
@@ -66,6 +67,10 @@ class Automaton:
             self.ends[state] += 1
         self._merge(alpha)
         self.symbols = 80
+        #: Where an unknown move leads: as the most visited state that knows the symbol moves.
+        self.home: dict[int, int] = {}
+        for state in sorted(range(len(self.next)), key=lambda k: self.visits[k]):
+            self.home |= self.next[state]
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int, alpha: float) -> bool:
         if not n1 or not n2:
@@ -119,11 +124,11 @@ class Automaton:
         self.next, self.count, self.ends, self.visits = [{c: number[t] for c, t in self.next[r].items()} for r in red], [self.count[r] for r in red], [self.ends[r] for r in red], [self.visits[r] for r in red]
 
     def score(self, s: bytes) -> float:
-        """Log likelihood with one added count for each symbol; unknown moves stay in the state."""
+        """Log likelihood with one added count for each symbol; unknown moves lead where they mostly lead."""
         state, out = 0, 0.0
         for c in s:
             out += math.log((self.count[state].get(c, 0) + 0.02) / (self.visits[state] + 0.02 * self.symbols))
-            state = self.next[state].get(c, state)
+            state = self.next[state].get(c, self.home.get(c, state))
         return out + math.log((self.ends[state] + 0.02) / (self.visits[state] + 0.02 * self.symbols))
 
 
@@ -133,7 +138,7 @@ class Grammars:
         for label, text in labelled:
             if text:
                 by.setdefault(label or "", []).append(self.shape(text.encode()))
-        background = by.pop("", [b"l" * 12])
+        background = by.pop("", [b"\x03" * 12])
         self.background, self.formats = Automaton(background, alpha), {k: Automaton(v, alpha) for k, v in sorted(by.items())}
         self.known: dict[bytes, bool] = {}
 
