@@ -36,69 +36,66 @@ TEMPLATES = [
 ]
 #: Templates of the base contract come first; all their places count in n_base.
 BASE = 3
-#: Words of a template that are looked up first.
-RARE = 2
 
 
-def postings() -> list[tuple[str, int, int, str, int, int, int, int, bool, bool]]:
-    """(word, template, position, label, words, key words, least shared words, is rare, is key word, is base)."""
+def templates() -> list[tuple[str, int, str, list[str], int, int, int, bool]]:
+    """(anchor, place of the anchor, label, words, begin and length of the key phrase, least shared words, is base) of each template.
+
+    The anchor is the key phrase's word with the highest IDF among the templates: a document is looked at only where one stands.
+    """
     split = [(label, text.split(), key.split()) for label, text, key in TEMPLATES]
     seen = Counter(w for _, words, _ in split for w in set(words))
     out = []
     for k, (label, words, key) in enumerate(split):
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        inside = range(at, at + len(key))
-        # rarest first: a document is looked at when it has one of these
-        rare = set(sorted(set(key), key=lambda w: (-math.log(len(split) / seen[w]), w))[:RARE])
-        for i, w in enumerate(words):
-            out.append((w, k, i, label, len(words), len(key), max(len(key), (len(words) + 1) // 2), w in rare and i in inside, i in inside, k < BASE))
+        anchor = max(key, key=lambda w: (math.log(len(split) / seen[w]), len(w), w))
+        out.append((anchor, at + key.index(anchor), label, words, at, len(key), max(len(key), (len(words) + 1) // 2), k < BASE))
     return out
 
 
 def licence_scan(docs: DataFrame) -> DataFrame:
     """Licence phrases of every whole text: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Words are runs of digits, letters and characters from U+0080 on, A-Z in lower case. A document with a template's rare
-    words has its licence words joined to the template postings; hits of one template on one diagonal (word position less
-    template position) are counted together, and a place counts when its whole key phrase is on it and at least half of
-    the template's words. Null text is empty; texts without words have n_words 0 and no labels; each input row, repeated
-    or with a null id, gives one row. score is the largest share of a template's words found at a place.
+    Words are runs of digits, letters and characters from U+0080 on, A-Z in lower case. Where one of the templates' rarest
+    key words stands, the templates that it anchors are laid over the text at the relative position, and the words of each
+    that are in place are counted; a place counts when its whole key phrase is there and at least half of the template's
+    words. All of this stays within a row, so nothing is shuffled. Null text is empty; texts without words have n_words 0
+    and no labels; each input row, repeated or with a null id, gives one row. score is the largest share of a template's
+    words found at a place.
     """
-    spark = docs.sparkSession
-    index = spark.createDataFrame(postings(), "word string, template int, at int, label string, size int, key_size int, least int, rare boolean, is_key boolean, base boolean")
-    known = sorted({p[0] for p in postings()})
-    rare = sorted({p[0] for p in postings() if p[7]})
+    index = templates()
+    anchors = F.array(*[F.lit(w) for w in sorted({t[0] for t in index})])
+    names = ("word", "at", "label", "words", "key_at", "key_size", "least", "base")
+    column = lambda x: F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(x)
+    postings = F.array(*[F.struct(*[column(v).alias(n) for n, v in zip(names, t, strict=True)]) for t in index])
     plain = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.split(F.trim(F.regexp_replace(plain, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), " ")
-    # a cheap look for one of the rare words decides whether a document is taken apart at all
     lists = docs.select("doc_id", words.alias("words")).select(
         "doc_id",
         F.when(F.element_at("words", 1) == "", F.lit(0)).otherwise(F.size("words")).cast("long").alias("n_words"),
-        F.when(F.arrays_overlap("words", F.array(*map(F.lit, rare))), F.col("words")).alias("words"),
-    )
-    lists = lists.withColumn("row", F.monotonically_increasing_id())
-    hits = (
-        lists.select("row", "doc_id", "n_words", F.posexplode_outer("words").alias("pos", "word"))
-        .where(F.col("word").isNull() | (F.col("pos") == 0) | F.col("word").isin(known))
-        .join(F.broadcast(index), "word", "left")  # a fixed table of about 120 rows
-        .groupBy("row", "doc_id", "n_words", "template", (F.col("pos") - F.col("at")).alias("start"))
-        .agg(
-            F.count("at").alias("shared"), F.sum(F.col("is_key").cast("int")).alias("keys"), F.max("rare").alias("rare"), F.first("label").alias("label"),
-            F.first("size").alias("size"), F.first("key_size").alias("key_size"), F.first("least").alias("least"), F.first("base").alias("base"),
-        )
-    )
-    found = F.coalesce(F.col("rare") & (F.col("keys") == F.col("key_size")) & (F.col("shared") >= F.col("least")), F.lit(False))
-    base = found & F.col("base")
-    names = lambda when: F.coalesce(F.array_join(F.sort_array(F.collect_set(F.when(when, F.col("label")))), ","), F.lit(""))
-    return (
-        hits.groupBy("row", "doc_id", "n_words")
-        .agg(
-            F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
-            names(base).alias("base_labels"), names(found).alias("labels"), F.coalesce(F.max(F.when(found, F.col("shared") / F.col("size"))), F.lit(0.0)).alias("score"),
-        )
-        .drop("row")
+        F.when(F.arrays_overlap("words", anchors), F.col("words")).alias("words"),
     )
 
+    def laid(i, p):
+        """Template p at its anchor i: start, how many of its words are in place, and how many of its key phrase's."""
+        start = i - p["at"]
+        match = lambda first, size: F.size(F.filter(F.sequence(first, first + size - 1), lambda k: F.coalesce(F.get(F.col("words"), start + k) == F.get(p["words"], k), F.lit(False))))
+        return F.struct(
+            start.cast("long").alias("start"), match(F.lit(0), F.size(p["words"])).alias("shared"), match(p["key_at"], p["key_size"]).alias("keys"),
+            p["label"].alias("label"), F.size(p["words"]).alias("size"), p["key_size"].alias("key_size"), p["least"].alias("least"), p["base"].alias("base"),
+        )
+
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(anchors, F.get(F.col("words"), i)))
+    over = F.flatten(F.transform(places, lambda i: F.transform(F.filter(postings, lambda p: p["word"] == F.get(F.col("words"), i)), lambda p: laid(i, p))))
+    found = F.filter(over, lambda x: (x["keys"] == x["key_size"]) & (x["shared"] >= x["least"]))
+    rows = lists.select("doc_id", "n_words", F.when(F.col("words").isNotNull(), found).alias("found")).select("*", F.filter("found", lambda x: x["base"]).alias("base"))
+    starts = F.transform("base", lambda x: x["start"])
+    labels = lambda c: F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: x["label"]))), ","), F.lit(""))
+    return rows.select(
+        "doc_id", "n_words", F.coalesce(F.size("base"), F.lit(0)).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels("base").alias("base_labels"), labels("found").alias("labels"), F.coalesce(F.array_max(F.transform("found", lambda x: x["shared"] / x["size"])), F.lit(0.0)).alias("score"),
+    ).withColumn("n_base", F.greatest("n_base", F.lit(0).cast("long")))
+
 
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
@@ -106,11 +103,12 @@ def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _values() -> str:
     q = lambda x: f"'{x}'" if isinstance(x, str) else str(x).lower()
-    return ", ".join(f"({', '.join(map(q, p))})" for p in postings())
+    rows = [(w, k, i, label, len(words), size, least, at <= i < at + size, base) for k, (_, _, label, words, at, size, least, base) in enumerate(templates()) for i, w in enumerate(words)]
+    return ", ".join(f"({', '.join(map(q, r))})" for r in rows)
 
 
 OP1_SQL = rf"""
-WITH posting(word, template, place, label, size, key_size, least, rare, is_key, base) AS (VALUES {_values()}),
+WITH posting(word, template, place, label, size, key_size, least, is_key, base) AS (VALUES {_values()}),
 d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
 w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d),
