@@ -22,11 +22,36 @@ LEAST_PIECE = 64
 #: Words whose ids a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
-_BLANKS = re.compile(r"[ \t\n\r]+")
 _STEM = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 _loaded: dict = {}
 
 
+class Known(dict):
+    """Ids by blank-separated word, as bytes, filled as words come.
+
+    The tokenizer lower-cases and parts letters from signs: an ASCII word is its lower-case stem, which is one word of the
+    model, and its signs.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.pieces, self.encode = tokenizer.model.tokenize, tokenizer.encode
+
+    def __missing__(self, word: str) -> bytes:
+        if m := _STEM.fullmatch(word):
+            stem, signs = m[1].lower(), m[2]
+            if signs or stem != word:
+                out = self[stem] + (self[signs] if signs else b"")
+            else:
+                ids = [t.id for t in self.pieces(stem)]
+                out = struct.pack(f"<{len(ids)}I", *ids)
+        else:
+            ids = self.encode(word, add_special_tokens=False).ids
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = out
+        return out
+
+
 class Tokens:
     """Ids of a text, from ids of its blank-separated words, which this tokenizer never joins."""
 
@@ -34,33 +59,14 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known = Known(self.tokenizer)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_BLANKS.split(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        self._learn({w for words in split for w in words if w not in self.known})
-        get, end = self.known.__getitem__, np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(get, words), end]), "<u4") for words in split]
-
-    def _learn(self, words: set[str]) -> None:
-        """The tokenizer lower-cases and parts letters from signs: an ASCII word needs only its lower-case stem encoded."""
-        parts = {w: _STEM.fullmatch(w) for w in words}
-        known, pieces = self.known, self.tokenizer.model.tokenize
-        stems = {m[1].lower() for m in parts.values() if m}
-        for w in stems:
-            if w not in known:  # ASCII letters alone are one word of the model
-                ids = [t.id for t in pieces(w)]
-                known[w] = struct.pack(f"<{len(ids)}I", *ids)
-        new = [w for w in {m[2] for m in parts.values() if m} | {w for w, m in parts.items() if not m} if w not in known]
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        for w, m in parts.items():
-            if m:
-                known[w] = known[m[1].lower()] + known[m[2]]
+            self.known = Known(self.tokenizer)
+        get, end = self.known.__getitem__, struct.pack("<I", END_ID)
+        return [np.frombuffer(b"".join([*map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")), end]), "<u4") for t in texts]
 
 
 def tokens(path: str | None) -> Tokens:
