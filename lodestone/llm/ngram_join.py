@@ -9,6 +9,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import SPACED, bounded, groups, hashed, materialise, mix, slices, table
@@ -17,7 +18,7 @@ from lodestone.llm.components import components
 #: Words of a shingle; similarity in hundredths; frequent tokens that come last in each order (a bound on
 #: what is broadcast: it decides how tokens are ordered, never which links are found); members and shingles of a block;
 #: rows of candidates up to which these are broadcast to the texts (about 60 bytes each), beyond which both are shuffled.
-WIDTH, PERCENT, FREQUENT, LEAST_FREQUENT, BLOCK, BLOCK_SHINGLES, MOST_BROADCAST = 3, 90, 400_000, 6, 1500, 1_000_000, 500_000
+WIDTH, PERCENT, FREQUENT, LEAST_FREQUENT, BLOCK, BLOCK_SHINGLES, MOST_BROADCAST = 3, 90, 1_000_000, 6, 1500, 1_000_000, 500_000
 _U = np.uint64
 _SALTS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
 
@@ -79,7 +80,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, least: in
         sets = list(shingles(texts, width))
         held += sets
         size += sum(map(len, sets))
-        if size > 2_000_000:
+        if size > 4_000_000:
             count()
             size = 0
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(_fingerprint, sets), pa.int64()), *[pa.array([_short(x, k, percent) for x in sets], pa.binary()) for k in (1, 2)], pa.nulls(len(sets), pa.int64())], names=_NAMES)
@@ -245,21 +246,30 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> It
     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
+def _undominated(groups_: DataFrame) -> DataFrame:
+    """Groups (group, node, side) without those that lie in the largest one-sided group of each of their members, which verifies all their pairs."""
+    size = groups_.groupBy("group").agg(F.count("*").alias("size"), F.max("side").alias("sides"))
+    rank = F.when(F.col("sides") == 0, F.struct("size", "group"))
+    marked = groups_.join(size, "group").withColumn("best", F.max(rank).over(W.partitionBy("node"))["group"])
+    inside = marked.groupBy("group").agg(F.min("best").alias("a"), F.max("best").alias("b"), F.count("best").alias("n"), F.count("*").alias("all")).where("n = all and a = b and a <> group")
+    return groups_.join(inside.select("group"), "group", "left_anti")
+
+
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, node and component_id of every document: the smallest doc_id that links of this similarity reach.
 
     Texts with the same shingles are one node, named by a 64-bit fingerprint. Nodes that share a prefix token of the first
     order (frequent tokens last) and a size class meet at its hub, their least node, so all pairs that can be similar meet in
     some hub's members; beyond `block` of these, or BLOCK_SHINGLES, they are split into pairs of blocks, which bounds a task.
-    There the prefixes in two more orders leave the groups that candidate pairs hold together, each group once; only their
-    texts are read again and verified, and only links that span components leave a task, never all pairs.
+    There the prefixes in two more orders leave the groups that candidate pairs hold together, each group once and none that
+    lies in another; only their texts are read again and verified, and only links that span components leave a task, never all pairs.
 
     Null, empty and blank texts have no shingles, link with nothing and are their own component; so are rows with a null id,
     whose component is null. Repeated rows each give a row.
     """
     spark = docs.sparkSession
     own = bounded(docs).select(F.col("doc_id").cast("long"), "text")
-    seen = materialise(own.mapInArrow(partial(_sets, width=width, percent=percent, least=3), _SEEN), "shingle-sets")
+    seen = materialise(own.mapInArrow(partial(_sets, width=width, percent=percent, least=2), _SEEN), "shingle-sets")
     often = seen.where("n is null").groupBy("node").agg(F.sum("count").alias("count")).where(F.col("count") >= LEAST_FREQUENT).orderBy(F.desc("count"), "node").limit(FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(often.select("node").toArrow().column("node").to_numpy().view(_U)))
     each = seen.where("n is not null").select("doc_id", "n", "node")
@@ -275,7 +285,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     meets = members.join(blocks, "hub").withColumn("block", number).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meets = meets.select("hub", "node", "doc_id", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).join(seen.select("node", "doc_id", "n", "first1", "first2"), ["node", "doc_id"])
     near = meets.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "block", "node", "n", "first1", "first2").mapInArrow(partial(_refined, percent=percent), "group long, node long, side int")
-    near = materialise(near.distinct().join(reps.select("node", "doc_id"), "node"), "candidates")
+    near = materialise(_undominated(near.distinct()).join(reps.select("node", "doc_id"), "node"), "candidates")
     wanted = F.broadcast(near) if near.count() <= MOST_BROADCAST else near
     texts = own.join(wanted, "doc_id").select("group", "node", "side", "text")
     links = texts.repartition("group").sortWithinPartitions("group").mapInArrow(partial(_verified, width=width, percent=percent), "u long, v long")
