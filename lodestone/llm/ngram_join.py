@@ -285,7 +285,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     meets = members.join(blocks, "hub").withColumn("block", number).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meets = meets.select("hub", "node", "doc_id", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).join(seen.select("node", "doc_id", "n", "first1", "first2"), ["node", "doc_id"])
     near = meets.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "block", "node", "n", "first1", "first2").mapInArrow(partial(_refined, percent=percent), "group long, node long, side int")
-    near = materialise(_undominated(near.distinct()).join(reps.select("node", "doc_id"), "node"), "candidates")
+    near = materialise(_undominated(materialise(near.distinct(), "groups")).join(reps.select("node", "doc_id"), "node"), "candidates")
     wanted = F.broadcast(near) if near.count() <= MOST_BROADCAST else near
     texts = own.join(wanted, "doc_id").select("group", "node", "side", "text")
     links = texts.repartition("group").sortWithinPartitions("group").mapInArrow(partial(_verified, width=width, percent=percent), "u long, v long")
