@@ -15,7 +15,7 @@ from lodestone.llm.common import ALNUM, bounded, hashed, slices, table
 #: Words of a window; a document is contaminated when 1 in SHARE of its words is hit.
 WINDOW, SHARE = 13, 20
 #: Benchmark bytes searched in one pass, text bytes of a shard, and the text distance of sampled suffixes.
-BLOCK_BYTES, SHARD_BYTES, SAMPLED = 16_000_000, 4_000_000, 8
+BLOCK_BYTES, SHARD_BYTES, SAMPLED = 16_000_000, 2_000_000, 8
 RESULT = "doc_id long, text_hash long, n_words long, begins array<long>, ends array<long>, items array<string>"
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import CASED, hashed, mix, slices, table
 from lodestone.llm.training import MOST_LABELLED, calibration_fold, held_out, labelled_sample
 
+#: Bytes of text whose words' vectors are in memory at a time.
+PART = 1 << 18
 #: Width of vectors, nonzero places of an index vector, words to each side, words with a vector (a bound on the broadcast).
 WIDTH, SPARSE, REACH, MOST_WORDS = 64, 6, 2, 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED, THRESHOLD = 32, 40, 128, 3e-3, 1e-4, 11, 0.3
@@ -64,7 +66,7 @@ def contexts(tokens: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in slices(batches, limit=1 << 18):
+    for _, texts in slices(batches, limit=PART):
         words, shapes, first = streams(texts)
         doc = np.repeat(np.arange(len(texts)), np.diff(first))
         for kind, tokens in enumerate((words, shapes)):
@@ -146,7 +148,7 @@ class Network:
 
 
 def _featured(batches: Iterator[pa.RecordBatch], vectors) -> Iterator[pa.RecordBatch]:
-    for batch, texts in slices(batches):
+    for batch, texts in slices(batches, limit=PART):
         x = features(texts, vectors.value)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
@@ -173,7 +175,7 @@ def _scores(texts: list[bytes], model) -> np.ndarray:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    for batch, texts in slices(batches):
+    for batch, texts in slices(batches, limit=PART):
         s = _scores(texts, model)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -190,7 +192,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) ->
     model = fit(docs, labels, most)
 
     def good(batches):
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, limit=PART):
             yield batch.filter(pa.array(_scores(texts, model) >= THRESHOLD))
 
     return docs.mapInArrow(good, docs.schema)
