@@ -14,12 +14,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+#: Words of a shingle and similarity in hundredths from which two documents are near copies.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
+
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links of the shingle join hold together, the one with the smallest doc_id stays.
 
     Documents without words or id stay. Rows that repeat a kept doc_id stay only if their text is in the same place.
     """
-    found = ngram_join.similar_documents(docs)
+    found = ngram_join.similar_documents(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     gone = found.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

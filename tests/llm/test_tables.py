@@ -52,12 +52,12 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def brute_components(texts):
+def brute_components(texts, width=3, percent=90):
     sets = {}
     for i, t in texts:
         w = (t or "").translate({k: k + 32 for k in range(65, 91)})
         w = re.findall("[^\x20\x09-\x0d]+", w)
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
     up = {i: i for i in sets}
 
     def root(x):
@@ -71,16 +71,17 @@ def brute_components(texts):
         for g in s:
             by[g].append(i)
         for j, n in shared.items():
-            if 100 * n >= 90 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 a, b = sorted((root(i), root(j)))
                 up[b] = a
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-def test_join_against_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(docs).collect()}
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_join_against_brute_force(spark, width, percent):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], width, percent)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(docs, width, percent).collect()}
     assert got == want
 
 
@@ -241,7 +242,7 @@ def test_pipeline(spark):
             rejected = quality.quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 0")
             assert ids(out) == sorted(set(ids(docs)) - set(ids(rejected)))
         elif name == "near copies":
-            want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
+            want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
             assert ids(out) == sorted(i for i, (_, root) in want.items() if i == root)
         elif name == "decontamination":
             bad = queries.QUERIES["op6_decontamination"](spark, SF).where("contaminated").join(docs, "doc_id", "left_semi")
