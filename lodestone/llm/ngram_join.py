@@ -17,8 +17,9 @@ from lodestone.llm.components import components
 
 #: Words of a shingle; similarity in hundredths; frequent tokens that come last in each order (a bound on
 #: what is broadcast: it decides how tokens are ordered, never which links are found); members and shingles of a block;
-#: rows of candidates up to which these are broadcast to the texts (about 60 bytes each), beyond which both are shuffled.
-WIDTH, PERCENT, FREQUENT, LEAST_FREQUENT, BLOCK, BLOCK_SHINGLES, MOST_BROADCAST = 3, 90, 1_000_000, 6, 1500, 1_000_000, 500_000
+#: rows of candidates up to which these are broadcast to the texts (about 60 bytes each), beyond which both are shuffled;
+#: a text with more than one in so many of all rows is hot: fewer than that many are, and these are broadcast.
+WIDTH, PERCENT, FREQUENT, LEAST_FREQUENT, BLOCK, BLOCK_SHINGLES, MOST_BROADCAST, MOST_HOT = 3, 90, 1_000_000, 6, 1500, 1_000_000, 500_000, 1000
 _U = np.uint64
 _SALTS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
 
@@ -234,12 +235,12 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> It
     u, v = [], []
     for group in groups(batches, ["group"]):
         sets = [s for a in range(0, group.num_rows, 200) for s in shingles([t.encode() if t else b"" for t in group.column("text").slice(a, 200).to_pylist()], width)]
-        nodes, side = group.column("node").to_pylist(), group.column("side").to_numpy()
+        nodes, ids, side = group.column("node").to_pylist(), group.column("doc_id").to_pylist(), group.column("side").to_numpy()
         true = [k for k, s in enumerate(sets) if _fingerprint(s) == nodes[k]]  # an id can stand for several texts
-        sets, nodes, side = [sets[k] for k in true], [nodes[k] for k in true], side[true]
+        sets, ids, side = [sets[k] for k in true], [ids[k] for k in true], side[true]
         for a, b in linked(sets, percent, side if len(np.unique(side)) > 1 else None):
-            u.append(nodes[a])
-            v.append(nodes[b])
+            u.append(ids[a])
+            v.append(ids[b])
         if len(u) > 5000:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
             u, v = [], []
@@ -263,6 +264,8 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     some hub's members; beyond `block` of these, or BLOCK_SHINGLES, they are split into pairs of blocks, which bounds a task.
     There the prefixes in two more orders leave the groups that candidate pairs hold together, each group once and none that
     lies in another; only their texts are read again and verified, and only links that span components leave a task, never all pairs.
+    Links name nodes by their smallest doc_id, so a component's root is its id and no join gathers a component's rows; texts
+    that more than one in MOST_HOT rows repeats get theirs by a broadcast of fewer than MOST_HOT rows.
 
     Null, empty and blank texts have no shingles, link with nothing and are their own component; so are rows with a null id,
     whose component is null. Repeated rows each give a row.
@@ -287,15 +290,19 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     near = meets.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "block", "node", "n", "first1", "first2").mapInArrow(partial(_refined, percent=percent), "group long, node long, side int")
     near = materialise(_undominated(materialise(near.distinct(), "groups")).join(reps.select("node", "doc_id"), "node"), "candidates")
     wanted = F.broadcast(near) if near.count() <= MOST_BROADCAST else near
-    texts = own.join(wanted, "doc_id").select("group", "node", "side", "text")
+    texts = own.join(wanted, "doc_id").select("group", "node", "doc_id", "side", "text")
     links = texts.repartition("group").sortWithinPartitions("group").mapInArrow(partial(_verified, width=width, percent=percent), "u long, v long")
 
-    roots = components(links).withColumnRenamed("root", "own")
-    named = each.join(roots, "node", "left").withColumn("own", F.coalesce("own", "node"))
-    least = named.where("n > 0").groupBy("own").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "own", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    roots = components(links).withColumnRenamed("node", "first")
+    texted = each.where("n > 0 and doc_id is not null")
+    placed = texted.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).join(roots, "first", "left")
+    placed = materialise(placed.select("node", F.coalesce("root", "first").alias("component_id"), "copies"), "places")
+    many = (placed.agg(F.sum("copies")).first()[0] or 0) // MOST_HOT
+    hot = F.broadcast(placed.where(F.col("copies") > many).drop("copies"))
+    rest = texted.join(hot, "node", "left_anti").join(placed.where(F.col("copies") <= many).drop("copies"), "node")
+    alone = each.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
+    names = ["doc_id", F.col("n").alias("n_shingles"), "node", "component_id"]
+    return texted.join(hot, "node").select(*names).unionByName(rest.select(*names)).unionByName(alone.select(*names))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
