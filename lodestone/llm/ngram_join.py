@@ -276,12 +276,14 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     often = seen.where("n is null").groupBy("node").agg(F.sum("count").alias("count")).where(F.col("count") >= LEAST_FREQUENT).orderBy(F.desc("count"), "node").limit(FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(often.select("node").toArrow().column("node").to_numpy().view(_U)))
     each = seen.where("n is not null").select("doc_id", "n", "node")
+    texted = each.where("n > 0 and doc_id is not null")
+    nodes = texted.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))  # grouped before any join: copies of a text do not meet
 
     posted = own.select("text").mapInArrow(partial(_postings, width=width, percent=percent, frequent=frequent), "key long, node long")
     stars = materialise(
         posted.selectExpr("node", "min(node) over (partition by key) as hub", "max(node) over (partition by key) as other").where("hub <> other").select("hub", "node").distinct(), "stars"
     )
-    reps = materialise(each.where("n > 0 and doc_id is not null").join(stars.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "nodes")
+    reps = materialise(nodes.select("node", F.col("first").alias("doc_id"), "n").join(stars.select("node").distinct(), "node", "left_semi"), "nodes")
     members = stars.join(reps, "node")
     blocks = members.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     number = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
@@ -294,8 +296,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     links = texts.repartition("group").sortWithinPartitions("group").mapInArrow(partial(_verified, width=width, percent=percent), "u long, v long")
 
     roots = components(links).withColumnRenamed("node", "first")
-    texted = each.where("n > 0 and doc_id is not null")
-    placed = texted.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).join(roots, "first", "left")
+    placed = nodes.join(roots, "first", "left")
     placed = materialise(placed.select("node", F.coalesce("root", "first").alias("component_id"), "copies"), "places")
     many = (placed.agg(F.sum("copies")).first()[0] or 0) // MOST_HOT
     hot = F.broadcast(placed.where(F.col("copies") > many).drop("copies"))
