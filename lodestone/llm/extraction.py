@@ -1,9 +1,11 @@
-"""Main text of web pages: wrappers induced by aligning pages of one host, then the varying content without furniture."""
+"""Main text of web pages: wrappers induced by aligning all pages of a host with a few of it, then the varying content without furniture."""
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,8 +14,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import bounded, hosts_of, materialise, table
 
-#: Pages of a host that are aligned, the longest that may be one of them, and bytes of wrappers up to which they are broadcast.
+#: Pages of a host that all others are aligned with, the longest that is one of them while there are others, and bytes of wrappers up to which they are broadcast.
 REFERENCES, LONGEST_REFERENCE, MOST_BROADCAST = 4, 200_000, 16_000_000
+#: Pages that a constant is on at least, and one that is also dropped inside an article: a passage that fewer share stays.
+LEAST_PAGES, LEAST_SHARED = 2, 4
 #: Elements and words of class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script style noscript template textarea iframe svg title"
@@ -100,150 +104,187 @@ def _clean(text: str) -> str:
     return " ".join(text.split())
 
 
-def _same(a, b) -> bool:
-    return isinstance(a, str) == isinstance(b, str) and (isinstance(a, str) or a.tag == b.tag)
-
-
-class Alignment:
-    """Simple tree matching: the largest order-preserving match of two trees with equal tags; equal texts weigh more."""
-
-    def __init__(self, a: Node, b: Node):
-        self.tables: dict[tuple[int, int], tuple[int, list]] = {}
-        self.pairs: list[tuple[str, str]] = []
-        if a.tag == b.tag:
-            self._weigh(a, b)
-            self._trace(a, b, a.tag)
-
-    def _weigh(self, a, b) -> int:
-        if isinstance(a, str):
-            return 1 + 2 * (_clean(a) == _clean(b))
-        key = (id(a), id(b))
-        if key not in self.tables:
-            m = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
-            for i, x in enumerate(a.children):
-                for j, y in enumerate(b.children):
-                    m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + self._weigh(x, y) if _same(x, y) else 0)
-            self.tables[key] = (1 + m[-1][-1], m)
-        return self.tables[key][0]
-
-    def _trace(self, a: Node, b: Node, path: str) -> None:
-        m = self.tables[id(a), id(b)][1]
-        i, j = len(a.children), len(b.children)
-        while i and j:
-            if m[i][j] == m[i - 1][j]:
-                i -= 1
-            elif m[i][j] == m[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                x, y = a.children[i], b.children[j]
-                if isinstance(x, str):
-                    if (t := _clean(x)) and t == _clean(y):
-                        self.pairs.append((path, t))
-                else:
-                    self._trace(x, y, f"{path}/{x.tag}")
-
-
 def _name(path: str, text: str) -> int:
     import xxhash
 
     return xxhash.xxh3_64_intdigest(f"{path}\n{text}") >> 1
 
 
-def wrapper(pages: list[str]) -> list[int]:
-    """The constant text nodes (path and text) of a host: those that at least half of the alignments with its first page find equal."""
-    trees = [parse(p) for p in dict.fromkeys(pages)]
-    votes: dict[int, int] = {}
-    for other in trees[1:]:
-        for n in {_name(*p) for p in Alignment(trees[0], other).pairs}:
-            votes[n] = votes.get(n, 0) + 1
-    return sorted(n for n, v in votes.items() if 2 * v >= len(trees) - 1)
+def leaves(page: str) -> list[int]:
+    """The names (path of tags and text) of the page's text nodes, in order."""
+    root, out = parse(page), []
+    todo: list = [(root, root.tag)]
+    while todo:
+        x, path = todo.pop()
+        if isinstance(x, str):
+            if t := _clean(x):
+                out.append(_name(path, t))
+        else:
+            todo += [(c, path if isinstance(c, str) else f"{path}/{c.tag}") for c in reversed(x.children)]
+    return out
+
+
+def _numbered(names: list[int]) -> list[tuple[int, int]]:
+    seen: dict[int, int] = {}
+    out = []
+    for n in names:
+        seen[n] = seen.get(n, 0) + 1
+        out.append((n, seen[n]))
+    return out
+
+
+def aligned(a: list[int], b: list[int]) -> set[int]:
+    """Text nodes in a longest order-preserving match of two pages, where a node that repeats meets its like by number."""
+    place = {n: k for k, n in enumerate(_numbered(b))}
+    common = [(n[0], place[n]) for n in _numbered(a) if n in place]
+    tails, at, before = [], [], [-1] * len(common)  # the longest rising run of places
+    for k, (_, x) in enumerate(common):
+        j = bisect.bisect_left(tails, x)
+        before[k] = at[j - 1] if j else -1
+        tails[j : j + 1], at[j : j + 1] = [x], [k]
+    out, k = set(), at[-1] if at else -1
+    while k >= 0:
+        out.add(common[k][0])
+        k = before[k]
+    return out
+
+
+def votes(page: list[int], references: list[list[int]]) -> set[int]:
+    """The nodes of a page that some other page among the references has in the same place."""
+    return set().union(*[aligned(page, r) for r in references if r != page])
+
+
+def wrapper(pages: list[str], least: int = LEAST_PAGES) -> list[int]:
+    """The constant text nodes of a host's pages: those that get the votes of half of its distinct pages, and of `least`."""
+    trees = [leaves(p) for p in dict.fromkeys(pages)]
+    found = Counter(n for t in trees for n in votes(t, trees[:REFERENCES]))
+    return sorted(n for n, v in found.items() if v >= least and 2 * v >= len(trees))
 
 
 def _is_furniture(node: Node, inside: bool) -> bool:
     return node.tag in FURNITURE or "!hidden" in node.marks or not FURNITURE_WORDS.isdisjoint(node.marks) or (not inside and (node.tag == "header" or "header" in node.marks))
 
 
-def _articles(node: Node) -> list[Node]:
+def _articles(node: Node) -> list[tuple[Node, str]]:
+    """The outermost articles with their paths; without any, the outermost main elements."""
     out, main = [], []
-    todo = [node]
+    todo = [(node, "#root", False)]
     while todo:
-        x = todo.pop()
+        x, path, within = todo.pop()
         if x.tag == "article":
-            out.append(x)
+            out.append((x, path))
             continue
-        if x.tag == "main" or "role=main" in x.marks:
-            main.append(x)
-        todo += [c for c in reversed(x.children) if not isinstance(c, str) and not _is_furniture(c, False)]
-    return out or main[:1]
+        if not within and (x.tag == "main" or "role=main" in x.marks):
+            main.append((x, path))
+            within = True
+        todo += [(c, f"{path}/{c.tag}", within) for c in reversed(x.children) if not isinstance(c, str) and not _is_furniture(c, False)]
+    return out or main
 
 
-def main_text(page: str, constants: frozenset = frozenset()) -> str:
+def main_text(page: str, constants: frozenset = frozenset(), shared: frozenset = frozenset()) -> str:
     """Blocks of the page's slots, joined by blank lines.
 
-    With an article (or main) element the slots are in there, and all its text but furniture stays, even where two pages
-    share it. Without one, they are the text nodes that the host's wrapper does not have as constants.
+    With an article (or main elements) the slots are in there, and its text but furniture stays, less the host's `shared`
+    constants; if these are more than half of that text, the page is a near copy of others, and all of it stays. Without
+    one, slots are the text nodes that the host's wrapper does not have as constants.
     """
     root = parse(page)
     found = _articles(root)
+    drop = shared if found else constants
     blocks: list[str] = []
     now: list[str] = []
+    size = dropped = 0
 
     def flush() -> None:
         if text := _clean("".join(now)):
             blocks.append(text)
         now.clear()
 
-    todo: list = []
-    for start in reversed(found or [root]):
-        todo.append((start, bool(found), "#root"))
+    inside, starts = bool(found), {id(x) for x, _ in found}
+    todo: list = list(reversed(found)) or [(root, "#root")]
     while todo:
-        x, inside, path = todo.pop()
+        x, path = todo.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
-            if inside or not constants or _name(path, _clean(x)) not in constants:
+            if not drop:
+                now.append(x)
+                continue
+            text = _clean(x)
+            size += len(text)
+            if _name(path, text) in drop:
+                dropped += len(text)
+                now.append(" ")
+            else:
                 now.append(x)
         elif x.tag == "br":
             now.append(" ")
-        elif not _is_furniture(x, inside) or x in found:
+        elif not _is_furniture(x, inside) or id(x) in starts:
             if x.tag in BLOCKS:
                 flush()
-                todo.append((None, inside, path))
-            below = path if x is root else f"{path}/{x.tag}"
-            todo += [(c, inside, below) for c in reversed(x.children)]
+                todo.append((None, path))
+            todo += [(c, path if isinstance(c, str) else f"{path}/{c.tag}") for c in reversed(x.children)]
     flush()
-    return "\n\n".join(blocks)
+    return main_text(page) if inside and 2 * dropped > size else "\n\n".join(blocks)
 
 
-def _induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for host, pages in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([wrapper([p for p in pages if p])], pa.list_(pa.int64()))], names=["host", "constants"])
+        for a in range(0, batch.num_rows, 500):
+            part = batch.slice(a, 500)
+            names = pa.array([leaves(p) for p in part.column(2).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), names, pa.array([len(p) > LONGEST_REFERENCE for p in part.column(2).to_pylist()])], names=["host", "page", "names", "long"])
+
+
+def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        hosts, names = zip(*held, strict=True) if held else ((), ())
+        done = pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.int64()), pa.array(held.values(), pa.int64())], names=["host", "name", "n"])
+        held.clear()
+        return done
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            host, page, references = (batch.column(c)[k].as_py() for c in range(3))
+            held.update((host, n) for n in votes(page, references))
+            if len(held) > 200_000:
+                yield out()
+    yield out()
+
+
+def _by_host(left: DataFrame, right: DataFrame, size, most_broadcast: int, how: str = "inner") -> DataFrame:
+    """Joined by host: right is broadcast while its measured size is below the limit, else in a shuffle that Spark may split by size."""
+    return left.join(F.broadcast(right) if (right.agg(F.sum(size)).first()[0] or 0) <= most_broadcast else right, "host", how)
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, constants) from REFERENCES pages of each host, those with the least hashes; a host with one page has none.
+def wrappers(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(host, constants, shared): text nodes that get the votes of half of the host's distinct pages; shared ones also of LEAST_SHARED.
 
-    Only as many pages as references are held for a host at any time, so a host with a third of all pages is no larger
-    group than another.
+    Every page is aligned with REFERENCES pages of its host, those with the least hashes (among pages not too long, if there
+    are such), and votes for the nodes that it has in common with one. Repeats of a page vote once. Votes are added up
+    within tasks before they are grouped, and no group holds a host's pages.
     """
-    short = pages.select(hosts_of("url").alias("host"), "html").where(F.length("html").between(1, LONGEST_REFERENCE))
-    chosen = short.groupBy("host").agg(*[F.min_by("html", F.xxhash64("html", F.lit(k))).alias(f"p{k}") for k in range(REFERENCES)])
-    several = chosen.where(F.size(F.array_distinct(F.array(*[f"p{k}" for k in range(REFERENCES)]))) > 1)
-    return several.select("host", F.array(*[f"p{k}" for k in range(REFERENCES)]).alias("pages")).mapInArrow(_induced, "host string, constants array<long>").where(F.size("constants") > 0)
+    own = pages.select(hosts_of("url").alias("host"), F.xxhash64("html").alias("page"), "html").where(F.length("html") > 0)
+    each = materialise(own.mapInArrow(_leaved, "host string, page long, names array<long>, long boolean").dropDuplicates(["host", "page"]), "leaves")
+    chosen = each.groupBy("host").agg(F.count("*").alias("pages"), *[F.min_by("names", F.struct("long", F.xxhash64("page", F.lit(k)))).alias(f"p{k}") for k in range(REFERENCES)])
+    several = materialise(chosen.where("pages > 1").select("host", "pages", F.array_distinct(F.array(*[f"p{k}" for k in range(REFERENCES)])).alias("references")), "references")
+    references = several.select("host", "references")
+    joined = _by_host(each.select("host", "names"), references, F.size(F.flatten("references")) * 8 + F.length("host") + 32, most_broadcast)
+    found = joined.select("host", "names", "references").mapInArrow(_voted, "host string, name long, n long").groupBy("host", "name").agg(F.sum("n").alias("n"))
+    counted = found.where(F.col("n") >= LEAST_PAGES).join(several.select("host", "pages"), "host").where("2 * n >= pages")
+    return counted.groupBy("host").agg(F.sort_array(F.collect_list("name")).alias("constants"), F.sort_array(F.collect_list(F.when(F.col("n") >= LEAST_SHARED, F.col("name")))).alias("shared"))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             part, known, texts = batch.slice(a, 500), {}, []
-            for page, constants in zip(part.column(2).to_pylist(), part.column(3), strict=True):
-                key = constants.as_py()
-                key = tuple(key) if key else ()
-                if key not in known:
-                    known[key] = frozenset(key)
-                texts.append(main_text(page or "", known[key]))
+            for k, (page, host) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                if host not in known:
+                    known[host] = [frozenset(part.column(c)[k].as_py() or ()) for c in (4, 5)]
+                texts.append(main_text(page or "", *known[host]))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -254,11 +295,10 @@ def extract(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame
     rows each give a row. Wrappers are joined by host: broadcast while their measured size is below most_broadcast, else in
     a shuffle that Spark may split by size.
     """
-    found = materialise(wrappers(pages), "wrappers")
-    size = found.agg(F.sum(F.size("constants") * 8 + F.length("host") + 32)).first()[0] or 0
-    own = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", hosts_of("url").alias("host"))
-    joined = own.join(F.broadcast(found) if size <= most_broadcast else found, "host", "left")
-    return joined.select("page_id", "url", "html", "constants").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    found = materialise(wrappers(bounded(pages), most_broadcast), "wrappers")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", hosts_of("url").alias("host"))
+    joined = _by_host(own, found, F.size("constants") * 8 + F.size("shared") * 8 + F.length("host") + 32, most_broadcast, "left")
+    return joined.select("page_id", "url", "html", "host", "constants", "shared").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 
 
 def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

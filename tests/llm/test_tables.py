@@ -168,6 +168,20 @@ def test_extraction_odd_rows(odd_pages, spark):
     assert extraction.extract(odd_pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, extraction.MOST_BROADCAST])
+def test_extraction_drops_template_text_inside_articles(spark, most):
+    template = "<p>Read more of our reports every day</p>"
+    rows = [(k, f"http://t.u/{k}", f"<article><h1>{sentence(k, 5)}</h1><p>{sentence(k)}</p>{'<p>Shared by few</p>' if k < 3 else ''}{template}</article>") for k in range(12)]
+    near = [f"<p>{sentence(100 + k)}</p>" for k in range(5)]
+    rows += [(20 + k, f"http://v.w/{k}", f"<article>{''.join(near)}<p>{sentence(200 + k)}</p></article>") for k in range(6)]
+    rows += [(30, "http://x.y/", "<main><p>one</p></main><main><p>two</p></main>")] + [(31 + k, f"http://z.z/{k}", f"<article><p>the same {sentence(9)}</p></article>") for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), most).collect()}
+    for k in range(12):
+        assert got[k] == "\n\n".join([sentence(k, 5), sentence(k)] + (["Shared by few"] if k < 3 else []))
+    assert got[30] == "one\n\ntwo" and all(got[31 + k] == "the same " + sentence(9) for k in range(6))
+    assert all(got[20 + k] == "\n\n".join([*[sentence(100 + j) for j in range(5)], sentence(200 + k)]) for k in range(6))
+
+
 def test_decontamination_odd_rows(odd, spark):
     text = sentence(77, 20)
     items = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "a B"), (5, sentence(2) + " more")], "item_id long, text string").withColumn("doc_id", F.lit(1))
