@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, ngram_join, packing, quality, secrets
-from lodestone.llm.common import bounded, materialise, slices, table
+from lodestone.llm.common import materialise, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,24 +28,11 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark passages contaminate go; the others stay as they are."""
-    blocks = [spark.sparkContext.broadcast(w) for w in decontamination.benchmark_blocks(table(spark, sf_dir, "benchmark"), decontamination.WINDOW, decontamination.BLOCK_BYTES)]
-    if len(blocks) != 1:
-        found = decontamination.digest(decontamination.contamination(docs, table(spark, sf_dir, "benchmark")))
-        return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    windows = blocks[0]
-    bounded(docs)
-
-    def clean(batches):
-        for batch, texts in slices(batches, limit=decontamination.SHARD_BYTES):
-            stay = []
-            for n, begins, ends, _ in decontamination.shard_hits(texts, windows.value):
-                hit = sum(ends) - sum(begins)
-                stay.append(not (hit > 0 and decontamination.SHARE * hit >= n))
-            yield batch.filter(pa.array(stay))
-
-    return docs.mapInArrow(clean, docs.schema)
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, block_bytes: int = decontamination.BLOCK_BYTES) -> DataFrame:
+    """Rows whose own text benchmark passages contaminate go, whatever their doc_id; the others stay as they are."""
+    found = decontamination.contaminated_texts(docs, table(spark, sf_dir, "benchmark"), block_bytes=block_bytes)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.md5("text").alias("text_md5"))
+    return keyed.join(found, "text_md5", "left_anti").select("row.*")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

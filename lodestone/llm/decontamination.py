@@ -225,6 +225,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
     return grouped.select("doc_id", "text_hash", "n_words", begins.alias("begins"), ends.alias("ends"), "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
 
 
+def _hit(batches: Iterator[pa.RecordBatch], windows, block: int) -> Iterator[pa.RecordBatch]:
+    names = pa.schema([("text_md5", pa.string()), ("block", pa.int32()), ("n_words", pa.int64()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+    for batch, texts in slices(batches, limit=SHARD_BYTES):
+        hits = [(k, n, begins, ends) for k, (n, begins, ends, _) in enumerate(shard_hits(texts, windows.value)) if begins]
+        keys = batch.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
+        yield pa.RecordBatch.from_arrays([keys, pa.array([block] * len(hits), pa.int32()), *[pa.array([h[c] for h in hits], names[c + 1].type) for c in (1, 2, 3)]], schema=names)
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """text_md5 of every contaminated text, once: hits of all blocks of the benchmark are merged by text, so ids play no part.
+
+    Copies of a text are one row for each block before its hits are collected, which bounds a group by the text's own words.
+    """
+    spark, own, parts = bounded(docs).sparkSession, docs.select(F.md5("text").alias("text_md5"), "text"), []
+    for block, windows in enumerate(benchmark_blocks(benchmark, width, block_bytes)):
+        shared = spark.sparkContext.broadcast(windows)
+        parts.append(own.mapInArrow(lambda batches, shared=shared, block=block: _hit(batches, shared, block), "text_md5 string, block int, n_words long, begins array<long>, ends array<long>"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    spread = F.flatten(F.transform(F.arrays_zip("begins", "ends"), lambda x: F.sequence(x["begins"], x["ends"] - 1)))
+    once = every.dropDuplicates(["text_md5", "block"]).withColumn("hit", spread)
+    merged = once.groupBy("text_md5").agg(F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("n_hit"))
+    return merged.where(f"n_hit > 0 and {SHARE} * n_hit >= n_words").select("text_md5")
+
+
 def digest(found: DataFrame) -> DataFrame:
     hit = F.aggregate(F.zip_with("begins", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     items = F.array_sort(F.array_distinct("items"))

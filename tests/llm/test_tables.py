@@ -268,6 +268,19 @@ def test_pipeline(spark):
         docs = out
 
 
+def test_decontamination_stage_decides_by_row(spark):
+    """Repeated and null ids, and any number of benchmark blocks."""
+    folder, a, b = common.scratch(spark, "items"), sentence(501, 30), sentence(902, 300)
+    spark.createDataFrame([(k, sentence(500 + k, 30)) for k in range(6)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    both = " ".join([sentence(503, 30).rsplit(" ", 15)[0], sentence(904, 560), sentence(505, 30).rsplit(" ", 15)[0]])  # contaminated by two items together
+    rows = [(None, a), (None, b), (7, a), (7, b), (8, b), (8, b), (9, a), (10, None), (11, ""), (12, both)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_md5", F.lit(1))
+    want = sorted(((k, t) for k, t in rows if t not in (a, both)), key=str)
+    for block in (300, decontamination.BLOCK_BYTES):
+        got = corpus_pipeline.decontamination_stage(spark, docs, folder, block)
+        assert got.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == want
+
+
 def test_pipeline_stages_take_odd_rows(odd, spark):
     docs = odd
     for _, stage in corpus_pipeline.STAGES:
