@@ -19,13 +19,21 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links of the shingle join hold together, the one with the smallest doc_id stays.
+    """Of each group of texts that links of the shingle join hold together, one row stays: that with the smallest doc_id.
 
-    Documents without words or id stay. Rows that repeat a kept doc_id stay only if their text is in the same place.
+    Rows are decided by doc_id and text: unlike texts of one doc_id stay or go apart. Of several texts of that doc_id in the
+    group the one with the least fingerprint and hash stays; of rows that repeat it, the least. Rows without words or id stay.
     """
-    found = ngram_join.similar_documents(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    gone = found.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = materialise(ngram_join.similar_documents(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT).where("n_shingles > 0 and doc_id is not null").drop("n_shingles"), "similar")
+    best = "doc_id = component_id and node = component_node"
+    several = materialise(found.where(best).groupBy("doc_id", "node").agg(F.min("text_hash").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "several")
+    others = found.where(best).join(several, ["doc_id", "node"]).where("text_hash <> least")
+    gone = found.where(f"not ({best})").unionByName(others.select(*found.columns)).select("doc_id", "text_hash").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    kept = keyed.join(gone, ["doc_id", "text_hash"], "left_anti")
+    again = several.select("doc_id", F.col("least").alias("text_hash"))
+    once = kept.join(again, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.min("row").alias("row"))
+    return kept.join(again, ["doc_id", "text_hash"], "left_anti").select("row.*").union(once.select("row.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, block_bytes: int = decontamination.BLOCK_BYTES) -> DataFrame:

@@ -50,8 +50,8 @@ def _fingerprint(s: np.ndarray) -> int:
 
 
 _NONE = np.empty(0, _U)
-_NAMES = ["doc_id", "n", "node", "first1", "first2", "count"]
-_SEEN = "doc_id long, n long, node long, first1 binary, first2 binary, count long"
+_NAMES = ["doc_id", "n", "node", "first1", "first2", "count", "text_hash"]
+_SEEN = "doc_id long, n long, node long, first1 binary, first2 binary, count long, text_hash long"
 
 
 def _short(s: np.ndarray, order: int, percent: int) -> bytes:
@@ -84,12 +84,12 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, least: in
         if size > 4_000_000:
             count()
             size = 0
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(_fingerprint, sets), pa.int64()), *[pa.array([_short(x, k, percent) for x in sets], pa.binary()) for k in (1, 2)], pa.nulls(len(sets), pa.int64())], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(_fingerprint, sets), pa.int64()), *[pa.array([_short(x, k, percent) for x in sets], pa.binary()) for k in (1, 2)], pa.nulls(len(sets), pa.int64()), batch.column(2)], names=_NAMES)
     if held:
         count()
     tokens, counts = common[0][common[1] >= least], common[1][common[1] >= least]
     none = pa.nulls(len(tokens), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, pa.array(tokens.view(np.int64)), pa.nulls(len(tokens), pa.binary()), pa.nulls(len(tokens), pa.binary()), pa.array(counts)], names=_NAMES)
+    yield pa.RecordBatch.from_arrays([none, none, pa.array(tokens.view(np.int64)), pa.nulls(len(tokens), pa.binary()), pa.nulls(len(tokens), pa.binary()), pa.array(counts), none], names=_NAMES)
 
 
 def prefix(s: np.ndarray, order: int, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -232,19 +232,22 @@ def _refined(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 
 def _verified(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    u, v = [], []
+    vertex, links = pa.struct([("first", pa.int64()), ("node", pa.int64())]), []
+
+    def out() -> pa.RecordBatch:
+        done = pa.RecordBatch.from_arrays([pa.array([{"first": x[side], "node": x[side + 1]} for x in links], vertex) for side in (0, 2)], names=["u", "v"])
+        links.clear()
+        return done
+
     for group in groups(batches, ["group"]):
         sets = [s for a in range(0, group.num_rows, 200) for s in shingles([t.encode() if t else b"" for t in group.column("text").slice(a, 200).to_pylist()], width)]
         nodes, ids, side = group.column("node").to_pylist(), group.column("doc_id").to_pylist(), group.column("side").to_numpy()
         true = [k for k, s in enumerate(sets) if _fingerprint(s) == nodes[k]]  # an id can stand for several texts
-        sets, ids, side = [sets[k] for k in true], [ids[k] for k in true], side[true]
-        for a, b in linked(sets, percent, side if len(np.unique(side)) > 1 else None):
-            u.append(ids[a])
-            v.append(ids[b])
-        if len(u) > 5000:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-            u, v = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        sets, names, side = [sets[k] for k in true], [(ids[k], nodes[k]) for k in true], side[true]
+        links += [names[a] + names[b] for a, b in linked(sets, percent, side if len(np.unique(side)) > 1 else None)]
+        if len(links) > 5000:
+            yield out()
+    yield out()
 
 
 def _undominated(groups_: DataFrame) -> DataFrame:
@@ -257,25 +260,26 @@ def _undominated(groups_: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, node and component_id of every document: the smallest doc_id that links of this similarity reach.
+    """doc_id, n_shingles, node, component_id, component_node and text_hash of every document: the smallest doc_id that links of this similarity reach.
 
     Texts with the same shingles are one node, named by a 64-bit fingerprint. Nodes that share a prefix token of the first
     order (frequent tokens last) and a size class meet at its hub, their least node, so all pairs that can be similar meet in
     some hub's members; beyond `block` of these, or BLOCK_SHINGLES, they are split into pairs of blocks, which bounds a task.
     There the prefixes in two more orders leave the groups that candidate pairs hold together, each group once and none that
     lies in another; only their texts are read again and verified, and only links that span components leave a task, never all pairs.
-    Links name nodes by their smallest doc_id, so a component's root is its id and no join gathers a component's rows; texts
+    Links name nodes by their smallest doc_id and fingerprint, so a component's root has its id and no join gathers a component's
+    rows, and unlike texts of one doc_id stay apart (component_node is the root's fingerprint); texts
     that more than one in MOST_HOT rows repeats get theirs by a broadcast of fewer than MOST_HOT rows.
 
     Null, empty and blank texts have no shingles, link with nothing and are their own component; so are rows with a null id,
     whose component is null. Repeated rows each give a row.
     """
     spark = docs.sparkSession
-    own = bounded(docs).select(F.col("doc_id").cast("long"), "text")
+    own = bounded(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     seen = materialise(own.mapInArrow(partial(_sets, width=width, percent=percent, least=2), _SEEN), "shingle-sets")
     often = seen.where("n is null").groupBy("node").agg(F.sum("count").alias("count")).where(F.col("count") >= LEAST_FREQUENT).orderBy(F.desc("count"), "node").limit(FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(often.select("node").toArrow().column("node").to_numpy().view(_U)))
-    each = seen.where("n is not null").select("doc_id", "n", "node")
+    each = seen.where("n is not null").select("doc_id", "n", "node", "text_hash")
     texted = each.where("n > 0 and doc_id is not null")
     nodes = texted.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))  # grouped before any join: copies of a text do not meet
 
@@ -293,16 +297,16 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     near = materialise(_undominated(materialise(near.distinct(), "groups")).join(reps.select("node", "doc_id"), "node"), "candidates")
     wanted = F.broadcast(near) if near.count() <= MOST_BROADCAST else near
     texts = own.join(wanted, "doc_id").select("group", "node", "doc_id", "side", "text")
-    links = texts.repartition("group").sortWithinPartitions("group").mapInArrow(partial(_verified, width=width, percent=percent), "u long, v long")
+    links = texts.repartition("group").sortWithinPartitions("group").mapInArrow(partial(_verified, width=width, percent=percent), "u struct<first: long, node: long>, v struct<first: long, node: long>")
 
-    roots = components(links).withColumnRenamed("node", "first")
-    placed = nodes.join(roots, "first", "left")
-    placed = materialise(placed.select("node", F.coalesce("root", "first").alias("component_id"), "copies"), "places")
+    roots = components(links).select(F.col("node.first").alias("first"), F.col("node.node").alias("node"), "root")
+    placed = nodes.join(roots, ["first", "node"], "left")
+    placed = materialise(placed.select("node", F.coalesce("root.first", "first").alias("component_id"), F.coalesce("root.node", "node").alias("component_node"), "copies"), "places")
     many = (placed.agg(F.sum("copies")).first()[0] or 0) // MOST_HOT
     hot = F.broadcast(placed.where(F.col("copies") > many).drop("copies"))
     rest = texted.join(hot, "node", "left_anti").join(placed.where(F.col("copies") <= many).drop("copies"), "node")
-    alone = each.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
-    names = ["doc_id", F.col("n").alias("n_shingles"), "node", "component_id"]
+    alone = each.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id")).withColumn("component_node", F.col("node"))
+    names = ["doc_id", F.col("n").alias("n_shingles"), "node", "component_id", "component_node", "text_hash"]
     return texted.join(hot, "node").select(*names).unionByName(rest.select(*names)).unionByName(alone.select(*names))
 
 

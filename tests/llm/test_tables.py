@@ -268,6 +268,15 @@ def test_pipeline(spark):
         docs = out
 
 
+def test_near_copies_stage_keeps_each_text_once(spark):
+    a, b, c = sentence(601), sentence(602), sentence(603)
+    rows = [(5, a), (5, b), (4, b), (7, c), (7, c), (8, c), (9, c.upper()), (11, sentence(604)), (11, sentence(605)), (11, sentence(606)), (12, sentence(604)), (None, a), (13, ""), (13, "")]
+    docs = spark.createDataFrame([(k, t, "b" if i == 3 else "a") for i, (k, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = sorted(((r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.near_copies_stage(spark, docs, SF).collect()), key=str)
+    want = [(5, a), (4, b), (7, c), (11, sentence(604)), (11, sentence(605)), (11, sentence(606)), (None, a), (13, ""), (13, "")]
+    assert got == sorted(((k, t, "a") for k, t in want), key=str)
+
+
 def test_decontamination_stage_decides_by_row(spark):
     """Repeated and null ids, and any number of benchmark blocks."""
     folder, a, b = common.scratch(spark, "items"), sentence(501, 30), sentence(902, 300)
