@@ -104,9 +104,9 @@ class FMIndex:
 
 
 class Windows:
-    """The distinct windows of benchmark items: words as numbers from 1, right-aligned patterns, and the items of each."""
+    """The distinct windows of benchmark items: words as numbers from 1, right-aligned patterns, and the items of each (without null ids)."""
 
-    def __init__(self, ids: list[str], texts: list[bytes], width: int):
+    def __init__(self, ids: list[str | None], texts: list[bytes], width: int):
         words, first = hashed(texts, ALNUM)
         self.vocabulary = np.unique(words)
         number = np.searchsorted(self.vocabulary, words) + 1
@@ -114,7 +114,7 @@ class Windows:
         for k, item in enumerate(ids):
             own = number[first[k] : first[k + 1]].tolist()
             for i in range(max(1, len(own) - width + 1) if own else 0):
-                found.setdefault(tuple(own[i : i + width]), set()).add(item)
+                found.setdefault(tuple(own[i : i + width]), set()).update(() if item is None else (item,))
         self.lengths = np.array([len(w) for w in found], np.int64)
         self.patterns = np.zeros((len(found), width), np.int64)
         for k, w in enumerate(found):
@@ -192,11 +192,11 @@ def _searched(batches: Iterator[pa.RecordBatch], windows) -> Iterator[pa.RecordB
 
 def benchmark_blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[Windows]:
     """Windows of the benchmark's items in blocks of a bounded size; null texts and texts without words have none."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toArrow()
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
         yield Windows(part.column("item_id").to_pylist(), [t.encode() for t in part.column("text").to_pylist()], width)
 
 
@@ -205,7 +205,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
 
     The benchmark is the stated query set: it goes to the workers in blocks of block_bytes, one pass over the documents
     for each; spans of several passes are merged by id and text. Null and empty texts have no words and no hits; repeated
-    rows give a row each (with several passes, equal rows are counted once and repeated again).
+    rows give a row each (with several passes, equal rows are counted once and repeated again). Windows of items with a null
+    id hit like others; items lists no null.
     """
     spark, parts = bounded(docs).sparkSession, []
     for windows in benchmark_blocks(benchmark, width, block_bytes):

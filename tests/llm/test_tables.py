@@ -195,6 +195,18 @@ def test_decontamination_odd_rows(odd, spark):
     assert none == 0 and decontamination.contamination(odd.limit(0), items).count() == 0
 
 
+def test_decontamination_items_without_id(odd, spark):
+    import duckdb
+
+    docs = odd.select("doc_id", "text").where("doc_id is null or doc_id <> 10")  # the SQL repeats a text for each of its words
+    items = spark.createDataFrame([(None, sentence(77, 20)), (None, sentence(2)), (1, sentence(2)), (None, None), (2, "a B")], "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", items)):
+        con.register(name, df.toArrow())
+    for block in (300, decontamination.BLOCK_BYTES):
+        assert compare(decontamination.digest(decontamination.contamination(docs, items, block_bytes=block)), con, decontamination.OP6_SQL) == ""
+
+
 def test_secrets_odd_rows(odd, spark):
     got = {r["doc_id"]: r for r in secrets.secrets(odd).collect()}
     assert (got[9]["n_assign"], got[9]["n_access"], got[9]["n_hex"]) == (1, 1, 1) and got[1]["spans"] == got[2]["spans"] == ""
