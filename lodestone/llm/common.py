@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary folder only where none is set (tests)."""
+    """A new path in the folder that driver and executors share; a temporary folder only where none is set and one machine runs all (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(root or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -30,6 +33,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that more than one in so many rows has is hot.
+MOST_HOT = 1000
+
+
+def with_hot(rows: DataFrame, dim: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows joined with dim, which has one row a key and says in `weight` how many rows have it.
+
+    Keys of more than one in MOST_HOT rows are joined by a broadcast of fewer than MOST_HOT rows, so no task gathers theirs.
+    """
+    many = (dim.agg(F.sum(weight)).first()[0] or 0) // MOST_HOT
+    hot, rest = F.broadcast(dim.where(F.col(weight) > many)), dim.where(F.col(weight) <= many)
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(dim.where(F.col(weight) > many).select(key)), key, "left_anti").join(rest, key))
+
+
 def bounded(df: DataFrame, rows: int = 1000) -> DataFrame:
     """df, with Arrow batches of so many rows at most: texts are long, and Spark's default of 10,000 is more than workers should hold twice."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -135,6 +152,4 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
 
 
 def hosts_of(url: str):
-    from pyspark.sql import functions as F
-
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))

@@ -234,26 +234,53 @@ def test_held_out_accuracy(spark, score, column, least):
 
 
 def test_near_vectors_odd_rows(spark):
-    v = np.random.default_rng(0).normal(size=(6, 8)).tolist()
-    rows = [(1, v[0]), (2, v[0]), (3, [2 * x for x in v[0]]), (4, None), (5, []), (6, [0.0] * 8), (7, [*v[1][:7], None]), (8, [float("nan")] * 8), (9, [float("inf"), *v[1][1:]]), (10, v[2]), (10, v[2]), (None, v[3]), (11, v[4][:4]), (12, v[4][:4])]
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, [0.0, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [1.0, None]), (8, [nan, 1.0]), (9, [inf, 1.0]), (10, [1.0, 0.0, 0.0]), (11, [1.0, 0.0]), (None, [0.0, 2.0])]
     got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("node", F.lit(1)), tile=2).collect()
-    at = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got}
-    assert len(got) == len(rows) and at[1] == (2, 1, True) and at[3] == (2, 1, False) and at[10] == (1, 10, True) and at[12] == (1, 11, False)
-    assert all(at[k] == (0, k, True) for k in (4, 5, 6, 7, 8, 9)) and near_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    at = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in got)
+    assert at == sorted([(1, 2, 1, True), (2, 2, 1, False), (2, 1, 2, True), *[(k, 0, k, True) for k in (4, 5, 6, 7, 8, 9, 10)], (11, 2, 1, False), (0, 1, 2, False)])
+    assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_near_vectors_of_extreme_size(spark):
+    rows = [(1, [1e-200, 1e-200]), (2, [1.0, 0.0]), (3, [1.0, 0.01]), (4, [1e300, 1e300]), (5, [5e-324, 0.0]), (6, [-1.7e308, 0.0])]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (1, 1), 4: (1, 1), 2: (2, 2), 3: (2, 2), 5: (2, 2), 6: (0, 6)}
 
 
 def test_near_vectors_against_brute_force(spark):
-    rng = np.random.default_rng(2)
-    centres = rng.normal(size=(30, 16))
-    x = np.repeat(centres, 10, axis=0) + rng.normal(size=(300, 16)) * rng.uniform(0.05, 0.35, (300, 1))
-    rows = [(k, v) for k, v in enumerate(x.tolist())]
-    cosine = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
-    link = (cosine >= 0.95) & ~np.eye(300, dtype=bool)
-    label = near_vectors._labels(link)
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for tile, grid in ((2048, 2), (16, 2), (64, 3)):
-        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(df, tile=tile, grid=grid).collect()}
-        assert got == {k: (int(link[k].sum()), int(label[k])) for k in range(300)}
+    rng = np.random.default_rng(3)
+    for spread in (1.0, 0.05):  # scattered directions, and clusters that the tree parts
+        base = rng.normal(0, 1, (12, 24)) * np.geomspace(3, 0.3, 24)
+        x = np.vstack([base[k % 12] + rng.normal(0, spread * (0.05 + 0.4 * (k % 3)), 24) for k in range(300)] + [np.repeat(base[:1], 4, 0)]).astype(np.float32).astype(float)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        link = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+        label = np.arange(len(x))
+        while not np.array_equal(label, new := np.minimum(label, np.where(link, label[None], len(x)).min(1))):
+            label = new
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+        for tile in (1000, 20):
+            got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(df, tile=tile).collect()}
+            assert got == {k: (int(link[k].sum()), int(label[k])) for k in range(len(x))}
+
+
+def test_tiles_that_cannot_meet_are_not_shuffled(spark):
+    rng = np.random.default_rng(5)
+    centre = np.eye(8)[np.arange(400) % 8] * 10
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(centre + rng.normal(0, 0.05, (400, 8)))], "vec_id long, embedding array<double>")
+    classes = df.select("embedding", F.xxhash64("embedding").alias("node"), F.col("vec_id").alias("first"), F.lit(1).cast("long").alias("weight"), F.lit(8).alias("dims"))
+    bases = spark.sparkContext.broadcast(near_vectors.principal(classes))
+    dealt, meets = near_vectors.tiles(classes, bases, 0.95, 50)
+    n = dealt.select("own").distinct().count()
+    assert n >= 8 and meets.count() < n * n / 2
+
+
+def test_a_block_of_many_links_is_compared_as_a_whole():
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(0, 1, 16) + rng.normal(0, 0.1, (80, 16)), rng.normal(0, 1, (40, 16))])
+    u = near_vectors._unit(x)
+    a, b = near_vectors.near_pairs(x, x, u, u, 0.95)
+    assert set(zip(a.tolist(), b.tolist())) == set(zip(*(z.tolist() for z in np.nonzero(u @ u.T >= 0.95))))
 
 
 def test_pipeline(spark):
