@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,25 +29,31 @@ def collapse(text) -> Column:
 
 
 def singular(word) -> Column:
+    """One branch for most words: all plurals but one end in s."""
     w = col(word)
-    out = F.when(w.rlike("ies$") & (F.length(w) > 4), F.concat(F.substring(w, F.lit(1), F.length(w) - 3), F.lit("y")))
-    irregular = F.when(F.lit(False), w)
-    for plural, one in IRREGULAR.items():
-        irregular = irregular.when(w == plural, one)
-    return F.coalesce(
-        irregular,
-        F.when((F.length(w) <= 3) | w.rlike("(ss|us|is)$"), w),
-        out,
-        F.when(w.rlike("(ches|shes|xes|sses)$"), F.substring(w, F.lit(1), F.length(w) - 2)),
-        F.when(w.rlike("s$"), F.substring(w, F.lit(1), F.length(w) - 1)),
-        w,
-    )
+    ends = lambda *tails: reduce(or_, (w.endswith(t) for t in tails))
+    without = lambda n: F.substring(w, F.lit(1), F.length(w) - n)
+    plural_s = {p: one for p, one in IRREGULAR.items() if p.endswith("s")}
+    out = F.when(~ends("s"), reduce(lambda c, p: c.when(w == p[0], p[1]), ((p, o) for p, o in IRREGULAR.items() if p not in plural_s), F.when(F.lit(False), w)).otherwise(w))
+    for plural, one in plural_s.items():
+        out = out.when(w == plural, one)
+    out = out.when((F.length(w) <= 3) | ends("ss", "us", "is"), w).when(ends("ies") & (F.length(w) > 4), F.concat(without(3), F.lit("y")))
+    return out.when(ends("ches", "shes", "xes", "sses"), without(2)).otherwise(without(1))
+
+
+#: ASCII characters that no word has, and as many blanks.
+_SIGNS = "".join(chr(c) for c in range(128) if not (chr(c).isalnum() or chr(c) in "+# \t\n\x0b\x0c\r"))
+_BLANKS = " " * len(_SIGNS)
 
 
 def plain(text) -> Column:
-    """Lower case; hyphens and underscores apart, possessives and apostrophes gone, all but a-z 0-9 + # as blanks."""
+    """Lower case; hyphens and underscores apart, possessives and apostrophes gone, all but a-z 0-9 + # as blanks.
+
+    ASCII signs are translated, which is several times faster than a pattern; only texts with other characters need one.
+    """
     s = F.translate(F.lower(col(text)), "-_’", "  '")
-    return F.regexp_replace(F.replace(F.replace(s, F.lit("'s "), F.lit(" ")), F.lit("'"), F.lit("")), r"[^a-z0-9+#\s]", " ")
+    s = F.translate(F.replace(F.replace(s, F.lit("'s "), F.lit(" ")), F.lit("'"), F.lit("")), _SIGNS, _BLANKS)
+    return F.when(F.octet_length(s) == F.length(s), s).otherwise(F.regexp_replace(s, r"[^\x00-\x7F]+", " "))
 
 
 def tokens(text) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.sources.scratch import materialise, small
 
 
 def first_seen(value: str, position) -> Column:
@@ -70,11 +71,28 @@ def other_forms(forms: DataFrame, by: str, form: str, position: str, name: str)
     return first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x[form]).alias("aliases"))
 
 
-def spans(docs: DataFrame, forms: DataFrame, longest: int) -> DataFrame:
-    """(doc, a, b, concept): where a concept's form (array of tokens) stands among a document's tokens; an equi-join of n-grams."""
-    places = docs.select("doc", "tokens", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).where(F.size("tokens") >= F.col("n"))
-    places = places.select("doc", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("n") + 1), lambda i: F.array_join(F.slice("tokens", i, F.col("n")), " "))).alias("a", "gram"))
-    return places.join(forms.select(F.array_join("form", " ").alias("gram"), "concept").distinct(), "gram").select("doc", "a", (F.col("a") + F.col("n")).alias("b"), "concept")
+#: First tokens of a form that places are joined by.
+LEAD = 3
+
+
+def spans(docs: DataFrame, forms: DataFrame) -> DataFrame:
+    """(doc, a, b, concept): where a concept's form (array of tokens) stands among the tokens of docs (doc, tokens).
+
+    Each place is its token and the next ones; no n-gram is built. Places meet forms by as many first tokens as the shortest
+    form has (LEAD at most), so a counted small table of forms is broadcast and only hits are shuffled. What a longer form
+    has behind its first tokens is compared afterwards, at hits alone. Empty forms are nowhere.
+    """
+    own = small(materialise(forms.where(F.size("form") > 0).select("concept", "form", F.size("form").alias("n"), *[F.get("form", F.lit(k)).alias(f"f{k}") for k in range(LEAD)]).distinct(), "forms"))
+    first = own.agg(F.min("n"), F.max("n")).first()
+    least, most = min(first[0] or 1, LEAD), first[1] or 1
+    ahead = F.arrays_zip("tokens", *[F.slice("tokens", k + 1, F.size("tokens")) for k in range(1, LEAD)])
+    places = docs.select("doc", F.posexplode(ahead).alias("a", "t")).select("doc", "a", "t.*").toDF("doc", "a", *[f"t{k}" for k in range(LEAD)])
+    on = [F.col(f"t{k}") == F.col(f"f{k}") for k in range(least)] + [F.col(f"f{k}").isNull() | (F.col(f"t{k}") == F.col(f"f{k}")) for k in range(least, LEAD)]
+    found = places.join(own, on).select("doc", "a", "n", "concept", "form")
+    if most > LEAD:
+        long = docs.join(small(materialise(found.where(F.col("n") > LEAD), "long-forms")), "doc").where(F.slice("tokens", F.col("a") + 1, F.col("n")) == F.col("form"))
+        found = found.where(F.col("n") <= LEAD).unionByName(long.select(*found.columns))
+    return found.select("doc", "a", (F.col("a") + F.col("n")).alias("b"), "concept")
 
 
 def longest_matches(found: DataFrame) -> DataFrame:
@@ -85,19 +103,14 @@ def longest_matches(found: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for edges (u, v): each node's least reachable node, by spreading minima with pointer jumps, checkpointed each round."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    both = edges.select("u", "v").union(edges.select("v", "u").toDF("u", "v")).where("u is not null and v is not null").distinct().checkpoint()
-    label = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")).checkpoint()
+    """(node, root) for edges (u, v): each node's least reachable node, by spreading minima with pointer jumps, each round written to the shared folder."""
+    both = materialise(edges.select("u", "v").union(edges.select("v", "u").toDF("u", "v")).where("u is not null and v is not null").distinct(), "edges")
+    label = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "labels")
     for _ in range(rounds):
         near = both.join(label, both.v == label.node).groupBy("u").agg(F.min("root").alias("m"))
         spread = label.join(near, label.node == near.u, "left").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         up = label.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        new = spread.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")).checkpoint()
+        new = materialise(spread.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")), "labels")
         label = new.select("node", "root")
         if new.where("root <> old").isEmpty():
             return label

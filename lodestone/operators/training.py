@@ -24,11 +24,20 @@ def requested_types(index) -> Column:
 
 
 def clean_questions(questions: DataFrame, most: int = 3) -> DataFrame:
-    """The first `most` of a chunk's questions (chunk, pos, type, question): self-contained, of 10 characters or more, one of each type, none twice."""
-    q = questions.withColumn("question", T.collapse("question")).where((F.length("question") >= 10) & ~F.col("question").rlike(META))
-    q = q.withColumn("t", F.row_number().over(W.partitionBy("chunk", F.lower("question")).orderBy("pos"))).where("t = 1")
-    q = q.withColumn("t", F.row_number().over(W.partitionBy("chunk", "type").orderBy("pos"))).where("t = 1")
-    return q.withColumn("t", F.row_number().over(W.partitionBy("chunk").orderBy("pos"))).where(F.col("t") <= most).drop("t")
+    """The first `most` of a chunk's questions (chunk, pos, type, question): of a requested type, self-contained, of 10 characters or more, one of each type, none twice.
+
+    A question counts as seen, and its type as used, only once it is kept, so a reply's questions are folded in order. With
+    a column `requested` (array of types) others are dropped. A reply holds a handful of questions; it is one row of the fold.
+    """
+    q = questions.withColumn("question", T.collapse("question")).withColumn("type", F.trim("type")).where((F.length("question") >= 10) & ~F.col("question").rlike(META))
+    if "requested" in questions.columns:
+        q = q.where(F.array_contains("requested", F.col("type")))
+    item = F.struct("pos", "type", "question")
+    lists = q.groupBy("chunk").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    new = lambda kept, x: ~F.exists(kept, lambda k: (k["type"] == x["type"]) | (F.lower(k["question"]) == F.lower(x["question"])))
+    none = F.slice("all", 1, 0)
+    kept = lists.select("chunk", F.aggregate("all", none, lambda kept, x: F.when(new(kept, x), F.concat(kept, F.array(x))).otherwise(kept)).alias("kept"))
+    return kept.select("chunk", F.inline(F.slice("kept", 1, most)))
 
 
 def top_passages(facts: DataFrame, per_concept: int = 3) -> DataFrame:
@@ -41,7 +50,7 @@ def within(evidence: str, allowed: list[str]) -> Column:
     return (F.size(evidence) > 0) & (F.size(F.array_except(evidence, F.array(*map(F.lit, allowed)))) == 0)
 
 
-def hard_negatives(questions: DataFrame, passages: DataFrame, neighbours: int = 2, skip: int = 2) -> DataFrame:
+def hard_negatives(questions: DataFrame, passages: DataFrame, neighbours: int = 1, skip: int = 2) -> DataFrame:
     """For each question (query, source, index, v) the passage (doc, source, index, v) of its source that is similar but not among the `skip` most similar nor near its own.
 
     None where too few are left. Joined by source: the questions are the stated set.

@@ -10,10 +10,13 @@ from lodestone.operators import evaluate as E
 from lodestone.operators import knowledge as K
 from lodestone.operators import search as R
 from lodestone.plans import search_plans as P
+from lodestone.plans import sqltext as S
 from lodestone.plans.graph_plans import MENTIONS, mentions
 from lodestone.plans.registry import query, table
+from lodestone.sources.scratch import materialise, spread
 
-_QRELS = "qrels AS (SELECT item_id AS query, doc_id AS doc FROM benchmark JOIN documents ON contains(documents.text, benchmark.text[:60]))"
+_QRELS = f"""qrels AS (SELECT query, doc FROM (SELECT item_id AS query, array_to_string({S.tokens('text')}, ' ') AS item FROM benchmark) JOIN (SELECT doc_id AS doc, ' ' || array_to_string({S.tokens('text')}, ' ') || ' ' AS held FROM documents)
+ON item <> '' AND contains(held, ' ' || item || ' '))"""
 _METRICS = """hit AS (SELECT query, min(rank) AS first, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, sum(1 / log2(rank + 1)) AS dcg FROM qrels JOIN ranking USING (query, doc) WHERE rank <= 10 GROUP BY query),
 per AS (SELECT query, coalesce(h1, 0) / n AS r1, coalesce(h5, 0) / n AS r5, coalesce(h10, 0) / n AS r10, CASE WHEN coalesce(h5, 0) > 0 THEN 1.0 ELSE 0.0 END AS hit5, coalesce(1 / first, 0) AS rr,
 coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda r: 1 / log2(r + 1))) AS ndcg FROM (SELECT query, count(*) AS n FROM qrels GROUP BY query) LEFT JOIN hit USING (query))"""
@@ -23,9 +26,9 @@ _HALF = "CASE WHEN CAST('0x' || sha1(CAST(query AS VARCHAR))[:2] AS INT) % 2 = 0
 
 
 def qrels(spark, d):
-    """Documents that hold the first 60 characters of an item: the stated query set against all rows."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.substring("text", 1, 60).alias("head"))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text").join(items, F.contains("text", "head")).select("query", "doc")
+    """Documents that hold all tokens of an item in a row: places meet items by their first tokens, so it is an equi-join."""
+    whole = P.items(spark, d).select(F.col("query").alias("concept"), F.col("tokens").alias("form"))
+    return materialise(K.spans(P.documents(spark, d), whole).select(F.col("concept").alias("query"), "doc").distinct(), "qrels")
 
 
 def means():
@@ -74,7 +77,7 @@ _PRF = """round(coalesce(tp / nullif(n_pred, 0), 0), 6) AS precision, round(coal
 def prf_micro(spark, d):
     """Linked concepts against documents that hold the item, by language and in all: counts are added, then divided."""
     lang = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "lang")
-    pred, gold = P.links(spark, d).select(F.col("concept").alias("query"), "doc"), qrels(spark, d)
+    pred, gold = materialise(P.links(spark, d), "links").select(F.col("concept").alias("query"), "doc"), qrels(spark, d)
     n = lambda rows, name: rows.join(lang, "doc").groupBy("lang").agg(F.count("*").alias(name))
     c = n(pred, "n_pred").join(n(gold, "n_gold"), "lang", "full").join(n(pred.join(gold, ["query", "doc"]), "tp"), "lang", "left").fillna(0)
     u = c.select("lang", "tp", "n_pred", "n_gold").union(c.agg(F.lit("all"), F.sum("tp"), F.sum("n_pred"), F.sum("n_gold")))

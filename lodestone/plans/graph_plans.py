@@ -234,8 +234,9 @@ def relation_subset_filter(spark, d):
 
 @query(
     f"""WITH q AS (SELECT conv_id, turn, role, {S.collapse('text')} AS question FROM conversations), a AS (SELECT * FROM q WHERE length(question) >= 10 AND NOT regexp_matches(question, '{training.META}')),
-    b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY conv_id, lower(question) ORDER BY turn) = 1), c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1)
-    SELECT conv_id, turn, role, question FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3"""
+    b AS (SELECT conv_id, list({{'turn': turn, 'role': role, 'question': question}} ORDER BY turn, role, question) AS x FROM a GROUP BY conv_id),
+    c AS (SELECT conv_id, list_reduce(list_prepend([], list_transform(x, lambda e: [e])), lambda kept, e: CASE WHEN len(list_filter(kept, lambda k: k.role = e[1].role OR lower(k.question) = lower(e[1].question))) > 0 THEN kept ELSE list_concat(kept, e) END) AS kept FROM b)
+    SELECT conv_id, k.turn AS turn, k.role AS role, k.question AS question FROM (SELECT conv_id, unnest(kept[1:3]) AS k FROM c)"""
 )
 def question_clean_dedupe(spark, d):
     q = table(spark, d, "conversations").select(F.col("conv_id").alias("chunk"), F.col("turn").alias("pos"), F.col("role").alias("type"), F.col("text").alias("question"))

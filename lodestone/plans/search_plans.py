@@ -12,6 +12,7 @@ from lodestone.operators import search as R
 from lodestone.operators import training
 from lodestone.plans import sqltext as S
 from lodestone.plans.registry import query, table
+from lodestone.sources.scratch import materialise, spread
 
 _TOKENS = f"dt AS (SELECT doc_id AS doc, {S.tokens('text')} AS tokens FROM documents), qt AS (SELECT item_id AS query, {S.tokens('text')} AS tokens FROM benchmark)"
 BM25 = f"""{_TOKENS}, terms AS (SELECT query, term, count(*) AS times FROM (SELECT query, unnest(tokens) AS term FROM qt) GROUP BY ALL), stats AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM dt),
@@ -31,7 +32,8 @@ _RANKED = "(SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC,
 
 
 def documents(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), T.tokens("text").alias("tokens"))
+    """(doc, tokens) of whole texts. A plan that reads them more than once materialises them first."""
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")).select("doc", T.tokens("text").alias("tokens"))
 
 
 def items(spark, d):
@@ -44,18 +46,18 @@ def forms(spark, d):
 
 
 def links(spark, d):
-    return K.longest_matches(K.spans(documents(spark, d), forms(spark, d), 3).where("b - a > 1"))
+    return K.longest_matches(K.spans(documents(spark, d), forms(spark, d)))
 
 
 def seeds(spark, d):
     q = items(spark, d).select(F.col("query").alias("doc"), "tokens")
-    return K.longest_matches(K.spans(q, forms(spark, d), 3).where("b - a > 1")).select(F.col("doc").alias("query"), "concept", F.lit(1.0).alias("weight"))
+    return K.longest_matches(K.spans(q, forms(spark, d))).select(F.col("doc").alias("query"), "concept", F.lit(1.0).alias("weight"))
 
 
-def graph(spark, d):
-    m = links(spark, d).select("concept", "doc", F.lit(0).alias("facts"))
+def graph(spark, d, linked=None):
+    m = (materialise(links(spark, d), "links") if linked is None else linked).select("concept", "doc", F.lit(0).alias("facts"))
     edges = m.select("doc", F.col("concept").alias("node")).join(m.select("doc", F.col("concept").alias("other")), "doc").where("node <> other").select("node", "other").distinct()
-    return R.graph_scores(m, edges, seeds(spark, d), documents(spark, d).agg(F.count("*").alias("n")))
+    return R.graph_scores(m, edges, seeds(spark, d), table(spark, d, "documents").agg(F.count("*").alias("n")))
 
 
 def bm25(spark, d):
@@ -102,8 +104,9 @@ def hybrid_rrf(spark, d):
     SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY tail, CASE WHEN NOT tail THEN -score END, CASE WHEN NOT tail THEN doc END, was) AS rank FROM s"""
 )
 def hybrid_rrf_seed_bonus(spark, d):
-    fused = R.rrf([(R.ranked(bm25(spark, d), 50), 1.0), (R.ranked(graph(spark, d), 50), 1.0)], 50)
-    return R.seed_coverage(fused, links(spark, d), seeds(spark, d))
+    linked = materialise(links(spark, d), "links")
+    fused = R.rrf([(R.ranked(bm25(spark, d), 50), 1.0), (R.ranked(graph(spark, d, linked), 50), 1.0)], 50)
+    return R.seed_coverage(fused, linked, seeds(spark, d))
 
 
 _VECTORS = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
@@ -161,7 +164,7 @@ def memory_recall(spark, d):
     return I.recall(v.select("scope", "seq", "created"), s, 5, 0.5).select("scope", "seq", "score", "position")
 
 
-@query(f"WITH {_TOPK}, n AS (SELECT query, doc, score FROM s JOIN v a ON a.vec_id = query JOIN v b ON b.vec_id = doc WHERE a.label = b.label AND abs(query - doc) > 2) SELECT query, doc, score FROM n QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) = 3")
+@query(f"WITH {_TOPK}, n AS (SELECT query, doc, score FROM s JOIN v a ON a.vec_id = query JOIN v b ON b.vec_id = doc WHERE a.label = b.label AND abs(query - doc) > 1) SELECT query, doc, score FROM n QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) = 3")
 def hard_negatives(spark, d):
     v, _ = vectors(spark, d)
     passages = v.select("doc", F.col("label").alias("source"), F.col("doc").alias("index"), "v")

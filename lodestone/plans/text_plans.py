@@ -9,11 +9,12 @@ from lodestone.operators import chunking, training
 from lodestone.operators.evaluate import word_error_rate
 from lodestone.plans import sqltext as S
 from lodestone.plans.registry import query, table
+from lodestone.sources.scratch import spread
 
 
 @query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, sha1(array_to_string(t, ' ')) AS tokens_sha1 FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents)")
 def text_tokens_normalized(spark, d):
-    t = table(spark, d, "documents").select("doc_id", T.tokens("text").alias("t"))
+    t = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.tokens("text").alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha1(F.array_join("t", " ")).alias("tokens_sha1"))
 
 
@@ -29,7 +30,7 @@ def name_slug(spark, d):
 
 @query(f"SELECT DISTINCT w AS word, {S.singular('w')} AS one FROM (SELECT unnest({S.words(S.plain('text'))}) AS w FROM documents)")
 def singularize_terms(spark, d):
-    w = table(spark, d, "documents").select(F.explode(T.words(T.plain("text"))).alias("word")).distinct()
+    w = spread(table(spark, d, "documents").select("text")).select(F.explode(T.words(T.plain("text"))).alias("word")).distinct()
     return w.select("word", T.singular("word").alias("one"))
 
 
