@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,27 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import materialise, scratch  # noqa: F401  the operators take them from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary folder only where none is set and one machine runs all (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(root or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: A key that more than one in so many rows has is hot.
 MOST_HOT = 1000
 
@@ -73,34 +57,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE, _INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Two fields and a base in each: a word is named by its polynomials in both.
+_FIELDS = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_664_525_001))
+_powers: list[list[np.ndarray]] = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _FIELDS]
 
 
-def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, 1 << 20), base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers
+def _power(field: int, n: int) -> list[np.ndarray]:
+    """Powers of a field's base and of its inverse, n of each at least, by doubling."""
+    p, base = _FIELDS[field]
+    for k, b in enumerate((base, pow(base, -1, p))):
+        while len(x := _powers[field][k]) < n:
+            _powers[field][k] = np.concatenate([x, x * np.uint64(pow(b, len(x), p)) % np.uint64(p)])
+    return _powers[field]
 
 
 def hashed(texts: list[bytes], to: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash of each blank-separated word of all texts, in order, and where each text's words begin and end.
+    """The 62-bit name of each blank-separated word of all texts, in order, mixed, and where each text's words begin and end.
 
-    A word's hash is a polynomial over its bytes modulo 2**64, so all of them come from one prefix sum.
+    A word's bytes are coefficients of a polynomial; its values at one point in two prime fields come from one prefix sum
+    each. Two different words of n bytes agree in both with a probability below (n / 2**31)**2, whatever their structure.
     """
     raw = np.frombuffer((b" " + b" ".join(texts) + b" ").translate(to), np.uint8)
     gap = raw == 32
     edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     starts, ends = edges[0::2], edges[1::2]
-    up, down = _power(len(raw))
-    sums = np.cumsum(_BYTE[raw] * up[: len(raw)])
-    words = mix((sums[ends - 1] - sums[starts - 1]) * down[starts]) if len(starts) else np.empty(0, np.uint64)
+    words = np.zeros(len(starts), np.uint64)
+    coefficients = raw.astype(np.uint64) + np.uint64(1)
+    for field, (p, _) in enumerate(_FIELDS):
+        up, down = _power(field, len(raw))
+        terms = coefficients * up[: len(raw)]
+        if len(raw) > 1 << 24:  # a prefix sum of more terms of 40 bits would not fit
+            terms %= np.uint64(p)
+        sums = np.cumsum(terms)
+        words = (words << np.uint64(31)) | (((sums[ends - 1] - sums[starts - 1]) % np.uint64(p)) * down[starts] % np.uint64(p))
     begins = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]) if texts else np.ones(1, int)
-    return words, np.searchsorted(starts, begins)
+    return mix(words), np.searchsorted(starts, begins)
 
 
 def word_hash(words: list[str], to: bytes = ALNUM) -> np.ndarray:

@@ -61,10 +61,16 @@ def _marks(attributes: str) -> frozenset:
 
 
 def parse(page: str) -> Node:
-    """The element tree; strings are text with references decoded. Paragraphs, list items and cells end where HTML lets them."""
+    """The element tree; strings are text with references decoded. Paragraphs, list items and cells end where HTML lets them.
+
+    No tag ends behind the last '>', so what follows is text up to a comment's begin; looking for tags there could take
+    time that grows with its square.
+    """
     root = Node("#root")
-    stack, at = [root], 0
-    for m in _TOKEN.finditer(page):
+    stack, at, last = [root], 0, page.rfind(">") + 1
+    open_ = False  # whether the last token runs on to the end of the page
+    for m in _TOKEN.finditer(page, 0, last):
+        open_ = m.end() == last and not m["tag"] and not m[0].endswith("-->" if m[0].startswith("<!--") else ">") or (bool(m["raw"]) and not re.search(rf"</{m['raw']}\s*>\Z", m[0], re.I))
         if m.start() > at:
             stack[-1].children.append(entities.unescape(page[at : m.start()]))
         at = m.end()
@@ -95,8 +101,11 @@ def parse(page: str) -> Node:
         stack[-1].children.append(node)
         if tag not in VOID and not m["attributes"].endswith("/"):
             stack.append(node)
-    if at < len(page):
-        stack[-1].children.append(entities.unescape(page[at:]))
+    if open_ and at == last:
+        return root
+    rest = page[at:].partition("<!--")[0] if at >= last else page[at:last] + page[last:].partition("<!--")[0]
+    if rest:
+        stack[-1].children.append(entities.unescape(rest))
     return root
 
 

@@ -6,15 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import CASED, hashed, mix, slices, table
+from lodestone.llm.common import CASED, bounded, hashed, materialise, mix, slices, table
 from lodestone.llm.training import MOST_LABELLED, calibration_fold, held_out, labelled_sample
 
-#: Bytes of text whose words' vectors are in memory at a time.
-PART = 1 << 18
-#: Width of vectors, nonzero places of an index vector, words to each side, words with a vector (a bound on the broadcast).
+#: Bytes of text whose words' vectors are in memory at a time, and whose contexts are; distinct tokens that a task adds up at a time.
+PART, SUMMED, DISTINCT = 1 << 18, 1 << 20, 2_000_000
+#: Width of vectors, nonzero places of an index vector, words to each side, words and shapes with a vector (a bound on the broadcast).
 WIDTH, SPARSE, REACH, MOST_WORDS = 64, 6, 2, 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED, THRESHOLD = 32, 40, 128, 3e-3, 1e-4, 11, 0.3
 _U = np.uint64
@@ -42,37 +43,73 @@ def streams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, shapes, first
 
 
-def index_vectors(tokens: np.ndarray) -> np.ndarray:
-    """The sparse ternary vector of each token, from its hash alone."""
-    out = np.zeros((len(tokens), WIDTH), np.float32)
-    row = np.arange(len(tokens))
+def index_places(tokens: np.ndarray) -> np.ndarray:
+    """Where each token's sparse ternary index vector is not zero: twice the place, and one more where it is -1. From the token's hash alone."""
+    out = np.empty((len(tokens), SPARSE), np.int64)
     for k in range(SPARSE):
         h = mix(tokens + _U(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1))
-        out[row, (h % _U(WIDTH)).astype(int)] += np.where((h >> _U(40)) & _U(1), 1, -1)
+        out[:, k] = (h % _U(WIDTH)) * _U(2) + ((h >> _U(40)) & _U(1) ^ _U(1))
     return out
 
 
-def contexts(tokens: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens, how often each stands there, and the sum of its neighbours' index vectors."""
-    known, number, count = np.unique(tokens, return_inverse=True, return_counts=True)
-    index = index_vectors(known)[number]
-    around = np.zeros_like(index)
+def contexts(tokens: np.ndarray, doc: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """For each token of a sorted vocabulary the sum of the index vectors of its neighbours there."""
+    if not len(tokens) or not len(vocabulary):
+        return np.zeros((len(vocabulary), WIDTH), np.int64)
+    known, number = np.unique(tokens, return_inverse=True)
+    at = np.minimum(np.searchsorted(vocabulary, known), len(vocabulary) - 1)
+    row, places = np.where(vocabulary[at] == known, at, -1)[number], index_places(known)
+    cells = []
     for k in range(1, REACH + 1):
-        same = (doc[k:] == doc[:-k])[:, None]
-        around[k:] += index[:-k] * same
-        around[:-k] += index[k:] * same
-    order = np.argsort(number, kind="stable")
-    return known, count, np.add.reduceat(around[order], np.cumsum(count) - count, axis=0) if len(known) else around
+        same = doc[k:] == doc[:-k]
+        for centre, other in ((row[k:], number[:-k]), (row[:-k], number[k:])):
+            use = same & (centre >= 0)
+            cells.append((centre[use, None] * (2 * WIDTH) + places[other[use]]).ravel())
+    n = np.bincount(np.concatenate(cells), minlength=len(vocabulary) * 2 * WIDTH).reshape(-1, WIDTH, 2)
+    return n[:, :, 0] - n[:, :, 1]
+
+
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of (tokens, counts) pairs with the sums of their counts."""
+    known, number = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+    return known, np.bincount(number, weights=np.concatenate([n for _, n in parts]), minlength=len(known)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, token, n) of a task's texts, added up before it leaves; beyond DISTINCT tokens a task starts a new sum."""
+    held: list[list] = [[], []]
+
+    def out(kind: int) -> pa.RecordBatch:
+        known, n = _merged(held[kind])
+        held[kind] = []
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(known), kind, np.int32)), pa.array(known.view(np.int64)), pa.array(n)], names=["kind", "token", "n"])
+
+    for _, texts in slices(batches):
+        for kind, tokens in enumerate(streams(texts)[:2]):
+            held[kind].append(np.unique(tokens, return_counts=True))
+            if sum(len(t) for t, _ in held[kind]) > DISTINCT:
+                held[kind] = [_merged(held[kind])]
+                if len(held[kind][0][0]) > DISTINCT // 2:
+                    yield out(kind)
+    for kind in (0, 1):
+        if held[kind]:
+            yield out(kind)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in slices(batches, limit=PART):
+def _summed(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
+    """(kind, token, v): a task's context sums of the tokens of the vocabulary that it has."""
+    sums = [np.zeros((len(v), WIDTH), np.int64) for v in vocabulary.value]
+    for _, texts in slices(batches, limit=SUMMED):
         words, shapes, first = streams(texts)
         doc = np.repeat(np.arange(len(texts)), np.diff(first))
         for kind, tokens in enumerate((words, shapes)):
-            known, count, sums = contexts(tokens, doc)
-            flat = pa.array(sums.ravel().astype(np.float64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(known), kind, np.int32)), pa.array(known.view(np.int64)), pa.array(count.astype(np.int64)), pa.FixedSizeListArray.from_arrays(flat, WIDTH).cast(pa.list_(pa.float64()))], names=["kind", "token", "n", "v"])
+            sums[kind] += contexts(tokens, doc, vocabulary.value[kind])
+    for kind, total in enumerate(sums):
+        some = np.flatnonzero(total.any(1))
+        for k in range(0, len(some), 4096):
+            part = some[k : k + 4096]
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(total[part].ravel()), WIDTH).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(vocabulary.value[kind][part].view(np.int64)), flat], names=["kind", "token", "v"])
 
 
 class Vectors:
@@ -95,16 +132,21 @@ class Vectors:
         return sums / np.maximum(np.bincount(doc, minlength=texts), 1)[:, None]
 
 
-def word_vectors(sample: DataFrame) -> list[Vectors]:
-    """Vectors of words and of shapes: the sums of all their neighbours' index vectors over the sample, for the MOST_WORDS most frequent."""
-    sums = sample.select("text").mapInArrow(_summed, "kind int, token long, n long, v array<double>")
-    sums = sums.groupBy("kind", "token").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(WIDTH)])
+def word_vectors(docs: DataFrame, words: int = MOST_WORDS) -> list[Vectors]:
+    """Vectors of words and of shapes: the sums of all their neighbours' index vectors over all documents, for the most frequent ones of each kind."""
+    texts = bounded(docs).select("text")
+    counts = texts.mapInArrow(_counted, "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = materialise(counts, "token-counts")
+    known = [np.sort(counts.where(F.col("kind") == k).orderBy(F.desc("n"), "token").limit(words).toArrow().column("token").to_numpy().view(_U)) for k in (0, 1)]
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    sums = texts.mapInArrow(lambda b: _summed(b, shared), "kind int, token long, v array<long>")
+    rows = sums.groupBy("kind", "token").agg(*[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(WIDTH)]).toArrow()
     out = []
     for kind in (0, 1):
-        rows = sums.where(F.col("kind") == kind).where("n > 1").orderBy(F.desc("n"), "token").limit(MOST_WORDS).toArrow()
-        v = np.column_stack([rows.column(f"v{k}").to_numpy() for k in range(WIDTH)]) if rows.num_rows else np.zeros((0, WIDTH))
+        own = rows.filter(pa.compute.equal(rows.column("kind"), kind))
+        v = np.column_stack([own.column(f"v{k}").to_numpy() for k in range(WIDTH)]).astype(float) if own.num_rows else np.zeros((0, WIDTH))
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        out.append(Vectors(rows.column("token").to_numpy().view(_U), v.astype(np.float32)))
+        out.append(Vectors(own.column("token").to_numpy().view(_U), v.astype(np.float32)))
     return out
 
 
@@ -153,14 +195,14 @@ def _featured(batches: Iterator[pa.RecordBatch], vectors) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED):
-    """Broadcast (vectors, network), learned from at most `most` labelled rows outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, words: int = MOST_WORDS):
+    """Broadcast (vectors, network): vectors of `words` tokens from all documents, a network from at most `most` labelled rows outside the held-out fold.
 
     Without rows of both classes every text scores the share of good labels (1 without any).
     """
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, "quality", most)
-    vectors = spark.sparkContext.broadcast(word_vectors(sample))
+    vectors = spark.sparkContext.broadcast(word_vectors(docs, words))
     rows = sample.mapInArrow(lambda b: _featured(b, vectors), "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
     y = rows.column("label").to_numpy()
     if len(np.unique(y)) < 2:
@@ -180,9 +222,14 @@ def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
 
-def quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """doc_id, held_out, score, predicted of every whole text; a null text is scored as an empty one, each row once."""
-    model = fit(docs, labels, most)
+def quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, words: int = MOST_WORDS) -> DataFrame:
+    """doc_id, held_out, score, predicted of every whole text; a null text is scored as an empty one, each row once, repeated or not.
+
+    Counts and contexts of words come from all documents; words beyond the `words` most frequent have no vector of their own,
+    and their shapes stand for them. An empty table gives no rows; a null doc_id stays null and is in no fold; other columns
+    are ignored, whatever their names. Very long texts are scored whole.
+    """
+    model = fit(docs, labels, most, words)
     own = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return own.mapInArrow(lambda b: _scored(b, model), "doc_id long, held_out boolean, score double, predicted int")
 

@@ -16,9 +16,8 @@ from lodestone.llm.common import bounded, slices, table
 _ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-#: What the automata score: runs of these characters with a digit, of this many characters at least.
-_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
-LEAST_CANDIDATE = 16
+#: What the automata score: whole runs of these characters.
+_CANDIDATE = rb"[A-Za-z0-9+/_=-]"
 KINDS = ("assign", "access", "hex", "grammar")
 #: Merging of states: the confidence parameter of the Hoeffding test. Accepting: nats a character over the background.
 ALPHA, MARGIN = 0.05, 0.8
@@ -40,7 +39,7 @@ def labelled_credentials(each: int = 150, seed: int = 7) -> list[tuple[str, str]
     }
     words = lambda: "".join(draw(lower, 1) if rng.random() < 0.5 else rng.choice(("th", "er", "on", "an", "ing", "tion", "re", "ent")) for _ in range(rng.randint(8, 14)))
     plain = [words, lambda: words().upper(), lambda: f"{words()}-{words()}", lambda: f"{words()}_{words()}", lambda: draw(digits, rng.randint(16, 24)), lambda: f"{words()}/{words()}/{rng.randint(1, 9999)}",
-             lambda: f"{draw(digits, 4)}-{draw(digits, 2)}-{draw(digits, 2)}-{words()}", lambda: "=" * rng.randint(16, 40), lambda: "-" * rng.randint(16, 40), lambda: words().title() + str(rng.randint(1, 2030))]
+             lambda: f"{draw(digits, 4)}-{draw(digits, 2)}-{draw(digits, 2)}-{words()}", lambda: "".join(w.title() for w in (words(), words()[:5], words()))[rng.randint(0, 1) :], lambda: "=" * rng.randint(16, 40), lambda: "-" * rng.randint(16, 40), lambda: words().title() + str(rng.randint(1, 2030))]
     return [(k, f()) for k, f in forms.items() for _ in range(each)] + [("", f()) for f in plain for _ in range(each)]
 
 
@@ -141,6 +140,9 @@ class Grammars:
         background = by.pop("", [b"\x03" * 12])
         self.background, self.formats = Automaton(background, alpha), {k: Automaton(v, alpha) for k, v in sorted(by.items())}
         self.known: dict[bytes, bool] = {}
+        #: Runs that are shorter than every labelled credential have no likelihood under any format.
+        least = min((len(s) for samples in by.values() for s in samples), default=1)
+        self.candidates = re.compile(_CANDIDATE + b"{%d,}" % least)
 
     @staticmethod
     def shape(s: bytes) -> bytes:
@@ -166,10 +168,14 @@ def scan(raw: bytes, grammars: Grammars | None) -> list[tuple[str, int, int]]:
         out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(raw)]
     out += [("hex", m.start(), m.end()) for m in _HEX.finditer(raw)]
     if grammars:
-        base = list(out)
-        for m in _CANDIDATE.finditer(raw):
+        base, at = sorted((x, y) for _, x, y in out), 0
+        reached = 0  # the furthest end of base spans that begin before the candidate's end
+        for m in grammars.candidates.finditer(raw):
             a, b = m.span()
-            if any(48 <= c <= 57 for c in m[0]) and grammars.is_secret(m[0]) and not any(x < b and a < y for _, x, y in base):
+            while at < len(base) and base[at][0] < b:
+                reached = max(reached, base[at][1])
+                at += 1
+            if reached <= a and grammars.is_secret(m[0]):
                 out.append(("grammar", a, b))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -211,7 +217,9 @@ def infer(spark: SparkSession, labelled: DataFrame | None = None):
 def secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_grammar, base_sha256, spans of every whole text.
 
-    Null and empty texts have no spans; every row gives one row, repeated or not. Spans are kind:start:end in code points.
+    Null and empty texts have no spans; every row gives one row, repeated or not, and a null doc_id stays null. An empty
+    table gives no rows; other columns are ignored, whatever their names. Spans are kind:start:end in code points. The
+    automata score every run of credential characters as long as the shortest labelled credential; time is linear in a text.
     """
     grammars = infer(bounded(docs).sparkSession, labelled)
     return docs.select("doc_id", "text").mapInArrow(lambda b: _scanned(b, grammars), "doc_id long, n_assign long, n_access long, n_hex long, n_grammar long, base_sha256 string, spans string")

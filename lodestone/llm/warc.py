@@ -15,7 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded, scratch, table
+from lodestone.llm.common import bounded, materialise, scratch, table
+from lodestone.sources.scratch import small
 
 #: The skippable frame that holds a dictionary, and the frame of plain Zstandard data.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -29,7 +30,8 @@ RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_
 def roles(pages: DataFrame) -> DataFrame:
     """Each page with its payload, digest and role. Of equal payloads of LEAST_REVISIT bytes or more, the largest page_id is the response.
 
-    Only digests and ids are grouped; rows that repeat that largest id are responses too, and null ids come last.
+    Only digests and ids are grouped; rows that repeat that largest id are responses too, and null ids come last. Payloads
+    are never shuffled while the digests of repeated ones are few enough for a broadcast.
     """
     own = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     own = own.select("*", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
@@ -39,7 +41,7 @@ def roles(pages: DataFrame) -> DataFrame:
         .groupBy(F.sha1("payload").alias("payload_digest")).agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
     is_revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
-    return own.join(again, "payload_digest", "left").select(
+    return own.join(small(materialise(again, "repeated")), "payload_digest", "left").select(
         "page_id", "url", F.when(is_revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
         F.when(is_revisit, "revisit").otherwise("response").alias("record_type"), F.when(is_revisit, F.col("kept")).alias("refers_to"),
     )
@@ -61,24 +63,19 @@ def record(row: dict) -> bytes:
 
 
 def archive(records: list[bytes]) -> bytes:
-    """A dictionary of the archive's first records in a skippable frame, then a frame for each record.
+    """A dictionary in a skippable frame, then a frame for each record.
 
-    Fewer than eight records, or records that give no dictionary, have no such frame.
+    The dictionary is trained on records spread over the archive, about SAMPLE_BYTES of them; where they are too few or too
+    alike to train on, it is their own bytes, so every archive has one.
     """
-    sample, size = [], 0
-    for r in records:
-        if size > SAMPLE_BYTES:
-            break
-        sample.append(r[:100_000])
-        size += len(sample[-1])
-    head, known = b"", None
-    if len(sample) >= 8:
-        try:
-            known = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, size // 10)), sample, k=256, d=8)
-            raw = known.as_bytes()
-            head = struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw
-        except zstandard.ZstdError:
-            known = None
+    step = max(1, -(-sum(map(len, records)) // SAMPLE_BYTES))
+    sample = records[::step]
+    try:
+        known = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, sample)) // 10)), sample, k=256, d=8)
+    except zstandard.ZstdError:
+        known = zstandard.ZstdCompressionDict(b"".join(sample)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    raw = known.as_bytes()
+    head = struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw
     pack = zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=True)
     return head + b"".join(map(pack.compress, records))
 
@@ -125,10 +122,9 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
     held, size, n, made = [], 0, 0, []
 
     def put() -> None:
-        name = f"{root}/part-{task.partitionId():06d}-{n:04d}.warc.zst"
-        with files.open_output_stream(own := f"{root}/_{uuid.uuid4().hex}") as out:
+        name = f"part-{task.partitionId():06d}-{n:04d}-{task.taskAttemptId()}.warc.zst"
+        with files.open_output_stream(f"{root}/{name}") as out:
             out.write(archive(held))
-        files.move(own, name)  # the same name whichever attempt comes last
         made.append((name, len(held)))
 
     for batch in batches:
@@ -147,13 +143,18 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
 def write_warc(pages: DataFrame, folder: str) -> int:
     """Write every page's record into archives in a folder of a shared file system; the number of records.
 
-    Null html is an empty payload; an empty table writes no archive. A page's task can run again: it replaces its files.
+    Null html is an empty payload, of any length it is one record; rows with a null page_id have no id in their records;
+    other columns are ignored, whatever their names. An empty table writes no archive. Files are named by attempt, and the
+    list that the successful attempts return is written beside them last: only listed archives are read, so a task that ran
+    twice leaves no record twice.
     """
     from pyarrow import fs
 
     files, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
     files.create_dir(root, recursive=True)
-    return roles(bounded(pages)).mapInArrow(partial(_written, folder=folder), "file string, records long").agg(F.sum("records")).first()[0] or 0
+    listed = f"{folder}/_manifest"
+    roles(bounded(pages)).mapInArrow(partial(_written, folder=folder), "file string, records long").write.mode("overwrite").parquet(listed)
+    return pages.sparkSession.read.parquet(listed).agg(F.sum("records")).first()[0] or 0
 
 
 def _read(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.RecordBatch]:
@@ -171,9 +172,11 @@ def _read(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.Recor
 
 
 def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
-    """The records of all archives in a folder; digests and sizes of responses are computed from what is read."""
+    """The records of the listed archives in a folder; digests and sizes of responses are computed from what is read."""
     kinds = f"page_id long, url string{', payload binary' * payload}, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
+    listed = spark.read.parquet(f"{folder}/_manifest").select("file")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).withColumn("file", F.element_at(F.split("path", "/"), -1))
+    found = found.join(small(listed), "file", "left_semi").select("content")
     return found.mapInArrow(partial(_read, payload=payload), kinds)
 
 
