@@ -123,7 +123,7 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
 
     def put() -> None:
         name = f"part-{task.partitionId():06d}-{n:04d}-{task.taskAttemptId()}.warc.zst"
-        with files.open_output_stream(f"{root}/{name}") as out:
+        with files.open_output_stream(f"{root}/{name}", compression=None) as out:
             out.write(archive(held))
         made.append((name, len(held)))
 

@@ -336,3 +336,15 @@ def test_pipeline_stages_take_odd_rows(odd, spark):
     assert docs.count() > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_archives_of_failed_attempts_are_not_read(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "http://h/", "x" * 2000 if k % 2 else f"page {k}") for k in range(40)], "page_id long, url string, html string")
+    folder = str(tmp_path / "w")
+    assert warc.write_warc(pages, folder) == 40
+    import glob
+    import shutil
+
+    one = glob.glob(f"{folder}/*.warc.zst")[0]
+    shutil.copy(one, one.replace(".warc.zst", "-again.warc.zst"))
+    assert warc.read_warc(spark, folder).count() == 40
