@@ -26,8 +26,13 @@ def collapse_mentions(mentions: DataFrame) -> DataFrame:
 
 
 def relation_evidence(relations: DataFrame) -> DataFrame:
-    """(subject, predicate, object, chunks, confidence, n) from (subject, predicate, object, chunk, confidence)."""
-    return relations.where("subject <> object").groupBy("subject", "predicate", "object").agg(F.sort_array(F.collect_set("chunk")).alias("chunks"), F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+    """(subject, predicate, object, chunks, confidence, n) from (subject, predicate, object, chunk, confidence).
+
+    Chunks of a relation are counted before they are gathered; the list itself is the edge's property and as long as its
+    evidence, one value a chunk.
+    """
+    each = relations.where("subject <> object").groupBy("subject", "predicate", "object", "chunk").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+    return each.groupBy("subject", "predicate", "object").agg(F.array_sort(F.collect_list("chunk")).alias("chunks"), F.max("confidence").alias("confidence"), F.sum("n").alias("n"))
 
 
 def facts_per_mention(mentions: DataFrame, facts: DataFrame) -> DataFrame:
@@ -57,11 +62,11 @@ def canonical_surface(rows: DataFrame, by: str, surface: str) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where("rank = 1").select(by, surface, "n")
 
 
-def numbered_slugs(names: DataFrame, name: str, order: str) -> DataFrame:
+def numbered_slugs(names: DataFrame, name: str, order: str, keep: list[str] | None = None) -> DataFrame:
     """(name, id): slugs, with -2, -3 and so on for later names of one slug. Names whose numbered slug is another's plain one are left to the caller's check."""
     base = names.withColumn("slug", T.slug(name))
     k = F.row_number().over(W.partitionBy("slug").orderBy(order))
-    return base.withColumn("k", k).select(name, F.when(F.col("k") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("k").cast("string"))).alias("id"))
+    return base.withColumn("k", k).select(*(keep or []), name, F.when(F.col("k") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("k").cast("string"))).alias("id"))
 
 
 def other_forms(forms: DataFrame, by: str, form: str, position: str, name: str) -> DataFrame:

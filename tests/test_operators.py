@@ -11,42 +11,56 @@ from lodestone.operators import chunking, evaluate, extract, incremental, knowle
 from lodestone.sources import files
 
 
-def words(n, end=""):
-    return " ".join(["w"] * n) + end
-
-
-def test_timed_blocks_overlap():
-    blocks = [{"text": words(30), "start": 10.0 * i, "end": 10.0 * i + 9} for i in range(10)]
-    out = chunking.pack(blocks, 100, 300, 30)
-    assert all(sum(len(u["text"].split()) for u in c) <= 100 for c in out)
-    assert all(b[0] == a[-1] for a, b in zip(out, out[1:], strict=False))
+BLOCKS = "source_id string, blocks array<struct<text: string, start: double, end: double, heading: array<string>>>"
 
 
-def test_no_overlap_where_units_are_too_long():
-    out = chunking.pack([{"text": words(60)}] * 4, 100, 300, 40)
-    assert len(out) == 4 and sum(len(u["text"].split()) for c in out for u in c) == 240
-
-
-def test_long_blocks_are_cut():
-    parts = chunking.split_block({"text": " ".join(words(10, ".") for _ in range(10)), "start": 100.0, "end": 200.0}, 30)
-    assert all(len(p["text"].split()) <= 30 for p in parts) and parts[0]["start"] == 100.0 and parts[-1]["end"] == 200.0
-    assert all(a["end"] == b["start"] for a, b in zip(parts, parts[1:], strict=False))
-    assert [len(p["text"].split()) for p in chunking.split_block({"text": words(95)}, 30)] == [30, 30, 30, 5]
+def words(n, end=""):
+    return " ".join(["w"] * n) + end
 
 
-def test_headings_part_chunks():
-    assert len(chunking.pack([{"text": words(10), "heading": h} for h in (["Raft"], ["Raft"], ["Paxos"])])) == 2
+def packed(spark, sources, *sizes):
+    """Chunks of {source: [(text, start, end, heading), ...]} by source, in order."""
+    out = {}
+    for r in chunking.chunks(spark.createDataFrame([(k, b) for k, b in sources.items()], BLOCKS), *sizes).orderBy("source_id", "index").collect():
+        out.setdefault(r["source_id"], []).append(r)
+    return out
+
+
+def test_chunk_rules(spark):
+    got = packed(
+        spark,
+        {
+            "timed": [(words(30), 10.0 * i, 10.0 * i + 9, None) for i in range(10)],
+            "long units": [(f"u{k} " + words(59), None, None, None) for k in range(4)],
+            "sentences": [(" ".join(words(10, ".") for _ in range(10)), 100.0, 200.0, None)],
+            "no stops": [(words(95), None, None, None)],
+            "headings": [(words(10), None, None, h) for h in (["Raft"], ["Raft"], ["Paxos"])],
+            "blank": [("  ", None, None, None), (None, None, None, None)],
+        },
+        80, 80, 30,
+    )
+    assert [(r["n_words"], r["start"]) for r in got["timed"]][:3] == [(60, 0.0), (60, 10.0), (60, 20.0)]
+    assert [r["text"].split()[0] for r in got["long units"]] == ["u0", "u1", "u2", "u3"] and {r["n_words"] for r in got["long units"]} == {60}
+    assert (got["sentences"][0]["start"], got["sentences"][0]["end"], got["sentences"][-1]["end"]) == (100.0, 180.0, 200.0) and [r["n_words"] for r in got["sentences"]] == [80, 20]
+    assert [r["n_words"] for r in got["no stops"]] == [80, 15] and [r["heading"] for r in got["headings"]] == [["Raft"], ["Paxos"]] and "blank" not in got
     with pytest.raises(ValueError, match="target"):
-        chunking.pack([], 100, 50)
+        chunking.chunks(spark.createDataFrame([], BLOCKS), 100, 50)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 400), max_size=30))
-def test_chunks_lose_no_word_and_stay_below_340(sizes):
-    out = chunking.pack([{"text": " ".join(f"{k}.{i}" for i in range(n))} for k, n in enumerate(sizes)])
-    seen = [w for c in out for u in c for w in u["text"].split()]
-    assert set(seen) == {f"{k}.{i}" for k, n in enumerate(sizes) for i in range(n)}
-    assert all(sum(len(u["text"].split()) for u in c) <= 340 for c in out)
+def test_chunks_lose_no_word_and_overlap_by_whole_units(spark):
+    rng = random.Random(9)
+    sources = {str(k): [(" ".join(f"{i}.{j}" for j in range(rng.choice((3, 20, 90, 250, 700)))), None, None, None) for i in range(rng.randint(1, 25))] for k in range(30)}
+    got = packed(spark, sources)
+    for k, blocks in sources.items():
+        flat = [w for t, *_ in blocks for w in t.split()]
+        at = 0
+        for r in got[k]:
+            own = r["text"].split()
+            first = flat.index(own[0])
+            assert first <= at and at - first <= 40 and flat[first : first + len(own)] == own and len(own) == r["n_words"] <= 340
+            assert first == at or r["n_words"] - (at - first) > 0
+            at = first + len(own)
+        assert at == len(flat)
 
 
 def test_chunks_of_sources(spark):
@@ -57,38 +71,61 @@ def test_chunks_of_sources(spark):
 
 def test_markdown_and_text(spark, tmp_path):
     note = "---\ntitle: x\n---\n# Top\n\nSome\ntext.\n\n## Sub\n\n```\na\n\nb\n```\n\n### Deep\n\nEnd.\n"
-    blocks, title = files.markdown(note)
-    assert title == "Top" and blocks == [("Some text.", ["Top"]), ("```\na\n\nb\n```", ["Top", "Sub"]), ("End.", ["Top", "Sub", "Deep"])]
     (tmp_path / "a.md").write_text(note)
     (tmp_path / "b.txt").write_text("One\nline.\n\n\nTwo.\n")
     (tmp_path / "c.xyz").write_text("?")
     found = files.scan(spark, str(tmp_path))
     assert {r["kind"] for r in found.collect()} == {"markdown", "text"}
     assert [r["text"] for r in files.text_blocks(found.where("kind = 'text'")).orderBy("pos").collect()] == ["One line.", "Two."]
-    assert files.markdown_blocks(found.where("kind = 'markdown'")).count() == 3
+    blocks = files.markdown_blocks(found.where("kind = 'markdown'")).orderBy("pos").collect()
+    assert [(r["text"], r["heading"], r["title"]) for r in blocks] == [("Some text.", ["Top"], "Top"), ("```\na\n\nb\n```", ["Top", "Sub"], "Top"), ("End.", ["Top", "Sub", "Deep"], "Top")]
+    assert [r[0] for r in found.select(files.title_of(F.lit("/x/big-data_101.v2.md"))).limit(1).collect()] == ["big data 101.v2"]
     assert files.unknown_kinds(spark, str(tmp_path)).count() == 1
     done = found.where("kind = 'text'").select("source_id")
     assert files.not_ingested(found, done).count() == 1
 
 
-@pytest.mark.parametrize(("ref", "hyp", "want"), [("a b c d e f", "a x c d e f g", (1, 0, 1)), ("seven", "7", (0, 0, 0)), ("a b", "", (0, 2, 0)), ("", "", (0, 0, 0))])
-def test_word_errors(ref, hyp, want):
-    assert evaluate.word_errors(ref, hyp)[1:4] == want
+def brute_edits(ref, hyp):
+    """Least (edits, substitutions) over all alignments, by recursion with memory."""
+    import functools
+
+    @functools.cache
+    def go(i, j):
+        if not i or not j:
+            return i + j, 0
+        same = ref[i - 1] == hyp[j - 1]
+        a, b, c = go(i - 1, j - 1), go(i - 1, j), go(i, j - 1)
+        return min((a[0] + (not same), a[1] + (not same)), (b[0] + 1, b[1]), (c[0] + 1, c[1]))
+
+    return go(len(ref), len(hyp))
 
 
-def test_number_words():
-    assert [evaluate.number_words(n) for n in (0, 13, 20, 21, 100, 115, 1001, 999_999, 1_000_000)] == ["zero", "thirteen", "twenty", "twenty one", "one hundred", "one hundred fifteen", "one thousand one", "nine hundred ninety nine thousand nine hundred ninety nine", "1000000"]
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=8), st.lists(st.sampled_from("abc"), max_size=8))
+def test_edits(ref, hyp):
+    s, d, i = evaluate.edits(ref, hyp)
+    assert (s + d + i, s) == brute_edits(ref, hyp) and len(ref) - d + i == len(hyp)
+
+
+def test_spoken_words(spark):
+    said = {0: "zero", 13: "thirteen", 20: "twenty", 21: "twenty one", 100: "one hundred", 115: "one hundred fifteen", 1001: "one thousand one", 999_999: "nine hundred ninety nine thousand nine hundred ninety nine", 1_000_000: "1000000"}
+    rows = spark.createDataFrame([(k,) for k in said], "n long")
+    assert {r["n"]: r["w"] for r in rows.select("n", evaluate.number_words("n").alias("w")).collect()} == said
+    pairs = spark.createDataFrame([(1, "a b c d e f", "a x c d e f g"), (2, "It's 7 o'clock -- 'now'", "its SEVEN o'clock now"), (3, "a b", None), (4, "", "")], "id int, reference string, hypothesis string")
+    assert {r["id"]: tuple(r)[1:] for r in evaluate.word_error_rate(pairs).collect()} == {1: (2 / 6, 1, 0, 1, 6), 2: (0.25, 1, 0, 0, 4), 3: (1.0, 0, 2, 0, 2), 4: (0.0, 0, 0, 0, 0)}
 
 
 def test_extraction_cleaning(spark):
+    import json
+
     raw = {"concepts": [{"name": " Binary search tree (BST). "}, {"name": "binary search TREE"}, {"name": " "}, {"name": "AVL", "aliases": ["AVL tree", "avl", "avl TREE"]}],
            "relations": [{"subject": "bst", "predicate": "is_a", "object": "AVL"}, {"subject": "BST", "predicate": "is_a", "object": "avl tree"}, {"subject": "BST", "predicate": "uses", "object": "heap"}, {"subject": "bst", "predicate": "x", "object": "Binary search tree"}],
            "facts": [{"statement": " A  fact ", "concepts": ["bst", "AVL", "none"]}, {"statement": " "}]}
-    out, drop = extract.clean(raw)
-    assert [c["name"] for c in out["concepts"]] == ["Binary search tree", "AVL"] and out["concepts"][1]["aliases"] == ["AVL tree"]
-    assert len(out["relations"]) == 1 and out["facts"][0]["concepts"] == ["Binary search tree", "AVL"]
-    assert drop == {"empty": 2, "duplicate": 2, "dangling": 1, "self_relation": 1}
-    assert extract.cleaned(spark.createDataFrame([("c", "not json")], "chunk_id string, reply string")).first()["concepts"] == "[]"
+    out = extract.cleaned(spark.createDataFrame([("c", json.dumps(raw)), ("bad", "not json"), ("none", None)], "chunk_id string, reply string"))
+    assert [(r["name"], r["aliases"]) for r in out["concepts"].orderBy("pos").collect()] == [("Binary search tree", ["BST"]), ("AVL", ["AVL tree"])]
+    assert [(r["subject"], r["predicate"], r["object"]) for r in out["relations"].collect()] == [("Binary search tree", "is_a", "AVL")]
+    assert [(r["statement"], r["concepts"]) for r in out["facts"].collect()] == [("A fact", ["Binary search tree", "AVL"])]
+    assert {(r["chunk_id"], r["reason"]): r["n"] for r in out["drops"].collect()} == {("c", "empty"): 2, ("c", "duplicate"): 2, ("c", "dangling"): 1, ("c", "self_relation"): 1}
 
 
 def greedy(spans):
@@ -191,8 +228,13 @@ def test_vault(spark):
 
 def test_questions(spark):
     rows = [("c", k, t, q) for k, (t, q) in enumerate([("fact", "What is a heap?"), ("fact", "What is a tree here?"), ("definition", "short?"), ("definition", "what is a HEAP?"), ("relation", "What does this lecture say?"), ("procedure", "How are keys inserted?")])]
+    more = [("d", 0, "fact", "What is a heap?"), ("d", 1, "fact", "How are keys inserted?"), ("d", 2, "relation", "How are keys inserted?")]
     got = training.clean_questions(spark.createDataFrame(rows, "chunk string, pos int, type string, question string")).orderBy("pos").collect()
     assert [r["question"] for r in got] == ["What is a heap?", "How are keys inserted?"]
+    kept = training.clean_questions(spark.createDataFrame(more, "chunk string, pos int, type string, question string"))
+    assert sorted((r["pos"], r["type"]) for r in kept.collect()) == [(0, "fact"), (2, "relation")]
+    asked = spark.createDataFrame([(*r, ["relation"]) for r in more], "chunk string, pos int, type string, question string, requested array<string>")
+    assert [r["pos"] for r in training.clean_questions(asked).collect()] == [2]
 
 
 def test_stream_upserts(spark, tmp_path):
