@@ -59,3 +59,44 @@ def hard_negatives(questions: DataFrame, passages: DataFrame, neighbours: int =
     pairs = passages.join(q, "source").where(F.abs(F.col("index") - F.col("own")) > neighbours)
     scored = pairs.select("query", "doc", F.round(dot("qv", "v"), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "doc"))).where(F.col("rank") == skip + 1).select("query", "doc", "score")
+
+
+def build_pairs(facts: DataFrame, concepts: DataFrame, relations: DataFrame, passages: DataFrame, sources: list, per_concept: int = 3, most_relations: int | None = 4000, seed: int = 0) -> DataFrame:
+    """(anchor, positive, kind, source): pairs whose evidence lies in these sources alone.
+
+    facts (chunk, statement, concepts) with their passage, concept names with the passages of most facts about them, and the
+    two names of relations all of whose chunks are there. passages (chunk, source, text). Of relations a drawn share of
+    `most_relations` is kept (a training mix; None keeps all), in an order that the seed's hash gives.
+    """
+    inside = passages.where(F.col("source").isin(sources))
+    said = facts.join(inside, "chunk")
+    first = said.select(F.col("statement").alias("anchor"), F.col("text").alias("positive"), F.lit("fact").alias("kind"), "source")
+    counts = facts.select("chunk", F.explode("concepts").alias("concept")).join(inside.select("chunk"), "chunk").groupBy("concept", "chunk").agg(F.count("*").alias("facts"))
+    names = concepts.select(F.col("id").alias("concept"), "name")
+    second = top_passages(counts, per_concept).join(names, "concept").join(inside, "chunk").select(F.col("name").alias("anchor"), F.col("text").alias("positive"), F.lit("concept").alias("kind"), "source")
+    where = relations.select("subject", "object", "predicate", F.explode("chunks").alias("chunk")).join(passages.select("chunk", "source"), "chunk")
+    whole = where.groupBy("subject", "object", "predicate").agg(F.min("source").alias("source"), F.bool_and(F.col("source").isin(sources)).alias("inside")).where("inside")
+    if most_relations is not None:
+        whole = whole.orderBy(F.xxhash64("subject", "predicate", "object", F.lit(seed)), "subject", "predicate", "object").limit(most_relations)
+    third = whole.join(names.toDF("subject", "a"), "subject").join(names.toDF("object", "b"), "object").select(F.col("a").alias("anchor"), F.col("b").alias("positive"), F.lit("relation").alias("kind"), "source")
+    return first.unionByName(second).unionByName(third)
+
+
+def question_pairs(questions: DataFrame, passages: DataFrame) -> DataFrame:
+    """(anchor, positive, kind, source) of questions (chunk, question) and their passages (chunk, source, text)."""
+    return questions.join(passages, "chunk").select(F.col("question").alias("anchor"), F.col("text").alias("positive"), F.lit("question").alias("kind"), "source")
+
+
+def training_sources(sources: DataFrame, test: DataFrame, dev: DataFrame) -> DataFrame:
+    """Sources (source) that neither test nor dev holds."""
+    return sources.join(test.select("source"), "source", "left_anti").join(dev.select("source"), "source", "left_anti")
+
+
+def without_meta(questions: DataFrame) -> DataFrame:
+    """Saved questions, filtered again, so that a stricter rule covers older ones as well."""
+    return questions.where(~F.col("question").rlike(META))
+
+
+def unasked(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Chunks (chunk, ...) without a recorded reply; a reply without questions is recorded too, so it is not asked for again."""
+    return chunks.join(asked.select("chunk").distinct(), "chunk", "left_anti")

@@ -170,18 +170,3 @@ def hard_negatives(spark, d):
     passages = v.select("doc", F.col("label").alias("source"), F.col("doc").alias("index"), "v")
     questions = passages.where("doc % 100 = 0").select(F.col("doc").alias("query"), "source", "index", "v")
     return training.hard_negatives(questions, passages)
-
-
-@query(
-    f"""WITH RECURSIVE {_VECTORS}, link AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND round(list_dot_product(a.e, b.e), 6) >= 0.4),
-    reach(u, w) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.u, link.w FROM reach JOIN link ON link.u = reach.w) SELECT u AS node, min(w) AS root FROM reach GROUP BY u HAVING count(*) > 1"""
-)
-def embedding_merge_components(spark, d):
-    """Single-linkage groups among representatives of one type: a blocked theta join, then components.
-
-    Types are the blocks. Each block's pairs are compared in tiles of representatives, so no block is one task.
-    """
-    v = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    a = v.select("label", F.col("vec_id").alias("u"), F.col("v").alias("x"))
-    pairs = a.join(v.select("label", F.col("vec_id").alias("v2"), F.col("v").alias("y")), "label").where("u < v2").where(F.round(dot("x", "y"), 6) >= 0.4)
-    return K.components(pairs.select("u", F.col("v2").alias("v")))
