@@ -19,6 +19,11 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def named(x: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def words(text) -> Column:
     """Blank-separated words; an empty array for blank text."""
     return F.filter(F.split(F.trim(col(text)), r"\s+"), lambda w: w != "")
@@ -53,7 +58,7 @@ def plain(text) -> Column:
     """
     s = F.translate(F.lower(col(text)), "-_’", "  '")
     s = F.translate(F.replace(F.replace(s, F.lit("'s "), F.lit(" ")), F.lit("'"), F.lit("")), _SIGNS, _BLANKS)
-    return F.when(F.octet_length(s) == F.length(s), s).otherwise(F.regexp_replace(s, r"[^\x00-\x7F]+", " "))
+    return named(s, lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(F.regexp_replace(x, r"[^\x00-\x7F]+", " ")))
 
 
 def tokens(text) -> Column:
@@ -63,11 +68,11 @@ def tokens(text) -> Column:
 
 def normalized(name) -> Column:
     """A concept name's comparable form: no leading article or trailing 'operation', the last word in the singular."""
-    s = F.regexp_replace(collapse(plain(name)), r"^(the|a|an)\s+", "")
-    w = F.filter(F.split(s, " "), lambda x: x != "")
-    w = F.when((F.size(w) > 1) & F.element_at(w, -1).isin("operation", "operations"), F.slice(w, F.lit(1), F.size(w) - 1)).otherwise(w)
-    last = F.when(F.size(w) > 0, singular(F.try_element_at(w, F.lit(-1))))
-    return F.when(F.size(w) > 0, F.array_join(F.concat(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.array(last)), " ")).otherwise("")
+    all_words = F.filter(F.split(F.regexp_replace(collapse(plain(name)), r"^(the|a|an)\s+", ""), " "), lambda x: x != "")
+    closed = lambda w: F.when((F.size(w) > 1) & F.element_at(w, -1).isin("operation", "operations"), F.slice(w, F.lit(1), F.size(w) - 1)).otherwise(w)
+    last = lambda w: F.transform(F.slice(w, F.greatest(F.size(w), F.lit(1)), F.lit(1)), singular)
+    whole = lambda w: F.array_join(F.concat(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), last(w)), " ")
+    return named(named(all_words, closed), whole)
 
 
 def name_key(name) -> Column:

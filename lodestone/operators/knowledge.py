@@ -124,9 +124,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def name_groups(items: DataFrame) -> DataFrame:
     """(item, group) from (item, name, aliases): items with one key, or whose alias is another's name, share their least item."""
-    keyed = items.select("item", T.name_key("name").alias("key"), "aliases")
+    keyed = materialise(items.select("item", T.name_key("name").alias("key"), F.transform("aliases", T.name_key).alias("aliases")), "name-keys")
     first = keyed.groupBy("key").agg(F.min("item").alias("first"))
     same = keyed.join(first, "key").select(F.col("item").alias("u"), F.col("first").alias("v"))
-    alias = keyed.select("item", F.explode("aliases").alias("alias")).select("item", T.name_key("alias").alias("key")).join(first, "key").select(F.col("item").alias("u"), F.col("first").alias("v"))
+    alias = keyed.select("item", F.explode("aliases").alias("key")).join(first, "key").select(F.col("item").alias("u"), F.col("first").alias("v"))
     roots = components(same.union(alias))
     return items.select("item").join(roots, F.col("item") == F.col("node")).select("item", F.col("root").alias("group"))
