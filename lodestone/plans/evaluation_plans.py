@@ -168,6 +168,7 @@ def tfidf_logreg(spark, d):
 
     rows = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("label")).where("label is not null")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    rows = materialise(spread(rows), "labelled-texts")
     model = tfidf_pipeline(most_terms=1 << 13).fit(balanced(rows.where(~held)))
     out = model.transform(rows.where(held).withColumn("weight", F.lit(1.0)))
     return out.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("y")).alias("right"))

@@ -23,10 +23,8 @@ def upsert_stream(spark: SparkSession, source: str, schema: str, root: str, keys
 
     def fold(batch: DataFrame, n: int) -> None:
         new = latest(batch, keys, version)
-        try:
-            old = spark.read.schema(schema).parquet(f"{root}/snapshot={n - 1}") if n else spark.createDataFrame([], schema)
-        except Exception:  # noqa: BLE001  the table begins with this batch
-            old = spark.createDataFrame([], schema)
+        # only the first batch has no snapshot before it; one that cannot be read must stop the stream, not empty the table
+        old = spark.read.schema(schema).parquet(f"{root}/snapshot={n - 1}") if n else spark.createDataFrame([], schema)
         upsert(old, new, keys).drop("state").write.mode("overwrite").parquet(f"{root}/snapshot={n}")
 
     return rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
