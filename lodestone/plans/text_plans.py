@@ -91,7 +91,7 @@ def sentence_split(spark, d):
 def chunk_pack_overlap(spark, d):
     """Lines of each document as timed blocks, packed to passages; held against a plain re-statement in the tests."""
     block = lambda t, i: F.struct(t.alias("text"), (i * 10.0).alias("start"), (i * 10.0 + 9).alias("end"), F.array().cast("array<string>").alias("heading"))
-    sources = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.transform(F.split("text", "\n"), block).alias("blocks"))
+    sources = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("source_id"), F.transform(F.split("text", "\n"), block).alias("blocks"))
     return chunking.chunks(sources).select("source_id", "chunk_id", "index", "n_words", "start", "end", F.sha1("text").alias("text_sha1"), T.locator().alias("locator"))
 
 
@@ -124,4 +124,4 @@ def turn_word_errors(spark, d):
     from pyspark.sql import Window as W
 
     c = table(spark, d, "conversations").withColumn("before", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn", "text"))).where("before is not null")
-    return word_error_rate(c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("before").alias("reference"), F.col("text").alias("hypothesis")))
+    return word_error_rate(spread(c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("before").alias("reference"), F.col("text").alias("hypothesis"))))
