@@ -64,6 +64,25 @@ def structured_llm(chat: Callable[[str, str], dict]):
     return apply
 
 
+def transcriber(transcribe: Callable[[bytes, str | None], dict]):
+    """A column function (content, language) -> struct<model, language, segments>; a file that cannot be transcribed has null segments and an error."""
+    schema = "model string, language string, segments array<struct<text: string, start: double, end: double>>, error string"
+
+    @F.pandas_udf(schema)
+    def apply(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for content, language in parts:
+            rows = []
+            for c, lang in zip(content, language, strict=True):
+                try:
+                    out = tried(transcribe, c, lang)
+                    rows.append((out["model"], out.get("language"), out["segments"], None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((None, lang, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["model", "language", "segments", "error"])
+
+    return apply
+
+
 def hash_embedding(texts: list[str], width: int = 64) -> list[list[float]]:
     """Unit vectors from the words' hashes: a model for tests."""
     out = []

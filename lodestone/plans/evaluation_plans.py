@@ -164,11 +164,22 @@ def cluster_bootstrap_ci(spark, d):
 @query()
 def tfidf_logreg(spark, d):
     """Languages of documents by tf-idf and logistic regression: learned on four fifths, counted on the rest."""
-    from lodestone.operators.classify import balanced, tfidf_pipeline
+    from lodestone.operators.classify import TfidfRegression
 
     rows = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("label")).where("label is not null")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     rows = materialise(spread(rows), "labelled-texts")
-    model = tfidf_pipeline(most_terms=1 << 13).fit(balanced(rows.where(~held)))
-    out = model.transform(rows.where(held).withColumn("weight", F.lit(1.0)))
-    return out.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("y")).alias("right"))
+    out = TfidfRegression(rounds=50).fit(rows.where(~held)).predict(rows.where(held))
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("predicted")).alias("right"))
+
+
+@query()
+def vector_logreg(spark, d):
+    """Labels of embeddings by logistic regression: learned on four fifths, counted on the rest."""
+    from lodestone.operators.classify import VectorRegression
+
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding"), F.col("label").cast("string").alias("label")).where("label is not null and embedding is not null")
+    held = F.crc32(F.col("vec_id").cast("string")) % 5 == 0
+    rows = materialise(spread(rows), "labelled-vectors")
+    out = VectorRegression().fit(rows.where(~held)).predict(rows.where(held))
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("predicted")).alias("right"))
