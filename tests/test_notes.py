@@ -11,13 +11,13 @@ from lodestone.sources import gold, results
 
 
 def test_query_sets_of_both_shapes(spark, tmp_path):
-    (tmp_path / "a.yaml").write_text("source_id: s1\nqueries:\n  - {id: q1, query: What?, type: fact, relevant: [0, 2], answer: that}\n")
-    (tmp_path / "b.yaml").write_text("sources: {l1: s1, l2: s2}\nqueries:\n  - {id: q2, query: How?, type: procedure, relevant: {l1: [1], l2: [0, 1]}}\n")
+    (tmp_path / "a.yaml").write_text("source_id: s1\nqueries:\n  - {id: q1, query: 'What?', type: fact, relevant: [0, 2], answer: that}\n")
+    (tmp_path / "b.yaml").write_text("sources: {l1: s1, l2: s2}\nqueries:\n  - {id: q2, query: 'How?', type: procedure, relevant: {l1: [1], l2: [0, 1]}}\n")
     labels = gold.query_sets(spark, str(tmp_path))
     chunks = spark.createDataFrame([(s, i, f"{s}:{i}") for s in ("s1", "s2") for i in range(3)], "source string, index int, chunk string")
     out = gold.resolved(labels, chunks)
     assert sorted((r["query"], r.chunk, r.answer) for r in out.collect()) == [("q1", "s1:0", "that"), ("q1", "s1:2", "that"), ("q2", "s1:1", ""), ("q2", "s2:0", ""), ("q2", "s2:1", "")]
-    (tmp_path / "c.yaml").write_text("source_id: s1\nqueries:\n  - {id: q1, query: Again?, type: fact, relevant: [1]}\n  - {id: q3, query: None?, type: fact, relevant: []}\n  - {id: q4, query: Lost?, type: fact, relevant: [9]}\n")
+    (tmp_path / "c.yaml").write_text("source_id: s1\nqueries:\n  - {id: q1, query: 'Again?', type: fact, relevant: [1]}\n  - {id: q3, query: 'None?', type: fact, relevant: []}\n  - {id: q4, query: 'Lost?', type: fact, relevant: [9]}\n")
     faults = gold.label_faults(gold.query_sets(spark, str(tmp_path)), chunks)
     assert sorted(map(tuple, faults.collect())) == [("q1", "duplicate"), ("q3", "no passages"), ("q4", "no such passage")]
     with pytest.raises(ValueError, match="q1: duplicate"):
