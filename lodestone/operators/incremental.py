@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.numbering import numbered
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,12 +60,11 @@ def recall(memories: DataFrame, scores: DataFrame, k: int, floor: float) -> Data
 
 def remember(memories: DataFrame, new: DataFrame) -> DataFrame:
     """memories with new ones (scope, kind, text, created) appended under the next numbers, unless their words are there already."""
-    top = memories.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
     keyed = new.withColumn("key", T.memory_key("text")).where("key <> ''").dropDuplicates(["scope", "kind", "key"])
     fresh = keyed.join(memories.select("scope", "kind", T.memory_key("text").alias("key")), ["scope", "kind", "key"], "left_anti")
-    # one writer numbers one small append; the table itself is never in that window
-    numbered = fresh.crossJoin(F.broadcast(top)).withColumn("seq", F.col("top") + F.row_number().over(W.orderBy("created", "scope", "key")))
-    return memories.select("scope", "kind", "seq", "text", "created").unionByName(numbered.select("scope", "kind", "seq", "text", "created"))
+    top = memories.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    numbers = numbered(fresh, ["created", "scope", "key"], "seq", first=top + 1)
+    return memories.select("scope", "kind", "seq", "text", "created").unionByName(numbers.select("scope", "kind", "seq", "text", "created"))
 
 
 def forget(memories: DataFrame, scope: str, seq: int | None = None) -> DataFrame:
