@@ -19,8 +19,8 @@ from lodestone.llm.common import bounded, table
 CAPACITY, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: A document's rest is cut into powers of two down to this; what is left is one piece.
 LEAST_PIECE = 64
-#: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers before it starts anew, and their longest: text without blanks must not fill its memory.
+REMEMBERED, LONGEST = 400_000, 64
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 _STEM = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 _loaded: dict = {}
@@ -48,7 +48,8 @@ class Known(dict):
         else:
             ids = self.encode(word, add_special_tokens=False).ids
             out = struct.pack(f"<{len(ids)}I", *ids)
-        self[word] = out
+        if len(word) <= LONGEST:
+            self[word] = out
         return out
 
 
