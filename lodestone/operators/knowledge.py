@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.sources.scratch import materialise, small
+from lodestone.operators.automaton import linked, spans  # noqa: F401  dictionary links are part of the graph
+from lodestone.sources.scratch import materialise
 
 
 def first_seen(value: str, position) -> Column:
@@ -76,30 +77,6 @@ def other_forms(forms: DataFrame, by: str, form: str, position: str, name: str)
     return first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x[form]).alias("aliases"))
 
 
-#: First tokens of a form that places are joined by.
-LEAD = 3
-
-
-def spans(docs: DataFrame, forms: DataFrame) -> DataFrame:
-    """(doc, a, b, concept): where a concept's form (array of tokens) stands among the tokens of docs (doc, tokens).
-
-    Each place is its token and the next ones; no n-gram is built. Places meet forms by as many first tokens as the shortest
-    form has (LEAD at most), so a counted small table of forms is broadcast and only hits are shuffled. What a longer form
-    has behind its first tokens is compared afterwards, at hits alone. Empty forms are nowhere.
-    """
-    own = small(materialise(forms.where(F.size("form") > 0).select("concept", "form", F.size("form").alias("n"), *[F.get("form", F.lit(k)).alias(f"f{k}") for k in range(LEAD)]).distinct(), "forms"))
-    first = own.agg(F.min("n"), F.max("n")).first()
-    least, most = min(first[0] or 1, LEAD), first[1] or 1
-    ahead = F.arrays_zip("tokens", *[F.slice("tokens", k + 1, F.size("tokens")) for k in range(1, LEAD)])
-    places = docs.select("doc", F.posexplode(ahead).alias("a", "t")).select("doc", "a", "t.*").toDF("doc", "a", *[f"t{k}" for k in range(LEAD)])
-    on = [F.col(f"t{k}") == F.col(f"f{k}") for k in range(least)] + [F.col(f"f{k}").isNull() | (F.col(f"t{k}") == F.col(f"f{k}")) for k in range(least, LEAD)]
-    found = places.join(own, on).select("doc", "a", "n", "concept", "form")
-    if most > LEAD:
-        long = docs.join(small(materialise(found.where(F.col("n") > LEAD), "long-forms")), "doc").where(F.slice("tokens", F.col("a") + 1, F.col("n")) == F.col("form"))
-        found = found.where(F.col("n") <= LEAD).unionByName(long.select(*found.columns))
-    return found.select("doc", "a", (F.col("a") + F.col("n")).alias("b"), "concept")
-
-
 def longest_matches(found: DataFrame) -> DataFrame:
     """(doc, concept, a): spans that lie in no span before them in the order of begin, longer first, concept; each concept at its first place."""
     w = W.partitionBy("doc").orderBy("a", F.desc("b"), "concept").rowsBetween(W.unboundedPreceding, -1)

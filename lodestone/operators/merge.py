@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import incremental as I
 from lodestone.operators import knowledge as K
 from lodestone.sources.scratch import materialise, small
 
@@ -168,25 +167,6 @@ def check_models(meta: dict, model: str, embed_model: str | None = None, replace
             raise ValueError(f"the graph holds {key} {meta[key]!r}, not {new!r}; replace it to swap")
 
 
-KEYS = {"chunks": ["chunk"], "concepts": ["id"], "mentions": ["concept", "chunk"], "relations": ["subject", "predicate", "object"], "part_of": ["subject", "predicate", "object"], "facts": ["id"]}
-
-
-def load(old: dict[str, DataFrame], rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Each table after a load: rows upserted by key with a state, and what the new knowledge lacks marked `pruned` (chunks only ever grow).
-
-    Loading the same rows again changes nothing. Memories live in tables of their own and are never pruned.
-    """
-    out = {}
-    for name, new in rows.items():
-        was = old.get(name)
-        if was is None:
-            out[name] = new.withColumn("state", F.lit("created"))
-            continue
-        merged = I.upsert(was, new, KEYS[name])
-        out[name] = merged if name == "chunks" else merged.withColumn("state", F.when(F.col("state") == "kept", "pruned").otherwise(F.col("state")))
-    return out
-
-
 def first_mentions(mentions: DataFrame) -> DataFrame:
     """(concept, source, chunk, start): where each source first mentions a concept."""
     return mentions.groupBy("concept", "source").agg(F.min_by(F.struct("chunk", "start"), "pos").alias("m")).select("concept", "source", "m.*")

@@ -37,17 +37,17 @@ def means():
 
 @query(f"WITH {P.BM25}, {_QRELS}, {_BM}, {_METRICS} SELECT {_MEAN} FROM per")
 def ir_metrics(spark, d):
-    return E.ir_per_query(R.ranked(P.bm25(spark, d), 10), qrels(spark, d)).agg(*means())
+    return E.ir_per_query(P.bm25(spark, d, 10), qrels(spark, d)).agg(*means())
 
 
 @query(f"WITH {P.BM25}, {_QRELS}, {_BM}, {_METRICS} SELECT {_HALF} AS type, count(*) AS n, {_MEAN} FROM per GROUP BY 1")
 def ir_metrics_by_type(spark, d):
-    return E.ir_per_query(R.ranked(P.bm25(spark, d), 10), qrels(spark, d)).groupBy(T.query_half(F.col("query").cast("string")).alias("type")).agg(F.count("*").alias("n"), *means())
+    return E.ir_per_query(P.bm25(spark, d, 10), qrels(spark, d)).groupBy(T.query_half(F.col("query").cast("string")).alias("type")).agg(F.count("*").alias("n"), *means())
 
 
 @query(f"WITH {P.BM25}, {_QRELS}, {_BM}, {_METRICS} SELECT query, round(ndcg, 6) AS ndcg FROM per")
 def ndcg_at_10(spark, d):
-    return E.ir_per_query(R.ranked(P.bm25(spark, d), 10), qrels(spark, d)).select("query", F.round("ndcg", 6).alias("ndcg"))
+    return E.ir_per_query(P.bm25(spark, d, 10), qrels(spark, d)).select("query", F.round("ndcg", 6).alias("ndcg"))
 
 
 _PER2 = _METRICS.replace("hit AS", "hit2 AS").replace("per AS", "per2 AS").replace("JOIN ranking", "JOIN ranking2").replace("LEFT JOIN hit ", "LEFT JOIN hit2 ")
@@ -59,7 +59,7 @@ _PER2 = _METRICS.replace("hit AS", "hit2 AS").replace("per AS", "per2 AS").repla
 )
 def metric_diff_mean(spark, d):
     q = qrels(spark, d)
-    a = E.ir_per_query(R.ranked(P.bm25(spark, d), 10), q).select("query", F.col("rr").alias("a"), F.col("r10").alias("a10"))
+    a = E.ir_per_query(P.bm25(spark, d, 10), q).select("query", F.col("rr").alias("a"), F.col("r10").alias("a10"))
     b = E.ir_per_query(R.ranked(P.graph(spark, d), 10), q).select("query", F.col("rr").alias("b"), F.col("r10").alias("b10"))
     return a.join(b, "query").agg(F.round(F.avg(F.col("b") - F.col("a")), 6).alias("rr_gain"), F.round(F.avg(F.col("b10") - F.col("a10")), 6).alias("r10_gain"), F.count("*").alias("n"))
 
@@ -149,7 +149,7 @@ def lecture_vote(spark, d):
 def paired_bootstrap_ci(spark, d):
     """The range of the mean gain in reciprocal rank of the graph over BM25, queries drawn again."""
     q = qrels(spark, d)
-    a = E.ir_per_query(R.ranked(P.bm25(spark, d), 10), q).select("query", F.col("rr").alias("a"))
+    a = E.ir_per_query(P.bm25(spark, d, 10), q).select("query", F.col("rr").alias("a"))
     b = E.ir_per_query(R.ranked(P.graph(spark, d), 10), q).select("query", F.col("rr").alias("b"))
     return E.bootstrap(a.join(b, "query").select(F.col("query").alias("cluster"), (F.col("b") - F.col("a")).alias("value"), F.lit(1).alias("size")))
 

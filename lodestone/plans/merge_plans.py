@@ -176,7 +176,7 @@ def gold_graph_search(spark, d):
 @query(f"WITH {SP.BM25} SELECT query, rank, lang AS source, doc AS chunk, CASE WHEN length(text) <= 700 THEN text ELSE text[:697] || '...' END AS text, round(score, 4) AS score FROM {SP._RANKED.format('bm')} JOIN documents ON doc_id = doc WHERE rank <= 5")
 def search_results(spark, d):
     """The five best passages of each query with source and snippet: a ranking enriched, in its order; ids without a passage are left out."""
-    top = materialise(R.ranked(SP.bm25(spark, d), 5), "ranking")
+    top = materialise(SP.bm25(spark, d, 5), "ranking")
     return R.enriched(top, table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("source"), "text")).select("query", "rank", "source", F.col("doc").alias("chunk"), "text", "score")
 
 

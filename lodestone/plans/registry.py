@@ -25,4 +25,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from lodestone.plans import evaluation_plans, graph_plans, merge_plans, note_plans, search_plans, text_plans  # noqa: E402, F401
+from lodestone.plans import evaluation_plans, graph_plans, merge_plans, note_plans, search_plans, store_plans, text_plans  # noqa: E402, F401

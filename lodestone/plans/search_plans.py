@@ -10,9 +10,10 @@ from lodestone.operators import incremental as I
 from lodestone.operators import knowledge as K
 from lodestone.operators import search as R
 from lodestone.operators import training
+from lodestone.operators.index import InvertedIndex
 from lodestone.plans import sqltext as S
 from lodestone.plans.registry import query, table
-from lodestone.sources.scratch import materialise, spread
+from lodestone.sources.scratch import kept, materialise, spread
 
 _TOKENS = f"dt AS (SELECT doc_id AS doc, {S.tokens('text')} AS tokens FROM documents), qt AS (SELECT item_id AS query, {S.tokens('text')} AS tokens FROM benchmark)"
 BM25 = f"""{_TOKENS}, terms AS (SELECT query, term, count(*) AS times FROM (SELECT query, unnest(tokens) AS term FROM qt) GROUP BY ALL), stats AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM dt),
@@ -32,8 +33,18 @@ _RANKED = "(SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC,
 
 
 def documents(spark, d):
-    """(doc, tokens) of whole texts. A plan that reads them more than once materialises them first."""
-    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")).select("doc", T.tokens("text").alias("tokens"))
+    """(doc, tokens) of whole texts, split once a session."""
+    def split(folder):
+        texts = spread(table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc"), "text"))
+        texts.select("doc", T.tokens("text").alias("tokens")).write.parquet(f"{folder}/tokens")
+
+    return spark.read.parquet(kept(spark, f"{d}/documents.parquet", "tokens", split) + "/tokens")
+
+
+def index(spark, d):
+    """The inverted index of the documents, made once a session."""
+    folder = kept(spark, f"{d}/documents.parquet", "index", lambda folder: InvertedIndex(spark, folder).add(documents(spark, d)))
+    return InvertedIndex(spark, folder)
 
 
 def items(spark, d):
@@ -46,12 +57,12 @@ def forms(spark, d):
 
 
 def links(spark, d):
-    return K.longest_matches(K.spans(documents(spark, d), forms(spark, d)))
+    return K.linked(documents(spark, d), forms(spark, d))
 
 
 def seeds(spark, d):
     q = items(spark, d).select(F.col("query").alias("doc"), "tokens")
-    return K.longest_matches(K.spans(q, forms(spark, d))).select(F.col("doc").alias("query"), "concept", F.lit(1.0).alias("weight"))
+    return K.linked(q, forms(spark, d)).select(F.col("doc").alias("query"), "concept", F.lit(1.0).alias("weight"))
 
 
 def graph(spark, d, linked=None):
@@ -60,13 +71,14 @@ def graph(spark, d, linked=None):
     return R.graph_scores(m, edges, seeds(spark, d), table(spark, d, "documents").agg(F.count("*").alias("n")))
 
 
-def bm25(spark, d):
-    return R.bm25(documents(spark, d), items(spark, d))
+def bm25(spark, d, k):
+    """(query, doc, score, rank): the k best documents of each item."""
+    return index(spark, d).search(items(spark, d), k)
 
 
 @query(f"WITH {BM25} SELECT query, doc, score, rank FROM {_RANKED.format('bm')} WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return R.ranked(bm25(spark, d), 10)
+    return bm25(spark, d, 10)
 
 
 @query(f"WITH {_TOKENS}, {LINKS} SELECT doc, concept, a FROM link")
@@ -85,7 +97,7 @@ def graph_score_topk(spark, d):
     SELECT query, doc, score, rank FROM {_RANKED.format('re')} WHERE rank <= 10"""
 )
 def hybrid_rerank(spark, d):
-    return R.rerank(bm25(spark, d), graph(spark, d), 10)
+    return R.rerank(bm25(spark, d, R.POOL), graph(spark, d), 10)
 
 
 _FUSED = f"""b50 AS (SELECT query, doc, rank FROM {_RANKED.format('bm')} WHERE rank <= 50), g50 AS (SELECT query, doc, rank FROM {_RANKED.format('gs')} WHERE rank <= 50),
@@ -94,7 +106,7 @@ fu AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM
 
 @query(f"WITH {BM25}, {LINKS}, {GRAPH}, {_FUSED} SELECT query, doc, score, rank FROM {_RANKED.format('fu')} WHERE rank <= 10")
 def hybrid_rrf(spark, d):
-    return R.rrf([(R.ranked(bm25(spark, d), 50), 1.0), (R.ranked(graph(spark, d), 50), 1.0)], 10)
+    return R.rrf([(bm25(spark, d, 50), 1.0), (R.ranked(graph(spark, d), 50), 1.0)], 10)
 
 
 @query(
@@ -105,7 +117,7 @@ def hybrid_rrf(spark, d):
 )
 def hybrid_rrf_seed_bonus(spark, d):
     linked = materialise(links(spark, d), "links")
-    fused = R.rrf([(R.ranked(bm25(spark, d), 50), 1.0), (R.ranked(graph(spark, d, linked), 50), 1.0)], 50)
+    fused = R.rrf([(bm25(spark, d, 50), 1.0), (R.ranked(graph(spark, d, linked), 50), 1.0)], 50)
     return R.seed_coverage(fused, linked, seeds(spark, d))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,3 +37,22 @@ def spread(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int = FEW) -> DataFrame:
     """df marked for a broadcast if a count finds so few rows; else as it is, so that the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+_kept: dict[tuple, str] = {}
+
+
+def kept(spark: SparkSession, source: str, name: str, make: Callable[[str], None]) -> str:
+    """The folder of something that `make` derives from the table at `source`, made once a session and again when the table's files change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    at = path(source)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    about = files.getContentSummary(at)
+    key = (spark.sparkContext.applicationId, source, name, about.getLength(), about.getFileCount(), files.getFileStatus(at).getModificationTime())
+    folder = _kept.get(key)
+    if folder is None or not path(f"{folder}/_made").getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(f"{folder}/_made")):
+        folder = scratch(spark, name)
+        make(folder)
+        path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path(f"{folder}/_made"))
+        _kept[key] = folder
+    return folder
