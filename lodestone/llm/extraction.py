@@ -1,4 +1,4 @@
-"""Main text of web pages: wrappers induced by aligning all pages of a host with a few of it, then the varying content without furniture."""
+"""Main text of web pages: wrappers induced by simple tree matching of all pages of a host with a few of it, then the varying content without furniture."""
 
 from __future__ import annotations
 
@@ -16,8 +16,10 @@ from lodestone.llm.common import bounded, hosts_of, materialise, table
 
 #: Pages of a host that all others are aligned with, the longest that is one of them while there are others, and bytes of wrappers up to which they are broadcast.
 REFERENCES, LONGEST_REFERENCE, MOST_BROADCAST = 4, 200_000, 16_000_000
-#: Pages that a constant is on at least, and one that is also dropped inside an article: a passage that fewer share stays.
-LEAST_PAGES, LEAST_SHARED = 2, 4
+#: Pages that a constant is on at least, each of which shares less than half of its text with the page that it was matched with.
+LEAST_PAGES = 4
+#: Pairs of children that one matching of two pages compares at most, and the deepest element whose children it looks at. Beyond, only equal subtrees match.
+WORK, DEEPEST = 100_000, 150
 #: Elements and words of class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script style noscript template textarea iframe svg title"
@@ -26,6 +28,8 @@ FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsored promo sidebar comment comments commentlist disqus respond cookie cookies consent gdpr notice banner popup modal overlay menu nav navbar navigation "
     "breadcrumb breadcrumbs footer masthead share sharing social related recommended newsletter subscribe pagination pager skip widget".split()
 )
+#: Words that make a furniture word's compound furniture as well ("share-buttons"), where others make it something else ("share-price").
+FURNITURE_PARTS = FURNITURE_WORDS | frozenset("area bar block bottom box button buttons container content empty form group header inner item items left links list message module outer panel popup region right row section slot top unit wrap wrapper".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table "
     "tbody td tfoot th thead tr ul option".split()
@@ -33,7 +37,7 @@ BLOCKS = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW.replace(' ', '|')})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_WORDS, _DIGITS = re.compile(r"[a-z]+"), re.compile(r"[0-9]+")
 
 
 class Node:
@@ -43,7 +47,14 @@ class Node:
         self.tag, self.marks, self.children = tag, marks, []
 
 
+def _furniture_class(token: str) -> bool:
+    """Whether a class, id or role is furniture as a whole: a furniture word, or one with words that say no more than what kind of box it is."""
+    words = _WORDS.findall(token)
+    return not FURNITURE_WORDS.isdisjoint(words) and FURNITURE_PARTS.issuperset(words)
+
+
 def _marks(attributes: str) -> frozenset:
+    """What the attributes say of an element: !hidden, !furniture, role and the whole words of class and id."""
     if "=" not in attributes and "hidden" not in attributes:
         return frozenset()
     out = set()
@@ -52,11 +63,12 @@ def _marks(attributes: str) -> frozenset:
         if name in ("hidden", "aria-hidden"):
             if name == "hidden" or value == "true":
                 out.add("!hidden")
-        elif name == "role":
-            out.add(f"role={value}")
-            out.update(_WORDS.findall(value))
         else:
-            out.update(_WORDS.findall(value))
+            out.add(f"role={value}" if name == "role" else "")
+            for token in value.split():
+                out.add(token)
+                if _furniture_class(token):
+                    out.add("!furniture")
     return frozenset(out)
 
 
@@ -68,6 +80,19 @@ def parse(page: str) -> Node:
     """
     root = Node("#root")
     stack, at, last = [root], 0, page.rfind(">") + 1
+    where: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag
+    blocks: list[int] = []
+
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            where[x.tag].pop()
+            if x.tag in BLOCKS:
+                blocks.pop()
+        del stack[k:]
+
+    def top(tags) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
     open_ = False  # whether the last token runs on to the end of the page
     for m in _TOKEN.finditer(page, 0, last):
         open_ = m.end() == last and not m["tag"] and not m[0].endswith("-->" if m[0].startswith("<!--") else ">") or (bool(m["raw"]) and not re.search(rf"</{m['raw']}\s*>\Z", m[0], re.I))
@@ -78,28 +103,19 @@ def parse(page: str) -> Node:
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if k := top((tag,)):
+                close(k)
             continue
-        if tag in BLOCKS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSES[tag]:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("ul", "ol", "dl", "table", "select"):
-                    break
+        if tag in BLOCKS and (k := top(("p",))) and k >= (blocks[-1] if blocks else 0):
+            close(k)
+        if tag in CLOSES and (k := top(CLOSES[tag])) > top(("ul", "ol", "dl", "table", "select")):
+            close(k)
         node = Node(tag, _marks(m["attributes"]))
         stack[-1].children.append(node)
         if tag not in VOID and not m["attributes"].endswith("/"):
+            where.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS:
+                blocks.append(len(stack))
             stack.append(node)
     if open_ and at == last:
         return root
@@ -113,71 +129,183 @@ def _clean(text: str) -> str:
     return " ".join(text.split())
 
 
-def _name(path: str, text: str) -> int:
+def _name(path: int, text: str) -> int:
+    """The name of a text below a path, or of an element's path below its parent's: paths are numbers, however deep they are."""
     import xxhash
 
     return xxhash.xxh3_64_intdigest(f"{path}\n{text}") >> 1
 
 
-def leaves(page: str) -> list[int]:
-    """The names (path of tags and text) of the page's text nodes, in order."""
-    root, out = parse(page), []
-    todo: list = [(root, root.tag)]
-    while todo:
-        x, path = todo.pop()
-        if isinstance(x, str):
-            if t := _clean(x):
-                out.append(_name(path, t))
-        else:
-            todo += [(c, path if isinstance(c, str) else f"{path}/{c.tag}") for c in reversed(x.children)]
-    return out
-
-
-def _numbered(names: list[int]) -> list[tuple[int, int]]:
-    seen: dict[int, int] = {}
-    out = []
-    for n in names:
-        seen[n] = seen.get(n, 0) + 1
-        out.append((n, seen[n]))
-    return out
-
+class Tree:
+    """A page's elements and texts in order: label (of a tag, or of a text), size and hash of the subtree, name of a text (0: element) and its length."""
+
+    def __init__(self, labels: list[int], sizes: list[int], whole: list[int], names: list[int], lengths: list[int]):
+        self.labels, self.sizes, self.whole, self.names, self.lengths = labels, sizes, whole, names, lengths
+        self._below: dict[int, tuple[list[int], frozenset]] = {}
+
+    @classmethod
+    def of(cls, page: str) -> Tree:
+        labels, sizes, whole, names, lengths = [], [], [], [], []
+        todo: list = [(parse(page), 0)]
+        ends: list[int] = []
+        while todo:
+            x, path = todo.pop()
+            if x is None:  # an element's subtree is complete
+                i = ends.pop()
+                sizes[i] = len(labels) - i
+                now, k = str(labels[i]), i + 1
+                while k < len(labels):
+                    now, k = f"{now} {whole[k]}" if len(now) < 4096 else str(_name(whole[k], now)), k + sizes[k]
+                whole[i] = _name(0, now)
+            elif isinstance(x, str):
+                if t := _clean(x):
+                    label = _name(1, t)
+                    for column, value in ((labels, label), (sizes, 1), (whole, label), (names, _name(path, t)), (lengths, len(t))):
+                        column.append(value)
+            else:
+                own = _name(path, x.tag)
+                ends.append(len(labels))
+                for column, value in ((labels, _name(2, x.tag)), (sizes, 1), (whole, 0), (names, 0), (lengths, 0)):
+                    column.append(value)
+                todo.append((None, 0))
+                todo += [(c, own) for c in reversed(x.children)]
+        return cls(labels, sizes, whole, names, lengths)
+
+    def below(self, i: int) -> tuple[list[int], frozenset]:
+        """A node's children, and their labels."""
+        if i not in self._below:
+            out, k, end = [], i + 1, i + self.sizes[i]
+            while k < end:
+                out.append(k)
+                k += self.sizes[k]
+            self._below[i] = out, frozenset(self.labels[k] for k in out)
+        return self._below[i]
+
+
+class Matching:
+    """Simple tree matching of two pages: a largest pairing of equal nodes that keeps parents and order.
+
+    Equal subtrees match as a whole, and equal children at either end of two lists match each other, which loses nothing; what
+    is left between is the usual table over pairs of children. Lists whose table is beyond the bound on work, and elements
+    below the deepest level, are paired by equal subtrees alone.
+    """
 
-def aligned(a: list[int], b: list[int]) -> set[int]:
-    """Text nodes in a longest order-preserving match of two pages, where a node that repeats meets its like by number."""
-    place = {n: k for k, n in enumerate(_numbered(b))}
-    common = [(n[0], place[n]) for n in _numbered(a) if n in place]
-    tails, at, before = [], [], [-1] * len(common)  # the longest rising run of places
-    for k, (_, x) in enumerate(common):
-        j = bisect.bisect_left(tails, x)
-        before[k] = at[j - 1] if j else -1
-        tails[j : j + 1], at[j : j + 1] = [x], [k]
-    out, k = set(), at[-1] if at else -1
+    def __init__(self, a: Tree, b: Tree, work: int = WORK):
+        self.a, self.b, self.left, self.known = a, b, work, {}
+
+    def weight(self, i: int, j: int, depth: int = 0) -> int:
+        """Nodes that a pairing of two subtrees holds."""
+        a, b = self.a, self.b
+        if a.labels[i] != b.labels[j]:
+            return 0
+        if a.whole[i] == b.whole[j]:
+            return a.sizes[i]
+        if a.sizes[i] == 1 or b.sizes[j] == 1 or depth > DEEPEST or a.below(i)[1].isdisjoint(b.below(j)[1]):
+            return 1
+        if (i, j) not in self.known:
+            pairs, weights = self._pairs(i, j, depth)
+            self.known[i, j] = 1 + sum(weights), pairs
+        return self.known[i, j][0]
+
+    def _pairs(self, i: int, j: int, depth: int) -> tuple[list[tuple[int, int]], list[int]]:
+        """The children that are paired, and what each pair weighs."""
+        a, b = self.a, self.b
+        x, y = a.below(i)[0], b.below(j)[0]
+        first = 0
+        while first < min(len(x), len(y)) and a.whole[x[first]] == b.whole[y[first]]:
+            first += 1
+        last = 0
+        while last < min(len(x), len(y)) - first and a.whole[x[-1 - last]] == b.whole[y[-1 - last]]:
+            last += 1
+        ends = [*zip(x[:first], y[:first], strict=True), *zip(x[len(x) - last :], y[len(y) - last :], strict=True)]
+        x, y = x[first : len(x) - last], y[first : len(y) - last]
+        if len(x) * len(y) > self.left:
+            between = _rising(x, y, a.whole, b.whole)
+            pairs = ends + between
+            return pairs, [a.sizes[p] for p, _ in pairs]
+        self.left -= len(x) * len(y)
+        w = [[self.weight(p, q, depth + 1) for q in y] for p in x]
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for r in range(len(x)):
+            for c in range(len(y)):
+                best[r + 1][c + 1] = max(best[r][c + 1], best[r + 1][c], best[r][c] + w[r][c])
+        pairs, weights, r, c = ends, [a.sizes[p] for p, _ in ends], len(x), len(y)
+        while r and c:
+            if best[r][c] == best[r - 1][c]:
+                r -= 1
+            elif best[r][c] == best[r][c - 1]:
+                c -= 1
+            else:
+                r, c = r - 1, c - 1
+                pairs.append((x[r], y[c]))
+                weights.append(w[r][c])
+        return pairs, weights
+
+    def texts(self) -> list[int]:
+        """Text nodes of the first page that are paired with an equal one of the second."""
+        a, b, out = self.a, self.b, []
+        todo = [(0, 0)] if self.weight(0, 0) else []
+        while todo:
+            i, j = todo.pop()
+            if a.whole[i] == b.whole[j]:
+                out += [k for k in range(i, i + a.sizes[i]) if a.names[k]]
+            elif (i, j) in self.known:
+                todo += self.known[i, j][1]
+        return sorted(out)
+
+
+def _rising(x: list[int], y: list[int], left: list[int], right: list[int]) -> list[tuple[int, int]]:
+    """A longest run of pairs with equal values, both rising; the n-th of a value meets the n-th."""
+    seen: Counter = Counter()
+    place = {}
+    for q in y:
+        seen[right[q]] += 1
+        place[right[q], seen[right[q]]] = q
+    seen.clear()
+    tails, at, common, before = [], [], [], []
+    for p in x:
+        seen[left[p]] += 1
+        if (q := place.get((left[p], seen[left[p]]))) is None:
+            continue
+        j = bisect.bisect_left(tails, q)
+        before.append(at[j - 1] if j else -1)
+        tails[j : j + 1], at[j : j + 1] = [q], [len(common)]
+        common.append((p, q))
+    out, k = [], at[-1] if at else -1
     while k >= 0:
-        out.add(common[k][0])
+        out.append(common[k])
         k = before[k]
     return out
 
 
-def votes(page: list[int], references: list[list[int]]) -> set[int]:
-    """The nodes of a page that some other page among the references has in the same place."""
-    return set().union(*[aligned(page, r) for r in references if r != page])
+def votes(page: Tree, references: list[Tree]) -> set[int] | None:
+    """The names of texts that the page has in the same place as a reference which is no near copy of it: one with less than half of its text in common. None without any such."""
+    own, found = sum(page.lengths), None
+    for r in references:
+        if r.whole[0] == page.whole[0]:
+            continue
+        texts = Matching(page, r).texts()
+        if 2 * sum(page.lengths[k] for k in texts) < own:
+            found = (found or set()) | {page.names[k] for k in texts}
+    return found
 
 
 def wrapper(pages: list[str], least: int = LEAST_PAGES) -> list[int]:
-    """The constant text nodes of a host's pages: those that get the votes of half of its distinct pages, and of `least`."""
-    trees = [leaves(p) for p in dict.fromkeys(pages)]
-    found = Counter(n for t in trees for n in votes(t, trees[:REFERENCES]))
-    return sorted(n for n, v in found.items() if v >= least and 2 * v >= len(trees))
+    """The constant texts of a host's pages: those that `least` pages vote for, and half of the pages that vote."""
+    trees = {t.whole[0]: t for t in map(Tree.of, pages)}
+    cast = [v for t in trees.values() if (v := votes(t, [*trees.values()][:REFERENCES])) is not None]
+    found = Counter(n for v in cast for n in v)
+    return sorted(n for n, k in found.items() if k >= least and 2 * k >= len(cast))
 
 
 def _is_furniture(node: Node, inside: bool) -> bool:
-    return node.tag in FURNITURE or "!hidden" in node.marks or not FURNITURE_WORDS.isdisjoint(node.marks) or (not inside and (node.tag == "header" or "header" in node.marks))
+    return node.tag in FURNITURE or not {"!hidden", "!furniture"}.isdisjoint(node.marks) or (not inside and (node.tag == "header" or "header" in node.marks))
 
 
-def _articles(node: Node) -> list[tuple[Node, str]]:
-    """The outermost articles with their paths; without any, the outermost main elements."""
+def _articles(node: Node) -> list[tuple[Node, int]]:
+    """The outermost articles with their parents' paths; without any, the outermost main elements."""
     out, main = [], []
-    todo = [(node, "#root", False)]
+    todo = [(node, 0, False)]
     while todo:
         x, path, within = todo.pop()
         if x.tag == "article":
@@ -186,23 +314,17 @@ def _articles(node: Node) -> list[tuple[Node, str]]:
         if not within and (x.tag == "main" or "role=main" in x.marks):
             main.append((x, path))
             within = True
-        todo += [(c, f"{path}/{c.tag}", within) for c in reversed(x.children) if not isinstance(c, str) and not _is_furniture(c, False)]
+        own = _name(path, x.tag)
+        todo += [(c, own, within) for c in reversed(x.children) if not isinstance(c, str) and not _is_furniture(c, False)]
     return out or main
 
 
-def main_text(page: str, constants: frozenset = frozenset(), shared: frozenset = frozenset()) -> str:
-    """Blocks of the page's slots, joined by blank lines.
-
-    With an article (or main elements) the slots are in there, and its text but furniture stays, less the host's `shared`
-    constants; if these are more than half of that text, the page is a near copy of others, and all of it stays. Without
-    one, slots are the text nodes that the host's wrapper does not have as constants.
-    """
+def main_text(page: str, constants: frozenset = frozenset()) -> str:
+    """Blocks of the page's slots, joined by blank lines: what is in its articles (or main elements, or else the whole page) but furniture and the host's constants."""
     root = parse(page)
     found = _articles(root)
-    drop = shared if found else constants
     blocks: list[str] = []
     now: list[str] = []
-    size = dropped = 0
 
     def flush() -> None:
         if text := _clean("".join(now)):
@@ -210,42 +332,41 @@ def main_text(page: str, constants: frozenset = frozenset(), shared: frozenset =
         now.clear()
 
     inside, starts = bool(found), {id(x) for x, _ in found}
-    todo: list = list(reversed(found)) or [(root, "#root")]
+    todo: list = list(reversed(found)) or [(root, 0)]
     while todo:
         x, path = todo.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
-            if not drop:
-                now.append(x)
-                continue
-            text = _clean(x)
-            size += len(text)
-            if _name(path, text) in drop:
-                dropped += len(text)
-                now.append(" ")
-            else:
-                now.append(x)
+            now.append(" " if constants and _name(path, _clean(x)) in constants else x)
         elif x.tag == "br":
             now.append(" ")
         elif not _is_furniture(x, inside) or id(x) in starts:
             if x.tag in BLOCKS:
                 flush()
-                todo.append((None, path))
-            todo += [(c, path if isinstance(c, str) else f"{path}/{c.tag}") for c in reversed(x.children)]
+                todo.append((None, 0))
+            own = _name(path, x.tag) if constants else 0
+            todo += [(c, own) for c in reversed(x.children)]
     flush()
-    return main_text(page) if inside and 2 * dropped > size else "\n\n".join(blocks)
+    return "\n\n".join(blocks)
+
+
+_COLUMNS = ("labels", "sizes", "whole", "names", "lengths")
+_TREE = ", ".join(f"{c} array<long>" for c in _COLUMNS)
 
 
-def _leaved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _treed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             part = batch.slice(a, 500)
-            names = pa.array([leaves(p) for p in part.column(2).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), names, pa.array([len(p) > LONGEST_REFERENCE for p in part.column(2).to_pylist()])], names=["host", "page", "names", "long"])
+            texts = part.column(2).to_pylist()
+            trees = [Tree.of(p) for p in texts]
+            columns = [pa.array([getattr(t, c) for t in trees], pa.list_(pa.int64())) for c in _COLUMNS]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns, pa.array([len(p) > LONGEST_REFERENCE for p in texts])], names=["host", "page", *_COLUMNS, "long"])
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, name, n): votes for each text; those for the name 0 are the pages that vote."""
     held: Counter = Counter()
 
     def out() -> pa.RecordBatch:
@@ -256,8 +377,11 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for k in range(batch.num_rows):
-            host, page, references = (batch.column(c)[k].as_py() for c in range(3))
-            held.update((host, n) for n in votes(page, references))
+            host, references = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+            page = Tree(*(batch.column(c)[k].as_py() for c in range(2, 7)))
+            cast = votes(page, [Tree(r["labels"], r["sizes"], r["whole"], [], []) for r in references])
+            if cast is not None:
+                held.update((host, n) for n in (*cast, 0))
             if len(held) > 200_000:
                 yield out()
     yield out()
@@ -269,21 +393,24 @@ def _by_host(left: DataFrame, right: DataFrame, size, most_broadcast: int, how:
 
 
 def wrappers(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(host, constants, shared): text nodes that get the votes of half of the host's distinct pages; shared ones also of LEAST_SHARED.
+    """(host, constants): texts that LEAST_PAGES pages of the host vote for, and half of those that vote.
 
-    Every page is aligned with REFERENCES pages of its host, those with the least hashes (among pages not too long, if there
-    are such), and votes for the nodes that it has in common with one. Repeats of a page vote once. Votes are added up
-    within tasks before they are grouped, and no group holds a host's pages.
+    Every page is matched with REFERENCES pages of its host, those with the least hashes (among pages not too long, if there
+    are such), and votes for the texts that it has in common with those that are no near copies of it. Repeats of a page
+    vote once. Votes are added up within tasks before they are grouped, and no group holds a host's pages.
     """
     own = pages.select(hosts_of("url").alias("host"), F.xxhash64("html").alias("page"), "html").where(F.length("html") > 0)
-    each = materialise(own.mapInArrow(_leaved, "host string, page long, names array<long>, long boolean").dropDuplicates(["host", "page"]), "leaves")
-    chosen = each.groupBy("host").agg(F.count("*").alias("pages"), *[F.min_by("names", F.struct("long", F.xxhash64("page", F.lit(k)))).alias(f"p{k}") for k in range(REFERENCES)])
-    several = materialise(chosen.where("pages > 1").select("host", "pages", F.array_distinct(F.array(*[f"p{k}" for k in range(REFERENCES)])).alias("references")), "references")
-    references = several.select("host", "references")
-    joined = _by_host(each.select("host", "names"), references, F.size(F.flatten("references")) * 8 + F.length("host") + 32, most_broadcast)
-    found = joined.select("host", "names", "references").mapInArrow(_voted, "host string, name long, n long").groupBy("host", "name").agg(F.sum("n").alias("n"))
-    counted = found.where(F.col("n") >= LEAST_PAGES).join(several.select("host", "pages"), "host").where("2 * n >= pages")
-    return counted.groupBy("host").agg(F.sort_array(F.collect_list("name")).alias("constants"), F.sort_array(F.collect_list(F.when(F.col("n") >= LEAST_SHARED, F.col("name")))).alias("shared"))
+    each = materialise(own.mapInArrow(_treed, f"host string, page long, {_TREE}, long boolean").dropDuplicates(["host", "page"]), "trees")
+    tree = F.struct("labels", "sizes", "whole")
+    chosen = each.groupBy("host").agg(F.count("*").alias("pages"), *[F.min_by(tree, F.struct("long", F.xxhash64("page", F.lit(k)))).alias(f"p{k}") for k in range(REFERENCES)])
+    several = materialise(chosen.where(F.col("pages") >= LEAST_PAGES).select("host", F.array_distinct(F.array(*[f"p{k}" for k in range(REFERENCES)])).alias("references")), "references")
+    size = F.aggregate("references", F.lit(0), lambda n, r: n + 24 * F.size(r["labels"])) + F.length("host") + 32
+    joined = _by_host(each.select("host", *_COLUMNS), several, size, most_broadcast)
+    found = joined.select("host", "references", *_COLUMNS).mapInArrow(_voted, "host string, name long, n long").groupBy("host", "name").agg(F.sum("n").alias("n"))
+    found = materialise(found, "votes")
+    cast = found.where("name = 0").select("host", F.col("n").alias("cast"))
+    counted = found.where((F.col("n") >= LEAST_PAGES) & (F.col("name") != 0)).join(cast, "host").where("2 * n >= cast")
+    return counted.groupBy("host").agg(F.sort_array(F.collect_list("name")).alias("constants"))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,8 +419,8 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, known, texts = batch.slice(a, 500), {}, []
             for k, (page, host) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
                 if host not in known:
-                    known[host] = [frozenset(part.column(c)[k].as_py() or ()) for c in (4, 5)]
-                texts.append(main_text(page or "", *known[host]))
+                    known[host] = frozenset(part.column(4)[k].as_py() or ())
+                texts.append(main_text(page or "", known[host]))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -301,13 +428,14 @@ def extract(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame
     """page_id, url, text, n_chars of every page's main text from its whole html.
 
     Null and empty html, and pages of furniture alone, give an empty text; a null url counts as a host of its own; repeated
-    rows each give a row. Wrappers are joined by host: broadcast while their measured size is below most_broadcast, else in
-    a shuffle that Spark may split by size.
+    rows each give a row; an empty table gives none; columns beside page_id, url and html are ignored, whatever their names.
+    Very long and very deep pages are parsed in time and memory that grow with their length. Wrappers are joined by host:
+    broadcast while their measured size is below most_broadcast, else in a shuffle that Spark may split by size.
     """
     found = materialise(wrappers(bounded(pages), most_broadcast), "wrappers")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", hosts_of("url").alias("host"))
-    joined = _by_host(own, found, F.size("constants") * 8 + F.size("shared") * 8 + F.length("host") + 32, most_broadcast, "left")
-    return joined.select("page_id", "url", "html", "host", "constants", "shared").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    joined = _by_host(own, found, F.size("constants") * 8 + F.length("host") + 32, most_broadcast, "left")
+    return joined.select("page_id", "url", "html", "host", "constants").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 
 
 def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
