@@ -137,15 +137,18 @@ def _name(path: int, text: str) -> int:
 
 
 class Tree:
-    """A page's elements and texts in order: label (of a tag, or of a text), size and hash of the subtree, name of a text (0: element) and its length."""
+    """A page's elements and texts in order: label (of a tag, or of a text), size and hash of the subtree, its shape (0: a text), name of a text (0: element) and its length.
 
-    def __init__(self, labels: list[int], sizes: list[int], whole: list[int], names: list[int], lengths: list[int]):
-        self.labels, self.sizes, self.whole, self.names, self.lengths = labels, sizes, whole, names, lengths
-        self._below: dict[int, tuple[list[int], frozenset]] = {}
+    The shape is the hash of a subtree's elements alone.
+    """
+
+    def __init__(self, labels: list[int], sizes: list[int], whole: list[int], shapes: list[int], names: list[int], lengths: list[int]):
+        self.labels, self.sizes, self.whole, self.shapes, self.names, self.lengths = labels, sizes, whole, shapes, names, lengths
+        self._below: dict[int, tuple[list[int], frozenset, frozenset]] = {}
 
     @classmethod
     def of(cls, page: str) -> Tree:
-        labels, sizes, whole, names, lengths = [], [], [], [], []
+        labels, sizes, whole, shapes, names, lengths = [], [], [], [], [], []
         todo: list = [(parse(page), 0)]
         ends: list[int] = []
         while todo:
@@ -153,35 +156,42 @@ class Tree:
             if x is None:  # an element's subtree is complete
                 i = ends.pop()
                 sizes[i] = len(labels) - i
-                now, k = str(labels[i]), i + 1
+                parts, elements, k = [labels[i]], [labels[i]], i + 1
                 while k < len(labels):
-                    now, k = f"{now} {whole[k]}" if len(now) < 4096 else str(_name(whole[k], now)), k + sizes[k]
-                whole[i] = _name(0, now)
+                    parts.append(whole[k])
+                    if shapes[k]:
+                        elements.append(shapes[k])
+                    k += sizes[k]
+                whole[i], shapes[i] = _name(0, repr(parts)), _name(3, repr(elements))
             elif isinstance(x, str):
                 if t := _clean(x):
                     label = _name(1, t)
-                    for column, value in ((labels, label), (sizes, 1), (whole, label), (names, _name(path, t)), (lengths, len(t))):
+                    for column, value in ((labels, label), (sizes, 1), (whole, label), (shapes, 0), (names, _name(path, t)), (lengths, len(t))):
                         column.append(value)
             else:
                 own = _name(path, x.tag)
                 ends.append(len(labels))
-                for column, value in ((labels, _name(2, x.tag)), (sizes, 1), (whole, 0), (names, 0), (lengths, 0)):
+                for column, value in ((labels, _name(2, x.tag)), (sizes, 1), (whole, 0), (shapes, 0), (names, 0), (lengths, 0)):
                     column.append(value)
                 todo.append((None, 0))
                 todo += [(c, own) for c in reversed(x.children)]
-        return cls(labels, sizes, whole, names, lengths)
+        return cls(labels, sizes, whole, shapes, names, lengths)
 
-    def below(self, i: int) -> tuple[list[int], frozenset]:
-        """A node's children, and their labels."""
+    def below(self, i: int) -> tuple[list[int], frozenset, frozenset]:
+        """A node's children, their labels, and the labels of all texts in its subtree."""
         if i not in self._below:
             out, k, end = [], i + 1, i + self.sizes[i]
             while k < end:
                 out.append(k)
                 k += self.sizes[k]
-            self._below[i] = out, frozenset(self.labels[k] for k in out)
+            self._below[i] = out, frozenset(self.labels[k] for k in out), frozenset(self.labels[k] for k in range(i, end) if not self.shapes[k])
         return self._below[i]
 
 
+#: What pairings of subtrees without a text in common weigh, and what work that is, by their shapes.
+_shaped: dict[tuple[int, int], tuple[int, int]] = {}
+
+
 class Matching:
     """Simple tree matching of two pages: a largest pairing of equal nodes that keeps parents and order.
 
@@ -200,8 +210,22 @@ class Matching:
             return 0
         if a.whole[i] == b.whole[j]:
             return a.sizes[i]
-        if a.sizes[i] == 1 or b.sizes[j] == 1 or depth > DEEPEST or a.below(i)[1].isdisjoint(b.below(j)[1]):
+        if a.sizes[i] == 1 or b.sizes[j] == 1 or depth > DEEPEST:
+            return 1
+        (_, some, texts), (_, others, theirs) = a.below(i), b.below(j)
+        if some.isdisjoint(others):
             return 1
+        if texts.isdisjoint(theirs):
+            shapes = a.shapes[i], b.shapes[j]
+            weight, cost = _shaped.get(shapes, (0, WORK))
+            if not weight or cost > self.left:
+                left = self.left
+                weight = 1 + sum(self._pairs(i, j, depth)[1])
+                if self.left > 0 and depth + min(a.sizes[i], b.sizes[j]) <= DEEPEST and len(_shaped) < 200_000:
+                    _shaped[shapes] = weight, left - self.left
+            else:
+                self.left -= cost
+            return weight
         if (i, j) not in self.known:
             pairs, weights = self._pairs(i, j, depth)
             self.known[i, j] = 1 + sum(weights), pairs
@@ -351,7 +375,7 @@ def main_text(page: str, constants: frozenset = frozenset()) -> str:
     return "\n\n".join(blocks)
 
 
-_COLUMNS = ("labels", "sizes", "whole", "names", "lengths")
+_COLUMNS = ("labels", "sizes", "whole", "shapes", "names", "lengths")
 _TREE = ", ".join(f"{c} array<long>" for c in _COLUMNS)
 
 
@@ -375,11 +399,15 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return done
 
+    known: dict[str, list[Tree]] = {}
     for batch in batches:
-        for k in range(batch.num_rows):
-            host, references = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-            page = Tree(*(batch.column(c)[k].as_py() for c in range(2, 7)))
-            cast = votes(page, [Tree(r["labels"], r["sizes"], r["whole"], [], []) for r in references])
+        for k, host in enumerate(batch.column(0).to_pylist()):
+            if host not in known:
+                if len(known) >= 64:
+                    known.clear()
+                known[host] = [Tree(r["labels"], r["sizes"], r["whole"], r["shapes"], [], []) for r in batch.column(1)[k].as_py()]
+            page = Tree(*(batch.column(c)[k].as_py() for c in range(2, 8)))
+            cast = votes(page, known[host])
             if cast is not None:
                 held.update((host, n) for n in (*cast, 0))
             if len(held) > 200_000:
@@ -401,10 +429,10 @@ def wrappers(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFram
     """
     own = pages.select(hosts_of("url").alias("host"), F.xxhash64("html").alias("page"), "html").where(F.length("html") > 0)
     each = materialise(own.mapInArrow(_treed, f"host string, page long, {_TREE}, long boolean").dropDuplicates(["host", "page"]), "trees")
-    tree = F.struct("labels", "sizes", "whole")
+    tree = F.struct("labels", "sizes", "whole", "shapes")
     chosen = each.groupBy("host").agg(F.count("*").alias("pages"), *[F.min_by(tree, F.struct("long", F.xxhash64("page", F.lit(k)))).alias(f"p{k}") for k in range(REFERENCES)])
     several = materialise(chosen.where(F.col("pages") >= LEAST_PAGES).select("host", F.array_distinct(F.array(*[f"p{k}" for k in range(REFERENCES)])).alias("references")), "references")
-    size = F.aggregate("references", F.lit(0), lambda n, r: n + 24 * F.size(r["labels"])) + F.length("host") + 32
+    size = F.aggregate("references", F.lit(0), lambda n, r: n + 32 * F.size(r["labels"])) + F.length("host") + 32
     joined = _by_host(each.select("host", *_COLUMNS), several, size, most_broadcast)
     found = joined.select("host", "references", *_COLUMNS).mapInArrow(_voted, "host string, name long, n long").groupBy("host", "name").agg(F.sum("n").alias("n"))
     found = materialise(found, "votes")
