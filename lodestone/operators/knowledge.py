@@ -63,13 +63,6 @@ def canonical_surface(rows: DataFrame, by: str, surface: str) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where("rank = 1").select(by, surface, "n")
 
 
-def numbered_slugs(names: DataFrame, name: str, order: str, keep: list[str] | None = None) -> DataFrame:
-    """(name, id): slugs, with -2, -3 and so on for later names of one slug. Names whose numbered slug is another's plain one are left to the caller's check."""
-    base = names.withColumn("slug", T.slug(name))
-    k = F.row_number().over(W.partitionBy("slug").orderBy(order))
-    return base.withColumn("k", k).select(*(keep or []), name, F.when(F.col("k") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("k").cast("string"))).alias("id"))
-
-
 def other_forms(forms: DataFrame, by: str, form: str, position: str, name: str) -> DataFrame:
     """(by, aliases): a group's forms as first seen, one for each normalized form, without the name's own."""
     keyed = forms.select(by, form, position, name, T.normalized(form).alias("key"), T.normalized(name).alias("own")).where("key <> own")

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import knowledge as K
+from lodestone.operators.cells import similar_links
 from lodestone.sources.scratch import materialise, small
 
 #: Representatives of a tile of the similarity join.
@@ -58,25 +60,44 @@ def grouped(items: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = N
         return named, stats.withColumn("embedding_merges", F.lit(0).cast("long"))
     kinds = K.majority(named, ["group"], "type", "pos").select("group", F.col("type").alias("block"))
     reps = K.majority(named.withColumn("norm", T.normalized("name")), ["group"], "norm", "pos").join(kinds, "group").select(F.col("group").alias("id"), "block", F.col("norm").alias("name"))
-    pairs = similar_pairs(reps.join(embed(reps.select("id", "name")), "id"), threshold)
-    roots = materialise(K.components(pairs), "merged-groups")
+    links = similar_links(reps.join(embed(reps.select("id", "name")), "id"), threshold)
+    roots = materialise(K.components(links), "merged-groups")
     out = named.join(roots, F.col("group") == F.col("node"), "left").withColumn("group", F.coalesce("root", "group")).drop("node", "root")
     merges = roots.agg(F.count_if(F.col("node") != F.col("root")).alias("embedding_merges"))
     return out, stats.crossJoin(merges)  # one row each
 
 
+def _free_ids(rows: pa.Table) -> pa.Table:
+    """Ids of the names of one family, in order: the slug, or with the first number from 2 on that no name before has taken."""
+    rows = rows.sort_by("group")
+    used: set[str] = set()
+    after: dict[str, int] = {}
+    ids = []
+    for slug in rows.column("slug").to_pylist():
+        own, n = slug, after.get(slug, 2)
+        while own in used:
+            own, n = f"{slug}-{n}", n + 1
+        used.add(own)
+        after[slug] = n
+        ids.append(own)
+    return pa.table({"group": rows.column("group"), "id": ids})
+
+
 def numbered_ids(concepts: DataFrame) -> DataFrame:
-    """concepts (group, name) with ids: slugs, later ones of a slug numbered from 2 on, and on past ids that are taken."""
-    out = concepts.withColumn("slug", T.slug("name"))
-    ids = K.numbered_slugs(out, "name", "group", keep=["group"]).withColumnRenamed("id", "id0")
-    clash = ids.groupBy("id0").agg(F.count("*").alias("n")).where("n > 1")
-    again = ids.join(small(clash), "id0", "left_semi")
-    if again.isEmpty():
-        return concepts.join(ids.select("group", F.col("id0").alias("id")), "group")
-    # a numbered slug is another name's plain one: the few that clash are numbered anew behind all numbers of their slug
-    w = W.partitionBy("id0").orderBy("group")
-    moved = again.withColumn("k", F.row_number().over(w)).where("k > 1").select("group", F.concat_ws("-", "id0", F.col("k").cast("string")).alias("moved"))
-    return concepts.join(ids, "group").join(moved, "group", "left").select(*[concepts[c] for c in concepts.columns], F.coalesce("moved", "id0").alias("id"))
+    """concepts (group, name) with ids: each in the order of groups gets its slug, or the slug with the first number from 2 on that is free.
+
+    A numbered slug can be another name's plain one, but only within a family: slugs that are the same but for numbers at
+    their end. Where a family has one slug, places in it are the numbers; only families of several slugs are gone through in
+    order, each in one task, since there every id depends on those before.
+    """
+    slugs = materialise(concepts.select(F.col("group").cast("long").alias("group"), T.slug("name").alias("slug")).withColumn("family", F.regexp_replace("slug", "(-[0-9]+)+$", "")), "slugs")
+    mixed = slugs.groupBy("family").agg(F.min("slug").alias("least"), F.max("slug").alias("most")).where("least <> most").select("family")
+    k = F.row_number().over(W.partitionBy("slug").orderBy("group"))
+    plain = slugs.join(mixed, "family", "left_anti").withColumn("k", k)
+    ids = plain.select("group", F.when(F.col("k") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("k").cast("string"))).alias("id"))
+    free = slugs.join(mixed, "family", "left_semi").groupBy("family").applyInArrow(_free_ids, "group long, id string")
+    ids = materialise(ids.unionByName(free), "free-ids")
+    return concepts.join(ids.withColumnRenamed("group", "__group"), F.col("group") == F.col("__group")).drop("__group")
 
 
 def merge_concepts(items: DataFrame, embed=None, threshold: float = 0.9) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -107,6 +128,13 @@ def local_ids(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("chunk", "name").agg(F.max_by("concept", "pos").alias("concept"))
 
 
+def merge_statistics(stats: DataFrame, concepts: DataFrame, relations: DataFrame, facts: DataFrame) -> DataFrame:
+    """The statistics of grouping with the numbers of merged concepts, relations and facts; one row."""
+    for name, rows in (("concepts", concepts), ("relations", relations), ("facts", facts)):
+        stats = stats.crossJoin(rows.agg(F.count("*").alias(name)))  # one row each
+    return stats
+
+
 def merge_relations(relations: DataFrame, mentions: DataFrame) -> DataFrame:
     """relations (chunk, subject, predicate, object, confidence) between merged ids, with their evidence; dangling and reflexive ones go."""
     known = local_ids(mentions)

@@ -116,17 +116,9 @@ def note(meta: Column, block, old=None) -> Column:
     return F.concat(meta, F.when(F.trim(before) != "", before).otherwise(""), whole, F.when(F.btrim(after, F.lit(" \n\t")) != "", after).otherwise("\n"))
 
 
-def write_notes(notes: DataFrame, root: str) -> None:
-    """notes (path, content) as files below root, each replaced whole by a task; root is a folder that all workers share."""
-
-    def write(rows) -> None:
-        import os
-
-        for r in rows:
-            path = os.path.join(root, r.path)
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(f"{path}.new", "w", encoding="utf-8", newline="\n") as f:
-                f.write(r.content)
-            os.replace(f"{path}.new", path)
-
-    notes.select("path", "content").foreachPartition(write)
+def has_user_text(old) -> Column:
+    """Whether a note has text of its reader's around its managed block; a note without a block is all theirs."""
+    body = F.regexp_replace(F.coalesce(T.col(old), F.lit("")), r"(?s)\A---\n.*?\n---\n", "")
+    at, end = F.instr(body, BEGIN), F.instr(body, END)
+    around = F.when((at > 0) & (end > at), F.concat(F.substring(body, F.lit(1), at - 1), F.substring(body, end + len(END), F.length(body)))).otherwise(body)
+    return F.btrim(around, F.lit(" \n\t\r")) != ""

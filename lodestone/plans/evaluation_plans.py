@@ -161,6 +161,15 @@ def cluster_bootstrap_ci(spark, d):
     return E.bootstrap(c)
 
 
+@query()
+def paired_cluster_bootstrap_ci(spark, d):
+    """The range of the gain in accuracy of each document's own label over its source's vote, sources drawn again as a whole, both methods with the same draws."""
+    j = judged(spark, d)
+    vote = K.majority(j, ["source"], "pred", "doc_id").select("source", F.col("pred").alias("vote"))
+    gain = (F.col("gold") == F.col("pred")).cast("int") - (F.col("gold") == F.col("vote")).cast("int")
+    return E.seeded_bootstrap(j.join(vote, "source").groupBy(F.col("source").alias("cluster")).agg(F.sum(gain).alias("value"), F.count("*").alias("size")))
+
+
 @query()
 def tfidf_logreg(spark, d):
     """Languages of documents by tf-idf and logistic regression: learned on four fifths, counted on the rest."""

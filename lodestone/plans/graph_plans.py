@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import incremental as I
 from lodestone.operators import knowledge as K
+from lodestone.operators import merge as M
 from lodestone.operators import training
 from lodestone.plans import sqltext as S
 from lodestone.plans.registry import query, table
@@ -166,11 +167,20 @@ def best_definition(spark, d):
     return table(spark, d, "part").groupBy("p_name").agg(F.max_by("p_partkey", F.struct("p_retailprice", -F.col("p_partkey"))).alias("best"), F.max("p_retailprice").alias("confidence"))
 
 
-@query("SELECT p_partkey, slug || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS id FROM (SELECT p_partkey, replace(lower(p_name), ' ', '-') AS slug, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part)")
+_CLASHING = "CASE p_partkey % 5 WHEN 0 THEN p_name || ' 2' WHEN 1 THEN p_name || ' 2 2' WHEN 2 THEN p_name || ' 3' ELSE p_name END"
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey AS g, trim(regexp_replace(lower({_CLASHING}), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part), f AS (SELECT list(row(g, slug) ORDER BY g) AS x FROM s GROUP BY regexp_replace(slug, '(-[0-9]+)+$', '')),
+    r AS (SELECT list_reduce(list_transform(x, lambda e: [e]), lambda used, e: list_append(used, row(e[1][1], CASE WHEN NOT list_contains(list_transform(used, lambda u: u[2]), e[1][2]) THEN e[1][2]
+    ELSE e[1][2] || '-' || list_filter(range(2, len(used) + 3), lambda n: NOT list_contains(list_transform(used, lambda u: u[2]), e[1][2] || '-' || n))[1] END)), []) AS ids FROM f)
+    SELECT u[1] AS p_partkey, u[2] AS id FROM (SELECT unnest(ids) AS u FROM r)"""
+)
 def slug_collisions(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_name", T.slug("p_name").alias("slug"))
-    k = F.row_number().over(W.partitionBy("slug").orderBy("p_partkey"))
-    return p.withColumn("k", k).select("p_partkey", F.when(F.col("k") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("k").cast("string"))).alias("id"))
+    """Ids of names of which many have one slug, and whose numbered slugs are others' plain ones."""
+    k = F.col("p_partkey") % 5
+    name = F.when(k == 0, F.concat("p_name", F.lit(" 2"))).when(k == 1, F.concat("p_name", F.lit(" 2 2"))).when(k == 2, F.concat("p_name", F.lit(" 3"))).otherwise(F.col("p_name"))
+    return M.numbered_ids(table(spark, d, "part").select(F.col("p_partkey").alias("group"), name.alias("name"))).select(F.col("group").alias("p_partkey"), "id")
 
 
 @query(

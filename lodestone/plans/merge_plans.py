@@ -40,10 +40,10 @@ def items(spark, d):
     )
 
 
-def merged(spark, d):
+def merged(spark, d, statistics=False):
     """(concepts, mentions, relations, facts): neighbours in a chunk are related, every fourth item states a fact."""
     own = items(spark, d)
-    concepts, mentions, _ = M.merge_concepts(own)
+    concepts, mentions, stats = M.merge_concepts(own)
     concepts, mentions = materialise(concepts, "concepts"), materialise(mentions, "mentions")
     kind = F.when(F.col("type") == "ECONOMY", "part_of").otherwise(F.lower("type"))
     a = own.select("chunk", "pos", F.col("name").alias("subject"), kind.alias("predicate"), F.col("confidence").alias("c1"))
@@ -51,7 +51,8 @@ def merged(spark, d):
     said = a.join(b, ["chunk", "pos"]).select("chunk", "subject", "predicate", "object", F.least("c1", "c2").alias("confidence"))
     named = F.when(F.col("pos") % 8 == 0, F.array("name")).otherwise(F.array().cast("array<string>"))
     facts = own.where("pos % 4 = 0").select(F.col("pos").alias("fact_pos"), "chunk", F.concat(F.lit("They sort the "), "name", F.lit(" first")).alias("statement"), named.alias("names"), "confidence")
-    return concepts, mentions, M.merge_relations(said, mentions), M.merge_facts(facts, mentions)
+    out = concepts, mentions, M.merge_relations(said, mentions), M.merge_facts(facts, mentions)
+    return (*out, stats) if statistics else out
 
 
 @query(
@@ -71,9 +72,10 @@ def merge_relations(spark, d):
     return merged(spark, d)[2].select("subject", "predicate", "object", "n", "confidence", F.size("chunks").cast("long").alias("n_chunks"))
 
 
-@query(f"WITH {_ITEMS} SELECT count(*) AS mentions, count(DISTINCT key) AS after_names, 0 AS embedding_merges FROM g")
+@query(f"WITH {_ITEMS} SELECT count(*) AS mentions, count(DISTINCT key) AS after_names, 0 AS embedding_merges, (SELECT count(*) FROM ids) AS concepts, (SELECT count(*) FROM ev) AS relations, (SELECT count(*) FROM part WHERE p_partkey % 4 = 0) AS facts FROM g")
 def merge_statistics(spark, d):
-    return M.merge_concepts(items(spark, d))[2]
+    concepts, _, relations, facts, stats = merged(spark, d, statistics=True)
+    return M.merge_statistics(stats, concepts, relations, facts)
 
 
 @query(
@@ -97,17 +99,17 @@ def build_rows_counts(spark, d):
 
 
 @query(
-    f"""WITH {_ITEMS}, fact AS (SELECT DISTINCT ON (chunk, name) chunk, name, pos, concept FROM ment WHERE pos % 4 = 0 AND pos % 8 <> 0 ORDER BY chunk, name, pos)
-    SELECT pos AS fact_pos, concept AS about FROM fact WHERE len(string_split((SELECT ids.name FROM ids WHERE id = concept), ' ')) <= 2"""
+    f"""WITH {_ITEMS}, al AS (SELECT concept, n.norm, min(row(k, pos, form)) AS f FROM (SELECT concept, name AS form, 0 AS k, pos FROM ment UNION ALL SELECT concept, alias, 1, pos FROM ment) JOIN normal n ON n.name = form JOIN ids ON ids.id = concept WHERE n.norm <> ids.norm GROUP BY ALL),
+    form AS (SELECT DISTINCT concept, {S.tokens('form')} AS t FROM (SELECT id AS concept, name AS form FROM ids UNION SELECT concept, f[3] FROM al)),
+    fact AS (SELECT chunk, pos, {S.tokens("'They sort the ' || name || ' first'")} AS t FROM (SELECT DISTINCT ON (chunk, name) chunk, name, pos FROM ment WHERE pos % 4 = 0 AND pos % 8 <> 0 ORDER BY chunk, name, pos)),
+    span AS (SELECT pos, a, a + len(form.t) AS b, concept FROM (SELECT *, unnest(range(0, len(t))) AS a FROM fact) fact JOIN (SELECT DISTINCT chunk, concept FROM ment) USING (chunk) JOIN form USING (concept) WHERE len(form.t) > 0 AND fact.t[a + 1 : a + len(form.t)] = form.t)
+    SELECT DISTINCT pos AS fact_pos, concept AS about FROM (SELECT *, max(b) OVER (PARTITION BY pos ORDER BY a, b DESC, concept ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM span) WHERE covered IS NULL OR covered < b"""
 )
 def facts_linked_by_text(spark, d):
-    """Facts without named concepts get those of their chunk that their text names; here each names its own item's, where the concept's wording has no article."""
+    """Facts without named concepts get those of their chunk that their text names: every link."""
     concepts, mentions, _, facts = merged(spark, d)
     bare = facts.where("size(concepts) = 0").groupBy("chunk", "statement").agg(F.min_by(F.struct(*facts.columns), "fact_pos").alias("f")).select("f.*")
-    linked = M.link_facts(bare, mentions, concepts).select("fact_pos", F.explode("concepts").alias("about"))
-    plain = concepts.where(F.size(F.split("name", " ")) <= 2).select(F.col("id").alias("about"))
-    own = mentions.select(F.col("pos").alias("fact_pos"), F.col("concept").alias("about"))
-    return linked.join(plain, "about", "left_semi").join(own, ["fact_pos", "about"], "left_semi").select("fact_pos", "about")
+    return M.link_facts(bare, mentions, concepts).select("fact_pos", F.explode("concepts").alias("about"))
 
 
 _VEC = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, coalesce(p_name, '') AS name FROM embeddings LEFT JOIN part ON p_partkey = vec_id)"
@@ -115,16 +117,16 @@ _GUARDED = f"""{_VEC}, near AS (SELECT a.vec_id AS u, b.vec_id AS v, round(list_
 pair AS (SELECT u, v, score FROM near WHERE NOT {GP._CONTRAST})"""
 
 
-def guarded(spark, d):
+def representatives(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), F.col("embedding").alias("v"))
     names = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return M.similar_pairs(v.join(names, "id", "left").withColumn("name", F.coalesce("name", F.lit(""))), 0.4)
+    return v.join(names, "id", "left").withColumn("name", F.coalesce("name", F.lit("")))
 
 
 @query(f"WITH {_GUARDED} SELECT u, v, score FROM pair")
 def embedding_merge_pairs(spark, d):
     """Similar representatives of one type whose names are no contrast, compared tile by tile."""
-    return guarded(spark, d)
+    return M.similar_pairs(representatives(spark, d), 0.4)
 
 
 @query(
@@ -132,8 +134,8 @@ def embedding_merge_pairs(spark, d):
     SELECT u AS node, min(w) AS root FROM reach GROUP BY u"""
 )
 def embedding_merge_components(spark, d):
-    """Single-linkage groups of these pairs."""
-    return K.components(guarded(spark, d))
+    """Single-linkage groups of these pairs, from spanning links: no pair table is made."""
+    return K.components(M.similar_links(representatives(spark, d), 0.4))
 
 
 _GOLD = "gold AS (SELECT p_partkey // 10 % 10 AS source, upper(p_name) AS name, bool_or(p_size < 25) AS core FROM part WHERE p_size % 3 > 0 GROUP BY ALL), gnorm AS (SELECT source, gold.name, core, lower(gold.name) AS norm FROM gold)"
@@ -166,10 +168,10 @@ def score_sources(spark, d):
 _SEEDS = SP.LINKS[: SP.LINKS.index("span AS")] + SP.LINKS[SP.LINKS.index("qspan AS") :]
 
 
-@query(f"WITH {SP._TOKENS}, {EP._QRELS}, {_SEEDS}, link AS (SELECT doc, query AS concept FROM qrels), {SP.GRAPH} SELECT query, doc, score, rank FROM {SP._RANKED.format('gs')} WHERE rank <= 10")
+@query(f"WITH {SP._TOKENS}, {EP._QRELS}, {_SEEDS}, link AS (SELECT doc, query AS concept FROM qrels), told AS (SELECT doc, concept, 0 AS facts FROM link), {SP.GRAPH} SELECT query, doc, score, rank FROM {SP._RANKED.format('gs')} WHERE rank <= 10")
 def gold_graph_search(spark, d):
     """Graph search over labelled passages: gold concepts (items), the documents that hold them, and edges between items that meet there."""
-    held = EP.qrels(spark, d).select(F.col("query").alias("concept"), "doc")
+    held = EP.qrels(spark, d).select(F.col("query").alias("concept"), "doc", F.lit(0).alias("facts"))
     return R.ranked(SP.graph(spark, d, held), 10)
 
 

@@ -10,6 +10,7 @@ from lodestone.operators import incremental as I
 from lodestone.operators import knowledge as K
 from lodestone.operators import search as R
 from lodestone.operators import training
+from lodestone.operators.cells import VectorIndex
 from lodestone.operators.index import InvertedIndex
 from lodestone.plans import sqltext as S
 from lodestone.plans.registry import query, table
@@ -23,12 +24,15 @@ bm AS (SELECT query, doc, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1)
 LINKS = """form AS (SELECT DISTINCT query AS concept, unnest([tokens[1:2], tokens[1:3]]) AS form FROM qt WHERE len(tokens) >= 3), size2 AS (SELECT unnest([2, 3]) AS n),
 span AS (SELECT doc, a, a + n AS b, concept FROM (SELECT doc, a, n, tokens[a + 1 : a + n] AS gram FROM (SELECT doc, tokens, n, unnest(range(0, len(tokens) - n + 1)) AS a FROM dt, size2 WHERE len(tokens) >= n)) JOIN form ON gram = form),
 link AS (SELECT doc, concept, min(a) AS a FROM (SELECT *, max(b) OVER (PARTITION BY doc ORDER BY a, b DESC, concept ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM span) WHERE covered IS NULL OR covered < b GROUP BY ALL),
+told AS (SELECT doc, concept, count(*) AS facts FROM span GROUP BY ALL),
 qspan AS (SELECT query, a, a + n AS b, concept FROM (SELECT query, a, n, tokens[a + 1 : a + n] AS gram FROM (SELECT query, tokens, n, unnest(range(0, len(tokens) - n + 1)) AS a FROM qt, size2 WHERE len(tokens) >= n)) JOIN form ON gram = form),
-seed AS (SELECT DISTINCT query, concept, 1.0 AS weight FROM (SELECT *, max(b) OVER (PARTITION BY query ORDER BY a, b DESC, concept ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM qspan) WHERE covered IS NULL OR covered < b)"""
+named AS (SELECT DISTINCT query, concept, 1.0 AS weight FROM (SELECT *, max(b) OVER (PARTITION BY query ORDER BY a, b DESC, concept ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM qspan) WHERE covered IS NULL OR covered < b),
+near AS (SELECT q.vec_id AS query, c.vec_id - 100 AS concept, round((1 + round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6)) / 2, 6) AS weight FROM embeddings q, embeddings c WHERE q.vec_id IN (SELECT query FROM qt) AND c.vec_id - 100 IN (SELECT query FROM qt)),
+seed AS (SELECT query, concept, max(weight) AS weight FROM (SELECT * FROM named UNION ALL SELECT * FROM (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query ORDER BY weight DESC, concept) <= 3) WHERE weight >= 0.55) GROUP BY ALL)"""
 GRAPH = """edge AS (SELECT DISTINCT a.concept AS node, b.concept AS other FROM link a JOIN link b ON a.doc = b.doc AND a.concept <> b.concept),
 idf AS (SELECT concept, ln(1 + (SELECT count(*) FROM documents) / count(DISTINCT doc)) AS idf FROM link GROUP BY concept),
 given AS (SELECT query, concept, sum(weight) AS weight FROM (SELECT query, concept, weight FROM seed UNION ALL SELECT query, other, weight * 0.25 FROM seed JOIN edge ON node = concept) GROUP BY ALL),
-gs AS (SELECT query, doc, round(sum(weight * idf), 6) AS score FROM given JOIN idf USING (concept) JOIN link USING (concept) GROUP BY ALL)"""
+gs AS (SELECT query, doc, round(sum(weight * idf * (1 + 0.5 * least(facts, 3))), 6) AS score FROM given JOIN idf USING (concept) JOIN link USING (concept) JOIN told USING (doc, concept) GROUP BY ALL)"""
 _RANKED = "(SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM {0})"
 
 
@@ -61,14 +65,28 @@ def links(spark, d):
 
 
 def seeds(spark, d):
-    q = items(spark, d).select(F.col("query").alias("doc"), "tokens")
-    return K.linked(q, forms(spark, d)).select(F.col("doc").alias("query"), "concept", F.lit(1.0).alias("weight"))
-
-
-def graph(spark, d, linked=None):
-    m = (materialise(links(spark, d), "links") if linked is None else linked).select("concept", "doc", F.lit(0).alias("facts"))
+    """What an item names, and the three concepts whose vectors are nearest to its own: those of the ids from 100 on."""
+    own = items(spark, d)
+    named = K.linked(own.select(F.col("query").alias("doc"), "tokens"), forms(spark, d)).select(F.col("doc").alias("query"), "concept", F.lit(1.0).alias("weight"))
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    concepts = v.join(own.select((F.col("query") + 100).alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("doc"), "v")
+    queries = v.join(own.select(F.col("query").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), "v")
+    near = R.vector_topk(concepts, queries, 3).select("query", (F.col("doc") - 100).alias("doc"), F.round(index_score("score"), 6).alias("score"))
+    return materialise(R.vector_seeds(named, near), "seeds")
+
+
+def mentioned(spark, d):
+    """(concept, doc, facts) of the document graph: the longest matches, and how often the document has the concept's forms."""
+    found = materialise(K.spans(documents(spark, d), forms(spark, d)), "spans")
+    told = found.groupBy("doc", "concept").agg(F.count("*").alias("facts"))
+    return materialise(K.longest_matches(found).join(told, ["doc", "concept"]).select("concept", "doc", "facts"), "mentioned")
+
+
+def graph(spark, d, linked=None, seed=None):
+    """Graph scores over the documents' links, or over given ones (concept, doc, facts)."""
+    m = mentioned(spark, d) if linked is None else linked
     edges = m.select("doc", F.col("concept").alias("node")).join(m.select("doc", F.col("concept").alias("other")), "doc").where("node <> other").select("node", "other").distinct()
-    return R.graph_scores(m, edges, seeds(spark, d), table(spark, d, "documents").agg(F.count("*").alias("n")))
+    return R.graph_scores(m, edges, seeds(spark, d) if seed is None else seed, table(spark, d, "documents").agg(F.count("*").alias("n")))
 
 
 def bm25(spark, d, k):
@@ -116,9 +134,9 @@ def hybrid_rrf(spark, d):
     SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY tail, CASE WHEN NOT tail THEN -score END, CASE WHEN NOT tail THEN doc END, was) AS rank FROM s"""
 )
 def hybrid_rrf_seed_bonus(spark, d):
-    linked = materialise(links(spark, d), "links")
-    fused = R.rrf([(bm25(spark, d, 50), 1.0), (R.ranked(graph(spark, d, linked), 50), 1.0)], 50)
-    return R.seed_coverage(fused, linked, seeds(spark, d))
+    linked, seed = mentioned(spark, d), seeds(spark, d)
+    fused = R.rrf([(bm25(spark, d, 50), 1.0), (R.ranked(graph(spark, d, linked, seed), 50), 1.0)], 50)
+    return R.seed_coverage(fused, linked, seed)
 
 
 _VECTORS = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
@@ -182,3 +200,14 @@ def hard_negatives(spark, d):
     passages = v.select("doc", F.col("label").alias("source"), F.col("doc").alias("index"), "v")
     questions = passages.where("doc % 100 = 0").select(F.col("doc").alias("query"), "source", "index", "v")
     return training.hard_negatives(questions, passages)
+
+
+@query(
+    f"""WITH {_VECTORS}, s AS (SELECT q.vec_id AS query, v.vec_id AS doc, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+    SELECT query, doc, label, round((1 + score) / 2, 6) AS score, rank FROM {_RANKED.format('s')} JOIN v ON vec_id = doc WHERE rank <= 5"""
+)
+def similar_concepts(spark, d):
+    """The five concepts most similar to each of a set, from a kept index of cells, on the scale of an index."""
+    v, q = vectors(spark, d)
+    folder = kept(spark, f"{d}/embeddings.parquet", "cells", lambda folder: VectorIndex(spark, folder).build(v.select(F.col("doc").alias("id"), "v")) and None)
+    return VectorIndex(spark, folder).search(q, 5).join(v.select("doc", "label"), "doc").select("query", "doc", "label", F.round(index_score("score"), 6).alias("score"), "rank")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.models import embedder, hash_embedding
 from lodestone.plans.registry import query, table
+from lodestone.sources import vault
 from lodestone.sources.graph_store import GraphStore
 from lodestone.sources.scratch import materialise, scratch
 
@@ -56,12 +57,12 @@ UNION ALL SELECT 'MENTIONED_IN', (SELECT count(*) FROM men{k}) + (SELECT count(*
 UNION ALL SELECT 'PART_OF', (SELECT count(*) FROM customer) * {domains} + (SELECT count(*) FROM dom{k}) + (SELECT count(*) FROM c{k}) + (SELECT count(*) FROM (SELECT DISTINCT subject, object FROM e{k} WHERE predicate = 'economy'))"""
 
 
-@query(f"""WITH {_STATES}, n0 AS ({_counts_sql(0)}), n1 AS ({_counts_sql(1)}) SELECT n0.kind, n0.n AS first, n1.n AS second, n1.n AS again FROM n0 JOIN n1 USING (kind)""")
+@query(f"""WITH {_STATES}, n0 AS ({_counts_sql(0)}), n1 AS ({_counts_sql(1)}) SELECT n0.kind, n0.n AS first, n1.n AS second FROM n0 JOIN n1 USING (kind)""")
 def load_states(spark, d):
-    """Counts of a graph after a load, after one of other knowledge and domain, and after that one again."""
+    """Counts of a graph after a load, and after one of other knowledge and domain."""
     store, out = GraphStore(spark, scratch(spark, "graph"), buckets=8), None
-    second = rows(spark, d, ORDERS[1], LINES[1])
-    for name, said, domain in (("first", rows(spark, d, ORDERS[0], LINES[0]), "first"), ("second", second, "second"), ("again", second, "second")):
+    for k, name in enumerate(("first", "second")):
+        said, domain = rows(spark, d, ORDERS[k], LINES[k]), name
         store.load(said, domain, "model")
         counts = store.counts().withColumnRenamed("n", name)
         out = counts if out is None else out.join(counts, "kind", "full")
@@ -96,3 +97,26 @@ def load_passages(spark, d):
     first, again = (store.load_passages(sources, chunks, "talk", embed) for _ in range(2))
     changed = store.load_passages(sources, chunks.withColumn("text", F.when(F.col("index") == 0, F.concat("text", F.lit(" again"))).otherwise(F.col("text"))), "talk", embed)
     return store.table("chunk_vectors").agg(F.lit(first).alias("first"), F.lit(again).alias("again"), F.lit(changed).alias("changed")).crossJoin(store.table("chunks").agg(F.count("*").alias("chunks")))  # one row each
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS k FROM supplier), n AS (SELECT CASE WHEN k % 7 = 0 THEN CASE WHEN k % 4 = 0 THEN 'removed' ELSE 'deleted' END WHEN k % 2 = 0 THEN 'updated' ELSE 'unchanged' END AS state, k % 3 = 0 AS moved FROM s UNION ALL SELECT 'created', false FROM nation)
+    SELECT state, count(*) AS n, count(*) FILTER (moved) AS moved FROM n GROUP BY state"""
+)
+def vault_export_states(spark, d):
+    """Suppliers are notes; a reader moves some, adds keys and text to others; then some suppliers change or are gone, nations are new, and the vault is exported again with pruning."""
+    root, key = scratch(spark, "vault"), F.col("k") % 2 == 0
+    first = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.lit("Concepts").alias("folder"), F.concat(F.lit("# "), "s_name").alias("block"), F.lit("supplier").alias("kind"))
+    keys = [("note_kind", F.col("kind"))]
+    vault.export(spark, first, keys, root)
+    k = F.regexp_extract("content", r"note_id: \"s(\d+)\"", 1).cast("long")
+    own = vault.read_vault(spark, root).withColumn("k", k)
+    text = F.when(F.col("k") % 5 == 0, F.replace("content", F.lit("\n---\n"), F.lit("\nrating: 5\n---\n"))).otherwise(F.col("content"))
+    text = F.when(F.col("k") % 4 == 0, F.concat(text, F.lit("\nmine\n"))).otherwise(text)
+    by_hand = materialise(own.withColumn("content", text).withColumn("to", F.when(F.col("k") % 3 == 0, F.concat(F.lit("Read/"), "path")).otherwise(F.col("path"))), "by-hand")
+    vault.write_vault(by_hand.where("to <> path").select("path", F.lit(None).cast("string").alias("content")), root)
+    vault.write_vault(by_hand.select(F.col("to").alias("path"), "content"), root)
+    changed = first.where("k % 7 <> 0").withColumn("block", F.when(key, F.concat("block", F.lit(" again"))).otherwise(F.col("block")))
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.lit("Concepts").alias("folder"), F.concat(F.lit("# "), "n_name").alias("block"), F.lit("nation").alias("kind"))
+    done = vault.export(spark, changed.unionByName(nations), keys, root, prune=True)
+    return done.groupBy("state").agg(F.count("*").alias("n"), F.count_if(F.col("path").startswith("Read/")).alias("moved"))

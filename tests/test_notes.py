@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.models import structured_llm, transcriber
 from lodestone.operators import classify, notes, prompts
-from lodestone.sources import gold, results
+from lodestone.sources import gold, results, vault
 
 
 def test_query_sets_of_both_shapes(spark, tmp_path):
@@ -126,7 +126,7 @@ def test_notes_keep_what_the_reader_wrote(spark):
 
 
 def test_written_notes(spark, tmp_path):
-    notes.write_notes(spark.createDataFrame([("Concepts/a.md", "x"), ("Sources/b.md", "y")], "path string, content string"), str(tmp_path))
+    vault.write_vault(spark.createDataFrame([("Concepts/a.md", "x"), ("Sources/b.md", "y")], "path string, content string"), str(tmp_path))
     assert (tmp_path / "Concepts" / "a.md").read_text() == "x" and sorted(p.name for p in tmp_path.rglob("*.*")) == ["a.md", "b.md"]
 
 
