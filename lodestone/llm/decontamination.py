@@ -8,14 +8,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ALNUM, bounded, hashed, slices, table
+from lodestone.llm.common import ALNUM, bounded, hashed, materialise, slices, table
 
 #: Words of a window; a document is contaminated when 1 in SHARE of its words is hit.
 WINDOW, SHARE = 13, 20
-#: Benchmark bytes searched in one pass, text bytes of a shard, and the text distance of sampled suffixes.
-BLOCK_BYTES, SHARD_BYTES, SAMPLED = 16_000_000, 2_000_000, 8
+#: Benchmark bytes searched in one pass (a worker holds some 20 times as many), text bytes of a shard, and the text distance of sampled suffixes.
+BLOCK_BYTES, SHARD_BYTES, SAMPLED = 2_000_000, 2_000_000, 8
 RESULT = "doc_id long, text_hash long, n_words long, begins array<long>, ends array<long>, items array<string>"
 
 
@@ -194,9 +195,9 @@ def benchmark_blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iter
     """Windows of the benchmark's items in blocks of a bounded size; null texts and texts without words have none."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
+    keyed = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-total // block_bytes)))))
+    for k in sorted(r["block"] for r in keyed.select("block").distinct().collect()) or [0]:
+        part = keyed.where(F.col("block") == k).toArrow()
         yield Windows(part.column("item_id").to_pylist(), [t.encode() for t in part.column("text").to_pylist()], width)
 
 
@@ -205,8 +206,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
 
     The benchmark is the stated query set: it goes to the workers in blocks of block_bytes, one pass over the documents
     for each; spans of several passes are merged by id and text. Null and empty texts have no words and no hits; repeated
-    rows give a row each (with several passes, equal rows are counted once and repeated again). Windows of items with a null
-    id hit like others; items lists no null.
+    rows give a row each (with several passes, equal rows are one row with a count while spans are merged). Windows of items
+    with a null id hit like others; items lists no null. An empty benchmark hits nothing, an empty table gives no rows; very
+    long texts are one shard; other columns are ignored, whatever their names.
     """
     spark, parts = bounded(docs).sparkSession, []
     for windows in benchmark_blocks(benchmark, width, block_bytes):
@@ -214,16 +216,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
         parts.append(docs.select("doc_id", "text").mapInArrow(lambda batches, shared=shared: _searched(batches, shared), RESULT))
     if len(parts) == 1:
         return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    spread = F.array_distinct(F.flatten(F.transform(F.arrays_zip("begins", "ends"), lambda x: F.sequence(x["begins"], x["ends"] - 1))))
-    grouped = every.withColumn("hit", spread).groupBy("doc_id", "text_hash", "n_words").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(parts)).cast("int").alias("copies")
-    )
-    begins = F.filter("hit", lambda x: ~F.array_contains("hit", x - 1))
-    ends = F.transform(F.filter("hit", lambda x: ~F.array_contains("hit", x + 1)), lambda x: x + 1)
-    return grouped.select("doc_id", "text_hash", "n_words", begins.alias("begins"), ends.alias("ends"), "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+    every = parts[0].withColumn("block", F.lit(0))
+    for k, p in enumerate(parts[1:], 1):
+        every = every.unionByName(p.withColumn("block", F.lit(k)))
+    key = ["doc_id", "text_hash"]
+    once = materialise(every.groupBy(*key, "block").agg(*[F.first(c).alias(c) for c in ("n_words", "begins", "ends", "items")], F.count("*").cast("int").alias("copies")), "block-hits")
+    marks = F.struct(F.lit(None).cast("long").alias("begin"), F.lit(None).cast("long").alias("end"))
+    names = once.groupBy(*key).agg(F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = merged_spans(once.select(*key, F.explode(F.arrays_zip("begins", "ends")).alias("s")).select(*key, F.col("s.begins").alias("begin"), F.col("s.ends").alias("end")), key)
+    both = names.withColumn("span", marks).unionByName(merged.select(*key, *[F.lit(None).cast(t).alias(c) for c, t in (("n_words", "long"), ("copies", "int"), ("items", "array<string>"))], F.struct("begin", "end").alias("span")))
+    spans = F.array_sort(F.collect_list(F.when(F.col("span.begin").isNotNull(), F.col("span"))))
+    whole = both.groupBy(*key).agg(F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.first("items", ignorenulls=True).alias("items"), spans.alias("spans"))
+    return whole.select(*key, "n_words", F.transform("spans", lambda x: x["begin"]).alias("begins"), F.transform("spans", lambda x: x["end"]).alias("ends"), "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+
+
+def merged_spans(spans: DataFrame, key: list[str]) -> DataFrame:
+    """key, begin, end: spans (key, begin, end) of one key that touch or overlap made one, by a sweep: sorted begins and the running largest end."""
+    w = W.partitionBy(*key).orderBy("begin", "end")
+    before = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
+    apart = spans.withColumn("new", F.when(before.isNull() | (F.col("begin") > before), 1).otherwise(0))
+    return apart.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy(*key, "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("run")
 
 
 def _hit(batches: Iterator[pa.RecordBatch], windows, block: int) -> Iterator[pa.RecordBatch]:
@@ -246,9 +258,14 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    spread = F.flatten(F.transform(F.arrays_zip("begins", "ends"), lambda x: F.sequence(x["begins"], x["ends"] - 1)))
-    once = every.dropDuplicates(["text_md5", "block"]).withColumn("hit", spread)
-    merged = once.groupBy("text_md5").agg(F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("n_hit"))
+    once = materialise(every.groupBy("text_md5", "block").agg(*[F.first(c).alias(c) for c in ("n_words", "begins", "ends")]), "block-hits") if len(parts) > 1 else every.dropDuplicates(["text_md5", "block"])
+    if len(parts) == 1:
+        hit = F.aggregate(F.zip_with("begins", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda n, x: n + x)
+        merged = once.select("text_md5", "n_words", hit.alias("n_hit"))
+    else:
+        spans = once.select("text_md5", F.explode(F.arrays_zip("begins", "ends")).alias("s")).select("text_md5", F.col("s.begins").alias("begin"), F.col("s.ends").alias("end"))
+        hits = merged_spans(spans, ["text_md5"]).groupBy("text_md5").agg(F.sum(F.col("end") - F.col("begin")).alias("n_hit"))
+        merged = hits.join(once.groupBy("text_md5").agg(F.max("n_words").alias("n_words")), "text_md5")
     return merged.where(f"n_hit > 0 and {SHARE} * n_hit >= n_words").select("text_md5")
 
 

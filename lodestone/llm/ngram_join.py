@@ -291,8 +291,10 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     members = stars.join(reps, "node")
     blocks = members.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     number = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    # rows that repeat a text under one doc_id are one member of a hub
+    prefixes = seen.select("node", "doc_id", "n", "first1", "first2").join(reps.select("node", "doc_id"), ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])
     meets = members.join(blocks, "hub").withColumn("block", number).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("hub", "node", "doc_id", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).join(seen.select("node", "doc_id", "n", "first1", "first2"), ["node", "doc_id"])
+    meets = meets.select("hub", "node", "doc_id", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).join(prefixes, ["node", "doc_id"])
     near = meets.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "block", "node", "n", "first1", "first2").mapInArrow(partial(_refined, percent=percent), "group long, node long, side int")
     near = materialise(_undominated(materialise(near.distinct(), "groups")).join(reps.select("node", "doc_id"), "node"), "candidates")
     wanted = F.broadcast(near) if near.count() <= MOST_BROADCAST else near

@@ -101,6 +101,13 @@ def test_join_of_many_near_copies_in_blocks(spark):
         assert got == want
 
 
+def test_join_of_a_row_repeated_under_one_id(spark):
+    near = sentence(3, 100)
+    rows = [(1, near)] * 300 + [(2, near + " x"), (1, near + " y"), (3, sentence(4, 100))]
+    got = sorted(tuple(r) for r in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), block=40).select("doc_id", "component_id").collect())
+    assert got == [(1, 1)] * 301 + [(2, 1), (3, 3)]
+
+
 def test_join_odd_rows(odd):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(odd).collect()]
     at = {i: (n, c) for i, n, c in got}
@@ -195,6 +202,24 @@ def test_decontamination_odd_rows(odd, spark):
     assert none == 0 and decontamination.contamination(odd.limit(0), items).count() == 0
 
 
+def test_spans_of_several_blocks(spark):
+    """Blocks of the benchmark give the rows that one does, for repeated and long texts too, in time of the same order."""
+    import time
+
+    texts = [sentence(40 + k, 30) for k in range(60)]
+    items = spark.createDataFrame([(k, " ".join(t.split()[k % 5 : 25 - k % 3])) for k, t in enumerate(texts)], "item_id long, text string")
+    rows = [(1, " ".join(texts))] * 50 + [(None, texts[3]), (None, texts[3]), (2, " ".join(t for t in texts for _ in range(20))), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    took, want = {}, None
+    for block in (decontamination.BLOCK_BYTES, 2_000):
+        began = time.time()
+        got = sorted((tuple(map(repr, r)) for r in decontamination.contamination(docs, items, block_bytes=block).collect()))
+        took[block], want = time.time() - began, want or got
+        assert got == want and len(got) == len(rows)
+    spans = spark.createDataFrame([("a", 0, 3), ("a", 3, 5), ("a", 1, 2), ("a", 7, 9), ("b", 1, 2), (None, 4, 6), (None, 5, 8)], "k string, begin long, end long")
+    assert sorted(map(tuple, decontamination.merged_spans(spans, ["k"]).collect()), key=repr) == sorted([("a", 0, 5), ("a", 7, 9), ("b", 1, 2), (None, 4, 8)], key=repr)
+
+
 def test_decontamination_items_without_id(odd, spark):
     import duckdb
 
