@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.automaton import linked
 from lodestone.operators.numbering import numbered
 
 
@@ -46,8 +47,19 @@ def dedupe_memories(memories: DataFrame) -> DataFrame:
     return keyed.withColumn("rank", F.row_number().over(W.partitionBy("scope", "kind", "key").orderBy("seq"))).where("rank = 1").drop("rank")
 
 
-def latest_memories(memories: DataFrame, n: int) -> DataFrame:
-    """The newest n memories of each scope, newest first."""
+def get_memory(memories: DataFrame, scope: str, seq: int) -> DataFrame:
+    """The memory of this number in this scope, if there is one."""
+    return memories.where((F.col("scope") == scope) & (F.col("seq") == seq))
+
+
+def concept_links(memories: DataFrame, forms: DataFrame) -> DataFrame:
+    """(memory, concept, a): the concepts that memories (memory, text) name, by the longest of the forms (concept, form array of tokens), each at its first place."""
+    return linked(memories.select(F.col("memory").alias("doc"), T.tokens("text").alias("tokens")), forms).withColumnRenamed("doc", "memory")
+
+
+def latest_memories(memories: DataFrame, n: int, kind: str | None = None) -> DataFrame:
+    """The newest n memories of each scope, newest first; of one kind, if it is given."""
+    memories = memories if kind is None else memories.where(F.col("kind") == kind)
     return memories.withColumn("rank", F.row_number().over(W.partitionBy("scope").orderBy(F.desc("created"), F.desc("seq")))).where(F.col("rank") <= n)
 
 
@@ -78,11 +90,11 @@ def forget(memories: DataFrame, scope: str, seq: int | None = None) -> DataFrame
 def reconcile(notes: DataFrame, existing: DataFrame, prune: bool = False) -> DataFrame:
     """(id, state, content) of a vault: notes and existing (id, content).
 
-    created, updated, unchanged; notes that have no source any more are removed (marked, content kept) or deleted. What
-    stands outside the managed block of an existing note is kept by `managed`.
+    created, updated, unchanged; notes that have no source any more are removed (marked, content kept), or deleted if pruning
+    and the reader wrote nothing in them. What stands outside the managed block of an existing note is kept by `managed`.
     """
     a, b = existing.alias("a"), notes.alias("b")
-    gone = F.lit("deleted" if prune else "removed")
+    gone = F.when(F.lit(prune) & ~has_user_text("a.content"), "deleted").otherwise("removed")
     state = F.when(F.col("b.id").isNull(), gone).when(F.col("a.id").isNull(), "created").when(F.col("a.content").eqNullSafe(F.col("b.content")), "unchanged").otherwise("updated")
     return a.join(b, F.col("a.id") == F.col("b.id"), "full").select(F.coalesce("a.id", "b.id").alias("id"), state.alias("state"), F.coalesce("b.content", "a.content").alias("content"))
 
@@ -90,6 +102,14 @@ def reconcile(notes: DataFrame, existing: DataFrame, prune: bool = False) -> Dat
 BEGIN, END = "%% managed %%", "%% /managed %%"
 
 
+def has_user_text(old):
+    """Whether a note has text of its reader's around its managed block; a note without a block is all theirs."""
+    body = F.regexp_replace(F.coalesce(T.col(old), F.lit("")), r"(?s)\A---\n.*?\n---\n", "")
+    at, end = F.instr(body, BEGIN), F.instr(body, END)
+    around = F.when((at > 0) & (end > at), F.concat(F.substring(body, F.lit(1), at - 1), F.substring(body, end + len(END), F.length(body)))).otherwise(body)
+    return F.btrim(around, F.lit(" \n\t\r")) != ""
+
+
 def managed(old: str, block: str):
     """A note with its managed block replaced and all else as it was; without a block it is put before the text."""
     whole = F.concat(F.lit(f"{BEGIN}\n"), T.col(block), F.lit(f"\n{END}"))

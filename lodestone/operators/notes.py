@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators.incremental import BEGIN, END
+from lodestone.operators.incremental import BEGIN, END, has_user_text  # noqa: F401  it is asked of notes
 from lodestone.operators.merge import both_ends_known
 
 #: Front-matter keys that an export writes; all others are the reader's and stay.
@@ -114,11 +114,3 @@ def note(meta: Column, block, old=None) -> Column:
     has = (at > 0) & (end > at)
     before, after = F.when(has, F.substring(body, F.lit(1), at - 1)).otherwise(""), F.when(has, F.substring(body, end + len(END), F.length(body))).otherwise(F.when(F.trim(body) != "", F.concat(F.lit("\n"), F.trim(body), F.lit("\n"))).otherwise(""))
     return F.concat(meta, F.when(F.trim(before) != "", before).otherwise(""), whole, F.when(F.btrim(after, F.lit(" \n\t")) != "", after).otherwise("\n"))
-
-
-def has_user_text(old) -> Column:
-    """Whether a note has text of its reader's around its managed block; a note without a block is all theirs."""
-    body = F.regexp_replace(F.coalesce(T.col(old), F.lit("")), r"(?s)\A---\n.*?\n---\n", "")
-    at, end = F.instr(body, BEGIN), F.instr(body, END)
-    around = F.when((at > 0) & (end > at), F.concat(F.substring(body, F.lit(1), at - 1), F.substring(body, end + len(END), F.length(body)))).otherwise(body)
-    return F.btrim(around, F.lit(" \n\t\r")) != ""

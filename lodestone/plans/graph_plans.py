@@ -306,6 +306,17 @@ def memory_dedup(spark, d):
     return I.dedupe_memories(m).select(F.col("scope").alias("conv_id"), F.col("kind").alias("role"), F.col("seq").alias("turn"))
 
 
+@query(
+    f"""WITH t AS (SELECT conv_id || ':' || turn AS memory, turn, {S.tokens('text')} AS tokens FROM conversations WHERE text IS NOT NULL), f AS (SELECT DISTINCT tokens[1:2] AS form FROM t WHERE turn = 0 AND len(tokens) >= 2)
+    SELECT memory, array_to_string(form, ' ') AS concept, CAST(min(a) AS INT) AS a FROM (SELECT *, unnest(range(0, len(tokens) - 1)) AS a FROM t) JOIN f ON tokens[a + 1 : a + 2] = form GROUP BY ALL"""
+)
+def memory_concept_links(spark, d):
+    """The concepts that each turn of a conversation names; concepts are what conversations begin with, by their first two words."""
+    m = table(spark, d, "conversations").where("text is not null").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("memory"), "turn", "text")
+    first = m.where("turn = 0").select(F.slice(T.tokens("text"), 1, 2).alias("form")).where("size(form) = 2").distinct()
+    return I.concept_links(m, first.select(F.array_join("form", " ").alias("concept"), "form")).groupBy("memory", "concept").agg(F.min("a").alias("a"))
+
+
 @query("SELECT user_id, event_id, place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS place FROM events) WHERE place <= 5")
 def memory_list_latest(spark, d):
     m = table(spark, d, "events").select(F.col("user_id").alias("scope"), F.col("ts").alias("created"), F.col("event_id").alias("seq"))

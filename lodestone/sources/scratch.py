@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a counted table is broadcast.
-FEW = 1_000_000
+#: Rows and bytes (as JSON) up to which a measured table is broadcast.
+FEW, FEW_BYTES = 1_000_000, 64_000_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -34,9 +34,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def small(df: DataFrame, rows: int = FEW) -> DataFrame:
-    """df marked for a broadcast if a count finds so few rows; else as it is, so that the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = FEW, most_bytes: int = FEW_BYTES) -> DataFrame:
+    """df marked for a broadcast if it is found to have so few rows and bytes; else as it is, so that the join shuffles."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= most_bytes else df
 
 
 _kept: dict[tuple, str] = {}
