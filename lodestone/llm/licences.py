@@ -60,8 +60,9 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     key words stands, the templates that it anchors are laid over the text at the relative position, and the words of each
     that are in place are counted; a place counts when its whole key phrase is there and at least half of the template's
     words. All of this stays within a row, so nothing is shuffled. Null text is empty; texts without words have n_words 0
-    and no labels; each input row, repeated or with a null id, gives one row. score is the largest share of a template's
-    words found at a place.
+    and no labels; each input row, repeated or with a null id, gives one row; an empty table gives none. A very long text is
+    one array of words in its row. Columns beside doc_id and text are ignored, whatever their names. score is the largest
+    share of a template's words found at a place.
     """
     index = templates()
     anchors = F.array(*[F.lit(w) for w in sorted({t[0] for t in index})])

@@ -149,8 +149,9 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int,
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, least_piece: int = LEAST_PIECE) -> DataFrame:
     """Pieces of every document's tokens in sequences of at most capacity tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are the end id alone. Repeated rows are packed as often as they come; an empty table gives no
-    rows. Ids depend on how the input is partitioned, not on which executor runs a task, so a lost task is run again with
+    Null and empty texts are the end id alone; a null doc_id stays null. Repeated rows are packed as often as they come; an
+    empty table gives no rows; columns beside doc_id and text are ignored, whatever their names. A very long text is one
+    array of ids in a worker, and words of more than LONGEST characters are not remembered there. Ids depend on how the input is partitioned, not on which executor runs a task, so a lost task is run again with
     the same result. A worker holds at most one open bin for each class, and leaves one bin partly filled.
     """
     return bounded(docs).select("doc_id", "text").mapInArrow(partial(_packed, path=tokenizer, capacity=capacity, least=least_piece), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -236,7 +236,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """doc_id, held_out, score, predicted of every whole text; a null text is scored as an empty one, each row once."""
+    """doc_id, held_out, score, predicted of every whole text, each row once.
+
+    A null text is scored as an empty one, a null doc_id is not held out, repeated rows and ids each give a row, and an empty
+    table gives none. Labels that are null, of no document, or without any row of either kind are learned from as far as they
+    go: without both kinds every text gets one score. Very long texts are one row in a worker; columns beside doc_id and text
+    are ignored, whatever their names.
+    """
     model = fit(docs, labels, most)
 
     def scored(batches):
