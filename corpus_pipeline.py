@@ -10,7 +10,11 @@ from lodestone.llm.common import materialise, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Rows are decided by their own text, whatever their doc_id; null and empty texts are scored as empty ones, repeated rows
+    stay or go alike, very long texts are scored whole, an empty table stays empty, and all columns are kept as they are.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -44,12 +48,20 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, blo
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every document stays.
+
+    n_chars becomes the length of the new text; null texts and texts without secrets stay as they are, as do null ids, repeated
+    rows and other columns; an empty table stays empty.
+    """
     return secrets.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of what is left."""
+    """The token pieces of what is left: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Null and empty texts are the end id alone, null ids stay null, repeated rows are packed as often as they come, an empty
+    table gives no rows, and other columns end here.
+    """
     return packing.pack(docs)
 
 
