@@ -71,7 +71,7 @@ def seeds(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     concepts = v.join(own.select((F.col("query") + 100).alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("doc"), "v")
     queries = v.join(own.select(F.col("query").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), "v")
-    near = R.vector_topk(concepts, queries, 3).select("query", (F.col("doc") - 100).alias("doc"), F.round(index_score("score"), 6).alias("score"))
+    near = R.vector_topk(concepts.select((F.col("doc") - 100).alias("doc"), "v"), queries, 3, own=True, scaled=True)  # a concept's id is another numbering than a query's
     return materialise(R.vector_seeds(named, near), "seeds")
 
 
