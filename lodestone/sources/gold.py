@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -87,13 +88,13 @@ def manifest_lectures(courses: DataFrame, splits: DataFrame) -> DataFrame:
     return rows.join(splits, "lecture", "left").select("video", "course", "domain", "lecture", F.coalesce("own", "split").alias("split"))
 
 
-def corpus(lectures: DataFrame, sources: DataFrame, chunks: DataFrame, least_words: int = 5) -> DataFrame:
-    """(text, domain, course, lecture, split, index): cleaned passages of least_words or more of the manifest's lectures.
+def corpus(lectures: DataFrame, sources: DataFrame, chunks: DataFrame, least_words: int = 5, clean: Callable = T.clean_lecture) -> DataFrame:
+    """(text, domain, course, lecture, split, index): passages of least_words or more of the manifest's lectures, cleaned by `clean`.
 
     sources (source, video, root): the first root that holds a video wins. chunks (source, index, text).
     """
     first = sources.where("video is not null").withColumn("r", F.row_number().over(W.partitionBy("video").orderBy("root", "source"))).where("r = 1").select("source", "video")
-    text = chunks.withColumn("text", T.clean_lecture("text")).where(F.size(T.words("text")) >= least_words)
+    text = chunks.withColumn("text", clean("text")).where(F.size(T.words("text")) >= least_words)
     return text.join(lectures.join(first, "video"), "source").select("text", "domain", "course", "lecture", "split", "index")
 
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.functions.models import structured_llm, transcriber
 from lodestone.operators import classify, notes, prompts
 from lodestone.sources import gold, results, vault
@@ -136,3 +137,12 @@ def test_terms_and_the_strongest_penalty(spark):
     rows = spark.createDataFrame([("red apple pie", "food"), ("green apple cake", "food"), ("loud brass band", "music"), ("loud string band", "music")] * 3, "text string, label string")
     best, scores = classify.strongest(lambda c: classify.TfidfRegression(c, rounds=20), rows, rows, grid=(1.0, 10.0))
     assert best == 1.0 and scores == {1.0: 1.0, 10.0: 1.0}
+
+
+def test_a_corpus_cleaned_as_asked(spark):
+    """Numbers of a document that are no lecture's course numbers stay where white space alone is to be cleaned."""
+    lectures = spark.createDataFrame([("v", "a", "maths", 1, "train")], "video string, course string, domain string, lecture int, split string")
+    sources = spark.createDataFrame([("y", "v", 0)], "source string, video string, root int")
+    chunks = spark.createDataFrame([("y", 0, "call 555-824-1234  or 18.06 now")], "source string, index int, text string")
+    assert gold.corpus(lectures, sources, chunks, clean=T.collapse).first()["text"] == "call 555-824-1234 or 18.06 now"
+    assert "824" not in gold.corpus(lectures, sources, chunks).first()["text"]
