@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of forms that one automaton holds; more forms are searched for by several, one after the other.
 FORM_BYTES = 8_000_000
+#: Tokens, about, of the texts that are gone through at a time.
+TOKENS = 1 << 18
 
 
 class Automaton:
@@ -103,9 +105,19 @@ class _Shared:
         return self._broadcast.value
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, TOKENS of them at a time or one row."""
+    for batch in batches:
+        ends, a = np.cumsum(np.asarray(batch.column(1).value_lengths().fill_null(0), np.int64)), 0
+        while a < batch.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TOKENS, side="right")))
+            yield batch.slice(a, z - a)
+            a = z
+
+
 def _places(batches: Iterator[pa.RecordBatch], shared, names: list[str], types: list[pa.DataType], whole: bool) -> Iterator[pa.RecordBatch]:
     machine, concepts = _automaton(shared)
-    for batch in batches:
+    for batch in _portions(batches):
         docs, tokens = batch.column(0), batch.column(1)
         numbers = pc.fill_null(pc.index_in(tokens.flatten(), value_set=machine.vocabulary), -1).to_pylist() if len(machine.vocabulary) else []
         ends = np.cumsum(np.asarray(tokens.value_lengths().fill_null(0), np.int64)).tolist()

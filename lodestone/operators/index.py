@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.search import K1, B, ranked
 
-#: Documents of a shard, which one task scores; of a window of it, which is scored or left out as a whole; files that terms are dealt to.
-SHARD, WINDOW, TERM_FILES = 1 << 16, 256, 64
+#: Documents and tokens of a shard, which one task makes and scores; documents of a window of it, which is scored or left out as a whole; files that terms are dealt to.
+SHARD, SHARD_TOKENS, WINDOW, TERM_FILES = 1 << 16, 1 << 21, 256, 64
 #: Query terms that are scored in one pass: what is sent to the workers.
 QUERY_TERMS = 200_000
 POSTINGS = "term string, shard string, n long, docs binary, tfs binary, windows binary, best binary"
@@ -26,7 +26,7 @@ def _impact(tf: np.ndarray, size: np.ndarray, mean: float, k1: float, b: float)
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
 
 
-def _inverted(batches: Iterator[pa.RecordBatch], segment: str, mean: float, shard: int, k1: float, b: float) -> Iterator[pa.RecordBatch]:
+def _inverted(batches: Iterator[pa.RecordBatch], segment: str, mean: float, shard: int, tokens: int, k1: float, b: float) -> Iterator[pa.RecordBatch]:
     """One row for each term of a shard of this task's documents, and one (with a null term) for the shard itself."""
     names = ["term", "shard", "n", "docs", "tfs", "windows", "best", "size", "ids"]
     held, task, k = [], TaskContext.get(), 0
@@ -53,16 +53,20 @@ def _inverted(batches: Iterator[pa.RecordBatch], segment: str, mean: float, shar
         types = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    n = 0
+    n, size = 0, 0
     for batch in batches:
-        while batch.num_rows:
-            part = batch.slice(0, shard - n)
-            held.append(part)
-            n += part.num_rows
-            batch = batch.slice(part.num_rows)
-            if n == shard:
+        ends = np.cumsum(np.asarray(batch.column("tokens").value_lengths().fill_null(0), np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = int(np.searchsorted(ends, before + tokens - size, side="right"))
+            to = min(max(to, at if n else at + 1), at + shard - n)  # a longer document is a shard of its own
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                n, size, at = n + held[-1].num_rows, size + int(ends[min(to, len(ends)) - 1] - before), min(to, batch.num_rows)
+            if n == shard or at < batch.num_rows:
                 yield rows(held)
-                held, n = [], 0
+                held, n, size = [], 0, 0
     if n:
         yield rows(held)
 
@@ -75,8 +79,8 @@ class InvertedIndex:
     in one task from the documents it reads, so tokens are never shuffled, only their postings are.
     """
 
-    def __init__(self, spark: SparkSession, root: str, k1: float = K1, b: float = B, shard: int = SHARD):
-        self.spark, self.root, self.k1, self.b, self.shard = spark, root.rstrip("/"), k1, b, shard
+    def __init__(self, spark: SparkSession, root: str, k1: float = K1, b: float = B, shard: int = SHARD, tokens: int = SHARD_TOKENS):
+        self.spark, self.root, self.k1, self.b, self.shard, self.tokens = spark, root.rstrip("/"), k1, b, shard, tokens
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._files = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -102,7 +106,7 @@ class InvertedIndex:
             own = own.join(self._read("documents", DOCUMENTS).select(F.explode("docs").alias("doc")), "doc", "left_anti")
         mean = self.statistics()[1] or 100.0
         made = own.mapInArrow(
-            partial(_inverted, segment=segment, mean=mean, shard=self.shard, k1=self.k1, b=self.b), "term string, shard string, n long, docs binary, tfs binary, windows binary, best binary, size long, ids array<long>"
+            partial(_inverted, segment=segment, mean=mean, shard=self.shard, tokens=self.tokens, k1=self.k1, b=self.b), "term string, shard string, n long, docs binary, tfs binary, windows binary, best binary, size long, ids array<long>"
         )
         raw = f"{self.root}/{segment}/raw"
         made.withColumn("mean", F.lit(mean)).write.mode("overwrite").parquet(raw)
