@@ -60,7 +60,7 @@ _PER2 = _METRICS.replace("hit AS", "hit2 AS").replace("per AS", "per2 AS").repla
 def metric_diff_mean(spark, d):
     q = qrels(spark, d)
     a = E.ir_per_query(P.bm25(spark, d, 10), q).select("query", F.col("rr").alias("a"), F.col("r10").alias("a10"))
-    b = E.ir_per_query(R.ranked(P.graph(spark, d), 10), q).select("query", F.col("rr").alias("b"), F.col("r10").alias("b10"))
+    b = E.ir_per_query(R.graph_topk(*P.graph(spark, d), 10), q).select("query", F.col("rr").alias("b"), F.col("r10").alias("b10"))
     return a.join(b, "query").agg(F.round(F.avg(F.col("b") - F.col("a")), 6).alias("rr_gain"), F.round(F.avg(F.col("b10") - F.col("a10")), 6).alias("r10_gain"), F.count("*").alias("n"))
 
 
@@ -150,7 +150,7 @@ def paired_bootstrap_ci(spark, d):
     """The range of the mean gain in reciprocal rank of the graph over BM25, queries drawn again."""
     q = qrels(spark, d)
     a = E.ir_per_query(P.bm25(spark, d, 10), q).select("query", F.col("rr").alias("a"))
-    b = E.ir_per_query(R.ranked(P.graph(spark, d), 10), q).select("query", F.col("rr").alias("b"))
+    b = E.ir_per_query(R.graph_topk(*P.graph(spark, d), 10), q).select("query", F.col("rr").alias("b"))
     return E.bootstrap(a.join(b, "query").select(F.col("query").alias("cluster"), (F.col("b") - F.col("a")).alias("value"), F.lit(1).alias("size")))
 
 

@@ -83,10 +83,11 @@ def mentioned(spark, d):
 
 
 def graph(spark, d, linked=None, seed=None):
-    """Graph scores over the documents' links, or over given ones (concept, doc, facts)."""
+    """What graph scores are made of: the documents' links or given ones (concept, doc, facts), edges between concepts that meet in a document, seeds, and the number of documents."""
     m = mentioned(spark, d) if linked is None else linked
-    edges = m.select("doc", F.col("concept").alias("node")).join(m.select("doc", F.col("concept").alias("other")), "doc").where("node <> other").select("node", "other").distinct()
-    return R.graph_scores(m, edges, seeds(spark, d) if seed is None else seed, table(spark, d, "documents").agg(F.count("*").alias("n")))
+    together = m.groupBy("doc").agg(F.collect_set("concept").alias("c"))
+    edges = materialise(together.where(F.size("c") > 1).select(F.explode("c").alias("node"), "c").select("node", F.explode("c").alias("other")).where("node <> other").distinct(), "concept-edges")
+    return m, edges, seeds(spark, d) if seed is None else seed, table(spark, d, "documents").agg(F.count("*").alias("n"))
 
 
 def bm25(spark, d, k):
@@ -106,7 +107,7 @@ def link_terms_longest_match(spark, d):
 
 @query(f"WITH {_TOKENS}, {LINKS}, {GRAPH} SELECT query, doc, score, rank FROM {_RANKED.format('gs')} WHERE rank <= 10")
 def graph_score_topk(spark, d):
-    return R.ranked(graph(spark, d), 10)
+    return R.graph_topk(*graph(spark, d), 10)
 
 
 @query(
@@ -115,7 +116,8 @@ def graph_score_topk(spark, d):
     SELECT query, doc, score, rank FROM {_RANKED.format('re')} WHERE rank <= 10"""
 )
 def hybrid_rerank(spark, d):
-    return R.rerank(bm25(spark, d, R.POOL), graph(spark, d), 10)
+    pool = materialise(bm25(spark, d, R.POOL), "pool")
+    return R.rerank(pool, R.graph_scores_of(pool, *graph(spark, d)), 10)
 
 
 _FUSED = f"""b50 AS (SELECT query, doc, rank FROM {_RANKED.format('bm')} WHERE rank <= 50), g50 AS (SELECT query, doc, rank FROM {_RANKED.format('gs')} WHERE rank <= 50),
@@ -124,7 +126,7 @@ fu AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM
 
 @query(f"WITH {BM25}, {LINKS}, {GRAPH}, {_FUSED} SELECT query, doc, score, rank FROM {_RANKED.format('fu')} WHERE rank <= 10")
 def hybrid_rrf(spark, d):
-    return R.rrf([(bm25(spark, d, 50), 1.0), (R.ranked(graph(spark, d), 50), 1.0)], 10)
+    return R.rrf([(bm25(spark, d, 50), 1.0), (R.graph_topk(*graph(spark, d), 50), 1.0)], 10)
 
 
 @query(
@@ -135,7 +137,7 @@ def hybrid_rrf(spark, d):
 )
 def hybrid_rrf_seed_bonus(spark, d):
     linked, seed = mentioned(spark, d), seeds(spark, d)
-    fused = R.rrf([(bm25(spark, d, 50), 1.0), (R.ranked(graph(spark, d, linked, seed), 50), 1.0)], 50)
+    fused = materialise(R.rrf([(bm25(spark, d, 50), 1.0), (R.graph_topk(*graph(spark, d, linked, seed), 50), 1.0)], 50), "fused")
     return R.seed_coverage(fused, linked, seed)
 
 
