@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.models import embedder, hash_embedding
@@ -18,19 +19,24 @@ LINES = ("l_linestatus = 'F'", "l_quantity >= 25")
 def rows(spark, d, orders: str, lines: str) -> dict:
     """The rows of a graph: each line mentions its part, an order's neighbouring lines relate their parts, returned lines are facts."""
     o = table(spark, d, "orders").where(orders).select(F.col("o_orderkey").cast("string").alias("chunk"), F.col("o_custkey").cast("string").alias("source"), F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("text"))
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
-    said = table(spark, d, "lineitem").where(lines).join(p, "l_partkey").select(
-        F.col("l_partkey").cast("string").alias("concept"), F.col("l_orderkey").cast("string").alias("chunk"), "l_linenumber", "l_returnflag", F.lower("p_type").alias("predicate"), F.round(1 - F.col("l_discount"), 6).alias("confidence"), "p_name", "p_type"
-    )
-    said = materialise(said, "said")
-    concepts = said.groupBy(F.col("concept").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type")).agg(F.count("*").alias("n_mentions"), F.countDistinct("chunk").alias("n_chunks"), F.max("confidence").alias("confidence"))
-    after = said.select("chunk", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("concept").alias("object"))
-    pairs = said.withColumnRenamed("concept", "subject").join(after, ["chunk", "l_linenumber"]).where("subject <> object")
-    edges = pairs.groupBy("subject", "predicate", "object").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_mentions"), F.array_sort(F.collect_set("chunk")).alias("chunks"))
-    facts = said.where("l_returnflag = 'R'").select(F.concat_ws("-", "chunk", F.col("l_linenumber").cast("string"), "concept").alias("id"), "chunk", F.concat_ws(" ", F.lit("returned"), "p_name").alias("statement"), "confidence", F.lit("model").alias("linked_by"), F.array("concept").alias("concepts")).dropDuplicates(["id"])
+    text = lambda c: F.col(c).cast("string").alias(c)  # noqa: E731  keys are moved as numbers
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("concept"), "p_name", "p_type").hint("merge")  # a small file of many rows
+    said = table(spark, d, "lineitem").where(lines).select(F.col("l_partkey").alias("concept"), F.col("l_orderkey").alias("chunk"), "l_linenumber", "l_returnflag", F.round(1 - F.col("l_discount"), 6).alias("confidence"))
+    # lines of a concept are moved once, for its chunks and its name; then its chunks lie in one file
+    each = said.select("concept", "chunk", "confidence").repartition("concept").groupBy("concept", "chunk").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
+    each = materialise(each.join(p, "concept").select(text("concept"), text("chunk"), "n", "confidence", "p_name", "p_type"), "said-mentions")
+    concepts = each.groupBy(F.col("concept").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type")).agg(F.sum("n").alias("n_mentions"), F.count("*").alias("n_chunks"), F.max("confidence").alias("confidence"))
+    # the concepts of the next line's number are a frame of the order's window, so lines are moved once and not as two sides of a join
+    after = F.collect_list("concept").over(W.partitionBy("chunk").orderBy("l_linenumber").rangeBetween(1, 1))
+    pairs = said.where("l_linenumber is not null and chunk is not null").select(F.col("concept").alias("subject"), "chunk", "confidence", after.alias("objects")).select("subject", "chunk", "confidence", F.explode("objects").alias("object")).where("subject <> object")
+    kinds = p.select(F.col("concept").alias("subject"), F.lower("p_type").alias("predicate"))
+    edges = pairs.join(kinds, "subject").groupBy("subject", "predicate", "object").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_mentions"), F.array_sort(F.collect_set(F.col("chunk").cast("string"))).alias("chunks"))
+    edges = edges.select(text("subject"), "predicate", text("object"), "confidence", "n_mentions", "chunks")
+    edges = materialise(edges, "said-edges")
+    facts = said.where("l_returnflag = 'R'").join(p, "concept").select(F.concat_ws("-", text("chunk"), text("l_linenumber"), text("concept")).alias("id"), text("chunk"), F.concat_ws(" ", F.lit("returned"), "p_name").alias("statement"), "confidence", F.lit("model").alias("linked_by"), F.array(text("concept")).alias("concepts"))
     return {
-        "sources": table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title")), "chunks": o, "concepts": concepts,
-        "mentions": said.groupBy("concept", "chunk").agg(F.max("confidence").alias("confidence"), F.array(F.first("p_name")).alias("surfaces")),
+        "sources": table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title")), "chunks": o,
+        "concepts": concepts, "mentions": each.select("concept", "chunk", "confidence", F.array("p_name").alias("surfaces")),
         "relations": edges.where("predicate <> 'economy'"), "part_of": edges.where("predicate = 'economy'").drop("predicate"), "facts": facts,
     }
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators.merge import check_models
-from lodestone.sources.scratch import materialise
+from lodestone.sources.scratch import materialise, small
 
 #: Columns of each table. Rows that carry a load_id are pruned when a later load does not say them again.
 _EVIDENCE = "confidence double, n_mentions long, chunks array<string>"
@@ -95,7 +95,7 @@ class GraphStore:
 
     def _read(self, manifest: dict, name: str, only: list[int] | None = None) -> DataFrame:
         places = manifest["tables"].get(name, {})
-        paths = [p for b, p in places.items() if only is None or int(b) in only]
+        paths = [p for b, p in places.items() if only is None or _bucket_of(b) in only]
         if not paths:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{p}" for p in paths])
@@ -132,17 +132,24 @@ class GraphStore:
         return path
 
     def _upsert_buckets(self, manifest: dict, name: str, new: DataFrame, load_id: str) -> DataFrame:
-        """new rows (with source) replace those of their key; buckets without a new row keep their files. Returns the new rows, written."""
-        keyed = materialise(new.select(*_columns(name)).dropDuplicates(KEYS[name]).withColumn("bucket", self._bucket("source")), "new-rows")
-        touched = sorted(r["bucket"] for r in keyed.select("bucket").distinct().collect())
-        if not touched:
-            return keyed
-        kept = self._read(manifest, name, touched).join(keyed.select(*KEYS[name]), KEYS[name], "left_anti")
-        whole = kept.withColumn("bucket", self._bucket("source")).unionByName(keyed)
-        path = f"tables/{name}/{load_id}"
-        whole.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{path}")
-        manifest["tables"][name] = manifest["tables"].get(name, {}) | {str(b): f"{path}/bucket={b}" for b in touched}
-        return keyed
+        """new rows (with source) replace those of their key; buckets without a new row keep their files. Returns the new rows, written.
+
+        The new rows are written to their buckets at once, older ones of these buckets to files of their own beside them.
+        """
+        path, old = f"tables/{name}/{load_id}", manifest["tables"].get(name, {})
+
+        def put(rows: DataFrame, path: str) -> tuple[DataFrame, list[int]]:
+            _fitted(rows.withColumn("bucket", self._bucket("source")).hint("rebalance", "bucket"), name, "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{path}")
+            written = self.spark.read.schema(f"{SCHEMAS[name]}, bucket int").parquet(f"{self.root}/{path}")
+            return written, sorted(r["bucket"] for r in written.select("bucket").distinct().collect())
+
+        written, touched = put(new.dropDuplicates(KEYS[name]), path)
+        before = {p for p in old if _bucket_of(p) in touched}
+        if before:
+            _, left = put(self._read(manifest, name, touched).join(written.select(*KEYS[name]), KEYS[name], "left_anti"), f"{path}-kept")
+            old = {p: at for p, at in old.items() if p not in before} | {f"{b}-kept": f"{path}-kept/bucket={b}" for b in left}
+        manifest["tables"][name] = old | {str(b): f"{path}/bucket={b}" for b in touched}
+        return written
 
     def _upsert(self, manifest: dict, name: str, new: DataFrame, load_id: str) -> DataFrame:
         """A small unstamped table with new rows in place of those of their key."""
@@ -154,12 +161,24 @@ class GraphStore:
         manifest["tables"][name] = {"0": self._write(rows, name, load_id)}
         return self._read(manifest, name)
 
+    def _renew(self, manifest: dict, name: str, own: DataFrame, rest: DataFrame, load_id: str) -> DataFrame:
+        """A stamped table of this load's own rows, and of those of `rest` that it does not say again, in files of their own.
+
+        The own rows are written first and read back, so they are computed once; where `rest` is empty, nothing is compared.
+        """
+        written = self._put(manifest, name, own, load_id)
+        if rest.isEmpty():
+            return written
+        kept = rest.join(written.select(*KEYS[name]), KEYS[name], "left_anti")
+        manifest["tables"][name]["1"] = self._write(kept, name, f"{load_id}-kept")
+        return self._read(manifest, name)
+
     def _sources(self, manifest: dict, sources: DataFrame, chunks: DataFrame, domain: str, load_id: str) -> DataFrame:
         """Sources of a domain and their chunks upserted; chunks of no known source are left out. Returns the new chunks."""
         sources = _fitted(sources, "sources")
         new = {"sources": sources, "domains": self.spark.range(1).select(F.lit(domain).alias("name")), "source_domains": sources.select(F.col("id").alias("source"), F.lit(domain).alias("domain"))}
         known = _together(lambda name: self._upsert(manifest, name, new[name], load_id), new)["sources"]
-        return self._upsert_buckets(manifest, "chunks", _fitted(chunks, "chunks").join(known.select(F.col("id").alias("source")), "source", "left_semi"), load_id)
+        return self._upsert_buckets(manifest, "chunks", _typed(chunks, "chunks").join(known.select(F.col("id").alias("source")), "source", "left_semi"), load_id)
 
     def _embed_chunks(self, manifest: dict, chunks: DataFrame, embed: Embedder, load_id: str) -> int:
         """Vectors of new chunks (chunk, source, text) whose text or model changed."""
@@ -185,6 +204,7 @@ class GraphStore:
         are pruned, with the edges and vectors of pruned concepts; rows without a load id, memories, and the links of concepts
         and sources to domains stay. Sources and chunks only grow. Edges need both ends. A graph holds the knowledge of one
         model and the vectors of one embedding model; `replace` drops concepts, facts, and vectors of another model first.
+        Mentions and relations are read twice, so what is dear to compute is better given as written.
         Returns how many rows of each kind were given, how many texts were embedded, and what was removed.
         """
         manifest = self._manifest()
@@ -201,43 +221,60 @@ class GraphStore:
                 manifest["tables"].pop("chunk_vectors", None)
         chunks = self._sources(manifest, rows["sources"], rows["chunks"], domain, load_id)
         before = {n: self._read(manifest, n) for n in SCHEMAS}
-        stamped = lambda name, df: _fitted(df, name).withColumn("load_id", F.lit(load_id)).dropDuplicates(KEYS[name])
+        # what is the same in every row of a load is added once rows have been moved
+        own = lambda name, df: _fitted(df.withColumn("memory", F.lit(False)) if name == "facts" else df, name).withColumn("load_id", F.lit(load_id))
         memory, unstamped = F.coalesce(F.col("memory"), F.lit(False)), F.col("load_id").isNull()
         old = lambda name, new: before[name].join(new.select(*KEYS[name]), KEYS[name], "left_anti")
+        few = lambda df, name: small(materialise(df, name))  # noqa: E731  computed once, though measured and joined
         placed = before["chunks"].select("chunk")
 
-        said = stamped("concepts", rows["concepts"])
-        alive = self._put(manifest, "concepts", said.unionByName(old("concepts", said).where(unstamped)), load_id)
-        said = stamped("facts", rows["facts"].withColumn("memory", F.lit(False))).join(placed, "chunk", "left_semi")
-        facts = self._put(manifest, "facts", said.unionByName(old("facts", said).where(memory | unstamped)), load_id)
-        concepts, own_facts = (df.where(F.col("load_id") == load_id) for df in (alive, facts))
-
-        about = rows["facts"].select(F.col("id").alias("fact"), F.explode("concepts").alias("concept")).join(own_facts.select(F.col("id").alias("fact")), "fact", "left_semi")
-        new = {"mentions": rows["mentions"].join(placed, "chunk", "left_semi"), "relations": rows["relations"], "part_of": rows["part_of"], "about": about}
-        ends = {"mentions": ["concept"], "relations": ["subject", "object"], "part_of": ["subject", "object"], "about": ["concept"]}
+        alive = self._renew(manifest, "concepts", own("concepts", _typed(rows["concepts"], "concepts").dropDuplicates(KEYS["concepts"])), before["concepts"].where(unstamped), load_id)
+        # facts of no known chunk say nothing; those that do are kept with what they are about, for both tables
+        stated = materialise(rows["facts"].join(placed, "chunk", "left_semi"), "stated-facts")
+        facts = self._renew(manifest, "facts", own("facts", _typed(stated, "facts").dropDuplicates(KEYS["facts"])), before["facts"].where(memory | unstamped), load_id)
+        concepts = alive.where(F.col("load_id") == load_id)
+        dead = few(before["concepts"].select("id").join(alive.select("id"), "id", "left_anti"), "dead-concepts")
+        memories = few(facts.where(memory).select(F.col("id").alias("fact")), "memories")
 
-        def left(name: str, new: DataFrame) -> DataFrame:
-            """What earlier loads said between nodes that are alive, and whether it is a memory's: edges of facts that are gone go with them."""
-            rest = _with_ends(old(name, new), alive, ends[name])
-            return rest.join(facts.select(F.col("id").alias("fact"), memory.alias("memory")), "fact") if name == "about" else rest.withColumn("memory", F.lit(False))
+        new = {"mentions": rows["mentions"], "relations": rows["relations"], "part_of": rows["part_of"], "about": stated.select(F.col("id").alias("fact"), F.explode("concepts").alias("concept"))}
+        ends = {"mentions": ["concept"], "relations": ["object", "subject"], "part_of": ["object", "subject"], "about": ["concept"]}
 
         def edges(name: str) -> DataFrame:
-            own = _with_ends(stamped(name, new[name]), alive, ends[name])
-            return self._put(manifest, name, own.unionByName(left(name, own).where(F.col("memory") | unstamped).select(*own.columns)), load_id)
+            # rows of a key are moved together once: mentions to their chunk, others to their last end
+            said, last = _typed(new[name], name), ends[name][-1:] if name != "mentions" else []
+            for end in ends[name]:
+                if end not in last:
+                    said = said.join(few(said.select(end).distinct().join(alive.select(F.col("id").alias(end)), end, "left_anti"), "unknown-ends"), end, "left_anti")
+            said = said.where(" and ".join(f"{end} is not null" for end in ends[name]))
+            said = said.join(placed, "chunk", "left_semi") if name == "mentions" else _with_ends(said, alive, last)
+            said = own(name, said.dropDuplicates(KEYS[name]))
+            rest = before[name].where(unstamped)
+            if name == "about":
+                rest = rest.join(facts.select(F.col("id").alias("fact")), "fact", "left_semi").unionByName(before[name].where(~unstamped).join(memories, "fact", "left_semi"))
+            return self._renew(manifest, name, said, _with_ends(rest, alive, ends[name]), load_id)
+
+        def gone(name: str) -> DataFrame:
+            """Edges of earlier loads that are not said again between nodes that are still there. All ends were there before, so only dead ones are looked for."""
+            rest = stale(old(name, whole[name]), load_id)
+            for end in ends[name]:
+                rest = rest.join(dead.select(F.col("id").alias(end)), end, "left_anti")
+            return rest.join(facts.where(~memory).select(F.col("id").alias("fact")), "fact", "left_semi") if name == "about" else rest
 
         whole = _together(edges, new)
         of_load = lambda df: df.where(F.col("load_id") == load_id)
         counted = {n: of_load(df) for n, df in (whole | {"concepts": alive, "facts": facts}).items()} | {"chunks": chunks, "sources": rows["sources"]}
         counted["gone concepts"], counted["gone facts"] = stale(old("concepts", alive), load_id), stale(old("facts", facts).where(~memory), load_id)
         for name in new:
-            counted[f"gone {name}"] = stale(left(name, whole[name]).where("not memory"), load_id)
+            counted[f"gone {name}"] = gone(name)
         n = _counts(counted)
         stats = {k: v for k, v in n.items() if not k.startswith("gone ")}
         stats["removed"] = {"concepts": n["gone concepts"], "facts": n["gone facts"], "edges": sum(n[f"gone {name}"] for name in new)}
 
         # a concept belongs to the domains of the sources that mention it, by the edges as they were before pruning
-        said = before["mentions"].select("concept", "chunk").unionByName(whole["mentions"].select("concept", "chunk")).join(concepts.select(F.col("id").alias("concept")), "concept", "left_semi")
-        belongs = said.join(before["chunks"].select("chunk", "source"), "chunk").select("concept", "source").distinct().join(before["source_domains"], "source").select("concept", "domain")
+        said = before["mentions"].select("concept", "chunk").unionByName(whole["mentions"].select("concept", "chunk"))
+        of_source = before["source_domains"].groupBy("source").agg(F.collect_set("domain").alias("domains"))
+        of_chunk = before["chunks"].select("chunk", "source").join(of_source, "source").select("chunk", "domains")
+        belongs = said.join(of_chunk, "chunk").select("concept", F.explode("domains").alias("domain")).distinct().join(concepts.select(F.col("id").alias("concept")), "concept", "left_semi")
         stays = before["concept_domains"].join(alive.select(F.col("id").alias("concept")), "concept", "left_semi")
         self._put(manifest, "concept_domains", stays.unionByName(belongs).distinct(), load_id)
 
@@ -288,6 +325,11 @@ def _together(write: Callable[[str], DataFrame], names) -> dict[str, DataFrame]:
         return dict(zip(names, pool.map(write, names), strict=True))
 
 
+def _bucket_of(part: str) -> int:
+    """The bucket of a manifest's part: its new rows, or the older ones kept beside them."""
+    return int(part.split("-")[0])
+
+
 def _columns(name: str) -> list[str]:
     return [c.split()[0] for c in SCHEMAS[name].split(", ")]
 
@@ -301,10 +343,16 @@ def _counts(tables: dict[str, DataFrame]) -> dict[str, int]:
     return {r["name"]: r["n"] for r in out.collect()}
 
 
-def _fitted(df: DataFrame, name: str) -> DataFrame:
+def _typed(df: DataFrame, name: str) -> DataFrame:
+    """The columns of a table that df has, in their types."""
+    fields = [c.split(" ", 1) for c in SCHEMAS[name].split(", ")]
+    return df.select(*[F.col(c).cast(kind).alias(c) for c, kind in fields if c in df.columns])
+
+
+def _fitted(df: DataFrame, name: str, *more: str) -> DataFrame:
     """df with the columns and types of a table; columns that it lacks are null."""
     fields = [c.split(" ", 1) for c in SCHEMAS[name].split(", ")]
-    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields])
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields], *more)
 
 
 def _with_ends(edges: DataFrame, nodes: DataFrame, ends: list[str]) -> DataFrame:

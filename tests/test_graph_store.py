@@ -129,3 +129,34 @@ def test_concepts_belong_to_the_domains_of_their_sources(spark, store):
     store.load(graph(spark), "one", "m1")
     store.load(graph(spark), "two", "m1")
     assert sorted(tuple(r) for r in store.table("concept_domains").collect()) == sorted((c, d) for c in ("avl", "bst", "rotation") for d in ("one", "two"))
+
+
+def test_a_load_computes_its_rows_once_or_twice(spark, store):
+    """Facts are stored with what they are about in one pass, concepts are not computed again for what is left of earlier loads; mentions and relations are read for their ends as well."""
+    seen = {n: spark.sparkContext.accumulator(0) for n in ("facts", "concepts", "mentions", "relations")}
+
+    def counting(name, df):
+        total = seen[name]
+
+        def passed(rows):
+            for r in rows:
+                total.add(1)
+                yield r
+
+        return spark.createDataFrame(df.rdd.mapPartitions(passed), df.schema)
+
+    store.load(graph(spark), "d", "m1")
+    rows = graph(spark)
+    given = {n: rows[n].count() for n in seen}
+    store.load(rows | {n: counting(n, rows[n]) for n in seen}, "d", "m1")
+    assert {n: seen[n].value // given[n] for n in seen} == {"facts": 1, "concepts": 1, "mentions": 2, "relations": 2}
+
+
+def test_older_chunks_of_a_bucket_stay_beside_new_ones(spark, store):
+    """Three loads of sources that share all buckets keep each other's chunks, once each."""
+    store = GraphStore(spark, f"{store.root}-one", buckets=1)
+    for source in ("s1", "s2", "s1", "s3"):
+        rows = graph(spark, source=source)
+        store.load_passages(rows["sources"], rows["chunks"], "d", MODEL)
+    assert sorted(r["chunk"] for r in store.table("chunks").collect()) == sorted(f"s{k}:{i}" for k in (1, 2, 3) for i in range(3))
+    assert store.table("chunk_vectors").count() == 9 and store.vacuum(0) > 0 and store.table("chunks").count() == 9
