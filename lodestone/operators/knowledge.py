@@ -78,14 +78,17 @@ def longest_matches(found: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for edges (u, v): each node's least reachable node, by spreading minima with pointer jumps, each round written to the shared folder."""
+    """(node, root) for edges (u, v): each node's least reachable node, by spreading minima with pointer jumps, each round written to the shared folder.
+
+    Labels are a row a node, whose files are small for their rows: they are never broadcast by their size.
+    """
     both = materialise(edges.select("u", "v").union(edges.select("v", "u").toDF("u", "v")).where("u is not null and v is not null").distinct(), "edges")
     label = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "labels")
     for _ in range(rounds):
-        near = both.join(label, both.v == label.node).groupBy("u").agg(F.min("root").alias("m"))
-        spread = label.join(near, label.node == near.u, "left").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        near = both.join(label.hint("merge"), both.v == label.node).groupBy("u").agg(F.min("root").alias("m"))
+        spread = label.join(near.hint("merge"), label.node == near.u, "left").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         up = label.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        new = materialise(spread.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")), "labels")
+        new = materialise(spread.join(up.hint("merge"), "root", "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")), "labels")
         label = new.select("node", "root")
         if new.where("root <> old").isEmpty():
             return label
@@ -99,4 +102,4 @@ def name_groups(items: DataFrame) -> DataFrame:
     same = keyed.join(first, "key").select(F.col("item").alias("u"), F.col("first").alias("v"))
     alias = keyed.select("item", F.explode("aliases").alias("key")).join(first, "key").select(F.col("item").alias("u"), F.col("first").alias("v"))
     roots = components(same.union(alias))
-    return items.select("item").join(roots, F.col("item") == F.col("node")).select("item", F.col("root").alias("group"))
+    return items.select("item").join(roots.hint("merge"), F.col("item") == F.col("node")).select("item", F.col("root").alias("group"))

@@ -53,7 +53,7 @@ def grouped(items: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = N
     First by normalized names and aliases that are another's name; with `embed`, which takes (id, name) and gives (id, v),
     groups of one majority type whose representative names' vectors are that similar join as well.
     """
-    named = items.join(K.name_groups(items.select(F.col("pos").alias("item"), "name", "aliases")).withColumnRenamed("item", "pos"), "pos")
+    named = items.join(K.name_groups(items.select(F.col("pos").alias("item"), "name", "aliases")).withColumnRenamed("item", "pos").hint("merge"), "pos")
     named = materialise(named, "named-items")
     stats = named.agg(F.count("*").alias("mentions"), F.countDistinct("group").alias("after_names"))
     if embed is None:
@@ -137,7 +137,7 @@ def merge_statistics(stats: DataFrame, concepts: DataFrame, relations: DataFrame
 
 def merge_relations(relations: DataFrame, mentions: DataFrame) -> DataFrame:
     """relations (chunk, subject, predicate, object, confidence) between merged ids, with their evidence; dangling and reflexive ones go."""
-    known = local_ids(mentions)
+    known = local_ids(mentions).hint("merge")
     side = lambda c: known.select("chunk", F.col("name").alias(c), F.col("concept").alias(f"{c}_id"))
     both = relations.join(side("subject"), ["chunk", "subject"]).join(side("object"), ["chunk", "object"])
     return K.relation_evidence(both.select(F.col("subject_id").alias("subject"), "predicate", F.col("object_id").alias("object"), "chunk", "confidence"))
@@ -145,7 +145,7 @@ def merge_relations(relations: DataFrame, mentions: DataFrame) -> DataFrame:
 
 def merge_facts(facts: DataFrame, mentions: DataFrame) -> DataFrame:
     """facts (fact_pos, chunk, statement, names, confidence) with `concepts`, the ids that their names stand for, once each and in order."""
-    named = facts.select("fact_pos", "chunk", F.posexplode("names").alias("k", "name")).join(local_ids(mentions), ["chunk", "name"])
+    named = facts.select("fact_pos", "chunk", F.posexplode("names").alias("k", "name")).join(local_ids(mentions).hint("merge"), ["chunk", "name"])
     first = named.groupBy("fact_pos", "concept").agg(F.min("k").alias("k"))
     about = first.groupBy("fact_pos").agg(K.first_seen("concept", F.col("k")).alias("concepts"))  # names of one fact, a handful
     return facts.drop("names").join(about, "fact_pos", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
