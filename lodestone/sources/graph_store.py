@@ -35,6 +35,8 @@ SCHEMAS = {
 KEYS = {"domains": ["name"], "sources": ["id"], "source_domains": ["source", "domain"], "chunks": ["chunk"], "concepts": ["id"], "mentions": ["concept", "chunk"], "relations": ["subject", "predicate", "object"], "part_of": ["subject", "object"], "facts": ["id"], "about": ["fact", "concept"], "concept_domains": ["concept", "domain"], "concept_vectors": ["id"], "chunk_vectors": ["id"]}
 #: Tables that grow with the texts are kept in buckets of their sources; a load writes the buckets of its own sources alone.
 BUCKETED, BUCKETS = ("chunks", "chunk_vectors"), 64
+#: Rows and bytes up to which the ends that are looked for are broadcast; several tables do so at once.
+FEW = 100_000, 8_000_000
 Embedder = tuple[str, Callable[[Column], Column]]
 
 
@@ -146,7 +148,7 @@ class GraphStore:
         written, touched = put(new.dropDuplicates(KEYS[name]), path)
         before = {p for p in old if _bucket_of(p) in touched}
         if before:
-            _, left = put(self._read(manifest, name, touched).join(written.select(*KEYS[name]), KEYS[name], "left_anti"), f"{path}-kept")
+            _, left = put(self._read(manifest, name, touched).join(_moved(written.select(*KEYS[name])), KEYS[name], "left_anti"), f"{path}-kept")
             old = {p: at for p, at in old.items() if p not in before} | {f"{b}-kept": f"{path}-kept/bucket={b}" for b in left}
         manifest["tables"][name] = old | {str(b): f"{path}/bucket={b}" for b in touched}
         return written
@@ -154,7 +156,7 @@ class GraphStore:
     def _upsert(self, manifest: dict, name: str, new: DataFrame, load_id: str) -> DataFrame:
         """A small unstamped table with new rows in place of those of their key."""
         new = new.select(*_columns(name)).dropDuplicates(KEYS[name])
-        kept = self._read(manifest, name).join(new.select(*KEYS[name]), KEYS[name], "left_anti")
+        kept = self._read(manifest, name).join(_moved(new.select(*KEYS[name])), KEYS[name], "left_anti")
         return self._put(manifest, name, kept.unionByName(new), load_id)
 
     def _put(self, manifest: dict, name: str, rows: DataFrame, load_id: str) -> DataFrame:
@@ -169,7 +171,7 @@ class GraphStore:
         written = self._put(manifest, name, own, load_id)
         if rest.isEmpty():
             return written
-        kept = rest.join(written.select(*KEYS[name]), KEYS[name], "left_anti")
+        kept = rest.join(_moved(written.select(*KEYS[name])), KEYS[name], "left_anti")
         manifest["tables"][name]["1"] = self._write(kept, name, f"{load_id}-kept")
         return self._read(manifest, name)
 
@@ -178,14 +180,14 @@ class GraphStore:
         sources = _fitted(sources, "sources")
         new = {"sources": sources, "domains": self.spark.range(1).select(F.lit(domain).alias("name")), "source_domains": sources.select(F.col("id").alias("source"), F.lit(domain).alias("domain"))}
         known = _together(lambda name: self._upsert(manifest, name, new[name], load_id), new)["sources"]
-        return self._upsert_buckets(manifest, "chunks", _typed(chunks, "chunks").join(known.select(F.col("id").alias("source")), "source", "left_semi"), load_id)
+        return self._upsert_buckets(manifest, "chunks", _typed(chunks, "chunks").join(_moved(known.select(F.col("id").alias("source"))), "source", "left_semi"), load_id)
 
     def _embed_chunks(self, manifest: dict, chunks: DataFrame, embed: Embedder, load_id: str) -> int:
         """Vectors of new chunks (chunk, source, text) whose text or model changed."""
         model, vector = embed
         now = chunks.where("text is not null").select(F.col("chunk").alias("id"), "source", "text", T.embedding_hash(model, "text").alias("hash")).dropDuplicates(["id"])
         stored = self._read(manifest, "chunk_vectors").select("id", "hash")
-        fresh = now.join(stored, ["id", "hash"], "left_anti").withColumn("v", vector(F.col("text")))
+        fresh = now.join(_moved(stored), ["id", "hash"], "left_anti").withColumn("v", vector(F.col("text")))
         return self._upsert_buckets(manifest, "chunk_vectors", fresh, load_id).count()
 
     def _check(self, meta: dict, model: str | None, embed: Embedder | None, replace: bool) -> int | None:
@@ -224,16 +226,16 @@ class GraphStore:
         # what is the same in every row of a load is added once rows have been moved
         own = lambda name, df: _fitted(df.withColumn("memory", F.lit(False)) if name == "facts" else df, name).withColumn("load_id", F.lit(load_id))
         memory, unstamped = F.coalesce(F.col("memory"), F.lit(False)), F.col("load_id").isNull()
-        old = lambda name, new: before[name].join(new.select(*KEYS[name]), KEYS[name], "left_anti")
-        few = lambda df, name: small(materialise(df, name))  # noqa: E731  computed once, though measured and joined
-        placed = before["chunks"].select("chunk")
+        old = lambda name, new: before[name].join(_moved(new.select(*KEYS[name])), KEYS[name], "left_anti")
+        few = lambda df, name: small(_moved(materialise(df, name)), *FEW)  # noqa: E731  computed once, though measured and joined
+        placed = _moved(before["chunks"].select("chunk"))
 
         alive = self._renew(manifest, "concepts", own("concepts", _typed(rows["concepts"], "concepts").dropDuplicates(KEYS["concepts"])), before["concepts"].where(unstamped), load_id)
         # facts of no known chunk say nothing; those that do are kept with what they are about, for both tables
         stated = materialise(rows["facts"].join(placed, "chunk", "left_semi"), "stated-facts")
         facts = self._renew(manifest, "facts", own("facts", _typed(stated, "facts").dropDuplicates(KEYS["facts"])), before["facts"].where(memory | unstamped), load_id)
         concepts = alive.where(F.col("load_id") == load_id)
-        dead = few(before["concepts"].select("id").join(alive.select("id"), "id", "left_anti"), "dead-concepts")
+        dead = few(before["concepts"].select("id").join(_moved(alive.select("id")), "id", "left_anti"), "dead-concepts")
         memories = few(facts.where(memory).select(F.col("id").alias("fact")), "memories")
 
         new = {"mentions": rows["mentions"], "relations": rows["relations"], "part_of": rows["part_of"], "about": stated.select(F.col("id").alias("fact"), F.explode("concepts").alias("concept"))}
@@ -244,13 +246,13 @@ class GraphStore:
             said, last = _typed(new[name], name), ends[name][-1:] if name != "mentions" else []
             for end in ends[name]:
                 if end not in last:
-                    said = said.join(few(said.select(end).distinct().join(alive.select(F.col("id").alias(end)), end, "left_anti"), "unknown-ends"), end, "left_anti")
+                    said = said.join(few(said.select(end).distinct().join(_moved(alive.select(F.col("id").alias(end))), end, "left_anti"), "unknown-ends"), end, "left_anti")
             said = said.where(" and ".join(f"{end} is not null" for end in ends[name]))
             said = said.join(placed, "chunk", "left_semi") if name == "mentions" else _with_ends(said, alive, last)
             said = own(name, said.dropDuplicates(KEYS[name]))
             rest = before[name].where(unstamped)
             if name == "about":
-                rest = rest.join(facts.select(F.col("id").alias("fact")), "fact", "left_semi").unionByName(before[name].where(~unstamped).join(memories, "fact", "left_semi"))
+                rest = rest.join(_moved(facts.select(F.col("id").alias("fact"))), "fact", "left_semi").unionByName(before[name].where(~unstamped).join(memories, "fact", "left_semi"))
             return self._renew(manifest, name, said, _with_ends(rest, alive, ends[name]), load_id)
 
         def gone(name: str) -> DataFrame:
@@ -258,7 +260,7 @@ class GraphStore:
             rest = stale(old(name, whole[name]), load_id)
             for end in ends[name]:
                 rest = rest.join(dead.select(F.col("id").alias(end)), end, "left_anti")
-            return rest.join(facts.where(~memory).select(F.col("id").alias("fact")), "fact", "left_semi") if name == "about" else rest
+            return rest.join(_moved(facts.where(~memory).select(F.col("id").alias("fact"))), "fact", "left_semi") if name == "about" else rest
 
         whole = _together(edges, new)
         of_load = lambda df: df.where(F.col("load_id") == load_id)
@@ -273,17 +275,17 @@ class GraphStore:
         # a concept belongs to the domains of the sources that mention it, by the edges as they were before pruning
         said = before["mentions"].select("concept", "chunk").unionByName(whole["mentions"].select("concept", "chunk"))
         of_source = before["source_domains"].groupBy("source").agg(F.collect_set("domain").alias("domains"))
-        of_chunk = before["chunks"].select("chunk", "source").join(of_source, "source").select("chunk", "domains")
-        belongs = said.join(of_chunk, "chunk").select("concept", F.explode("domains").alias("domain")).distinct().join(concepts.select(F.col("id").alias("concept")), "concept", "left_semi")
-        stays = before["concept_domains"].join(alive.select(F.col("id").alias("concept")), "concept", "left_semi")
+        of_chunk = before["chunks"].select("chunk", "source").join(_moved(of_source), "source").select("chunk", "domains")
+        belongs = said.join(_moved(of_chunk), "chunk").select("concept", F.explode("domains").alias("domain")).distinct().join(_moved(concepts.select(F.col("id").alias("concept"))), "concept", "left_semi")
+        stays = before["concept_domains"].join(_moved(alive.select(F.col("id").alias("concept"))), "concept", "left_semi")
         self._put(manifest, "concept_domains", stays.unionByName(belongs).distinct(), load_id)
 
         stats["embedded"] = 0
-        vectors = before["concept_vectors"].join(alive.select("id"), "id", "left_semi")
+        vectors = before["concept_vectors"].join(_moved(alive.select("id")), "id", "left_semi")
         if embed is not None:
             now = concepts.select("id", concept_text().alias("text")).withColumn("hash", T.embedding_hash(embed[0], "text"))
-            fresh = materialise(now.join(vectors.select("id", "hash"), ["id", "hash"], "left_anti").select("id", "hash", embed[1](F.col("text")).alias("v")), "fresh-vectors")
-            vectors = vectors.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
+            fresh = materialise(now.join(_moved(vectors.select("id", "hash")), ["id", "hash"], "left_anti").select("id", "hash", embed[1](F.col("text")).alias("v")), "fresh-vectors")
+            vectors = vectors.join(_moved(fresh.select("id")), "id", "left_anti").unionByName(fresh)
             stats["embedded"] = fresh.count() + self._embed_chunks(manifest, chunks, embed, load_id)
         self._put(manifest, "concept_vectors", vectors, load_id)
         manifest["meta"] = meta | {"model": model, "load_id": load_id} | ({"embed_model": embed[0], "dims": dims} if embed else {})
@@ -355,7 +357,12 @@ def _fitted(df: DataFrame, name: str, *more: str) -> DataFrame:
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields], *more)
 
 
+def _moved(df: DataFrame) -> DataFrame:
+    """df as a side of a join by shuffles. A file of ids is a few bytes a row, what the driver would broadcast of it more than a hundred."""
+    return df.hint("merge")
+
+
 def _with_ends(edges: DataFrame, nodes: DataFrame, ends: list[str]) -> DataFrame:
     for end in ends:
-        edges = edges.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+        edges = edges.join(_moved(nodes.select(F.col("id").alias(end))), end, "left_semi")
     return edges
